@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("exact_dedup", "mixing", "simhash")
+MODULES = ("exact_dedup", "mixing", "simhash", "language")
 
 
 def queries() -> dict:
