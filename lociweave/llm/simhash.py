@@ -1,15 +1,16 @@
 """SimHash near-dedup: fingerprints, pigeonhole blocks, verified Hamming distance, components.
 
 A fingerprint of 64 bits is cut into b blocks. Two fingerprints that differ in at most r bits agree
-in at least b - r blocks, so they meet under the key of some choice of b - r blocks. b grows with
-the number of distinct fingerprints, so that keys have enough bits for buckets to stay small
-whatever the size of the corpus. Copies collapse to one row per distinct fingerprint before any
+in at least b - r blocks, so they meet under the key of some choice of b - r blocks. More blocks
+make longer keys, so fewer chance partners in a bucket, for more choices: radius 3 with 6 blocks is
+20 choices of 32 bits. Copies collapse to one row per distinct fingerprint before any
 key is made; buckets are sorted runs that stream through numpy, where distances are verified and
 only a spanning forest of each bucket is passed on, never all pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain, combinations, repeat
 
 import numpy as np
@@ -18,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_bytes
+from .common import materialise, mix64, table, text_bytes
 from .components import components
 
 SEED = 42
 #: Buckets up to this size compare all their members at once; larger ones probe the bucket for every word within reach.
 DENSE = 6_000
+#: Shingle hashes in a sketch, members of a bucket that are compared in all pairs, words that a worker keeps.
+SKETCH, SMALL_BUCKET, MOST_WORDS_KEPT = 512, 32, 400_000
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -54,15 +57,6 @@ def fingerprint_udf(size: int):
     return prints
 
 
-def blocks_for(n: int, radius: int) -> int:
-    """The least number of blocks whose keys leave under one chance partner for each of n fingerprints."""
-    for b in range(radius + 1, 4 * radius + 5):
-        bits = (64 // b) * (b - radius)
-        if n < 2**bits:
-            return b
-    return 4 * radius + 4
-
-
 def block_masks(blocks: int, radius: int) -> list[int]:
     """The mask of each choice of blocks - radius blocks."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -86,6 +80,9 @@ def spanning_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
                 ends.append((i, j))
 
     ends: list[tuple[int, int]] = []
+    if n == 2:
+        near = np.bitwise_count(prints[:1] ^ prints[1:]) <= radius
+        return prints[:1][near], prints[1:][near]
     if n <= DENSE:
         step = max(1, 4_000_000 // n)
         for lo in range(0, n, step):
@@ -126,49 +123,62 @@ def _apart(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.nonzero(root[a] != root[b])[0]
 
 
-def near_links(prints: DataFrame, radius: int) -> DataFrame:
+def keyed(rows: DataFrame, blocks: int, radius: int, *also: str) -> DataFrame:
+    """The columns `also` and fp of rows, with key, for each choice of blocks; sorted by key within partitions.
+
+    A key hashes what it stands for; two that collide only make candidates that fail verification.
+    """
+    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, radius)]
+    keys = F.array(*(F.xxhash64(*also[1:], F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    dealt = rows.select(*also[:1], "fp", F.explode(keys).alias("key"))
+    return dealt.repartition("key").sortWithinPartitions("key", *also[:1], "fp")
+
+
+def sorted_buckets(batches):
+    """(rows but the key) of each run of two or more equal keys; batches are sorted by their last column, the key."""
+    rest = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
+            rows = rows if rest is None else np.concatenate([rest, rows])
+            cut = np.nonzero(rows[1:, -1] != rows[:-1, -1])[0] + 1
+            last = int(cut[-1]) if len(cut) else 0
+            rest, rows = rows[last:], rows[:last]
+        elif rest is not None:
+            rows, cut = rest, np.array([len(rest)])
+        else:
+            return
+        starts = np.concatenate([[0], cut[:-1]]).astype(np.int64) if len(cut) else cut
+        many = cut - starts > 1
+        for lo, hi in zip(starts[many].tolist(), cut[many].tolist()):
+            yield rows[lo:hi, :-1]
+
+
+def near_links(prints: DataFrame, blocks: int, radius: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) within radius bits, enough to connect all that are."""
-    n = prints.count()
-    masks = block_masks(blocks_for(max(n, 1), radius), radius)
-    keys = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("block")) for i, m in enumerate(masks)))
-    dealt = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.block")
-    dealt = dealt.repartition("choice", "block").sortWithinPartitions("choice", "block")
 
     def link(batches):
-        rest = None  # the last bucket so far, which the next batch may continue
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2, 0)], 1)
-                rows = rows if rest is None else np.concatenate([rest, rows])
-                if not len(rows):
-                    continue
-                cut = np.nonzero((rows[1:, :2] != rows[:-1, :2]).any(1))[0] + 1
-                last = int(cut[-1]) if len(cut) else 0
-                rest, rows, cut = rows[last:], rows[:last], cut[:-1] if len(cut) else cut
-            elif rest is not None:
-                rows, cut = rest, np.zeros(0, np.int64)
-            else:
-                continue
-            if not len(rows):
-                continue
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(rows)]])
-            a, b = [], []
-            two = (ends - starts) == 2
-            first = rows[starts[two], 2].view(np.uint64)
-            second = rows[starts[two] + 1, 2].view(np.uint64)
-            near = np.bitwise_count(first ^ second) <= radius
-            a.append(first[near])
-            b.append(second[near])
-            for lo, hi in zip(starts[(ends - starts) > 2].tolist(), ends[(ends - starts) > 2].tolist()):
-                x, y = spanning_links(rows[lo:hi, 2].copy().view(np.uint64), radius)
+        a, b = [], []
+        for rows in sorted_buckets(batches):
+            x, y = spanning_links(rows[:, 0].copy().view(np.uint64), radius)
+            if len(x):
                 a.append(x)
                 b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
+            if len(a) > 4096:
+                yield _pairs(a, b)
+                a, b = [], []
+        if a:
+            yield _pairs(a, b)
 
+    dealt = keyed(prints, blocks, radius)
     return dealt.mapInArrow(link, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
+
+
+def near_components(docs: DataFrame, shingle: int = 3, blocks: int = 6, radius: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, n_near.
 
     component_id: the smallest doc_id reachable over fingerprints within `radius` bits, itself
@@ -179,13 +189,125 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     """
     rows = materialise(docs.select("doc_id", fingerprint_udf(shingle)("text").alias("fp")), "prints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-prints")
-    roots = components(near_links(prints.select("fp"), radius)).withColumnRenamed("node", "fp")
+    roots = components(near_links(prints.select("fp"), blocks, radius)).withColumnRenamed("node", "fp")
     named = materialise(prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_near"))
     by_print = named.join(whole, "root").select("fp", "component_id", "n_near")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_near")
 
 
+class WordPrints(dict):
+    """A word's hash, kept from its first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MOST_WORDS_KEPT:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def sketch(words: list[bytes], shingle: int) -> np.ndarray:
+    """The smallest SKETCH of the distinct hashes of a text's shingles: all of them for short texts."""
+    return np.unique((shingle_hashes(words, shingle) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of shingles that two texts have in common, from their sketches; exact where both are short."""
+    union = np.union1d(a, b)
+    full = max(len(a), len(b)) >= SKETCH
+    least = union[:SKETCH] if full else union
+    return float(np.isin(least, np.intersect1d(a, b)).sum() / len(least)) if len(least) else 1.0
+
+
+def signatures(docs: DataFrame, shingle: int, prints: int) -> DataFrame:
+    """(doc_id, fps, sketch) of the rows with a doc_id: `prints` fingerprints of the set of words, and the shingle sketch."""
+    seeds = [np.uint64(0x9E3779B97F4A7C15 * i & (2**64 - 1)) for i in range(prints)]
+
+    @F.arrow_udf("struct<fps: array<bigint>, sketch: binary>")
+    def signed(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = WordPrints()
+        for batch in text:
+            fps, sketches = [], []
+            for t in text_bytes(batch):
+                words = t.lower().split()
+                h = np.fromiter(map(known.__getitem__, set(words)), np.uint64)
+                fps.append(np.array([fingerprint(h if not seed else mix64(h ^ seed)) for seed in seeds], np.uint64).view(np.int64))
+                sketches.append(sketch(words, shingle).tobytes())
+            yield pa.StructArray.from_arrays([pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["fps", "sketch"])
+
+    return docs.where("doc_id is not null").select("doc_id", signed("text").alias("s")).select("doc_id", "s.fps", "s.sketch")
+
+
+def bucket_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs within radius: all pairs of a small bucket; of a large one, each member with the first pivot in reach.
+
+    The first pivot is the member nearest to the bitwise majority, so copies meet their original.
+    """
+    n = len(prints)
+    if n <= SMALL_BUCKET:
+        a, b = np.triu_indices(n, 1)
+        near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
+        return a[near], b[near]
+    bits = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    majority = ((2 * bits > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()
+    rest, pivot, a, b = np.arange(n), int(np.bitwise_count(prints ^ majority).argmin()), [], []
+    while len(rest) > 1:
+        near = np.bitwise_count(prints[rest] ^ prints[pivot]) <= radius
+        mine = rest[near & (rest != pivot)]
+        a.append(np.full(len(mine), pivot))
+        b.append(mine)
+        rest = rest[~near]
+        pivot = int(rest[0]) if len(rest) else 0
+    return np.concatenate(a), np.concatenate(b)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 4, blocks: int = 7, radius: int = 4) -> DataFrame:
+    """(doc_id, root) of the documents that have near-duplicates: root is the smallest doc_id of the group.
+
+    Candidates share a block choice of one of `prints` SimHash fingerprints over their sets of words
+    and lie within `radius` bits there; they are linked if the sketches of their `shingle`-word
+    shingles show at least the given similarity. Large buckets link members to pivots, so a group of
+    n documents gives about n candidates, not n * n. Rows with a null doc_id have no group; repeated
+    rows share a doc_id and so a group; texts without words are alike. Other columns are not read.
+    """
+    rows = materialise(signatures(docs, shingle, prints), "signatures")
+    each = rows.select("doc_id", F.posexplode("fps").alias("which", "fp"))
+    dealt = keyed(each, blocks, radius, "doc_id", "which")
+
+    def link(batches):
+        a, b = [], []
+        for bucket in sorted_buckets(batches):
+            x, y = bucket_links(bucket[:, 1].copy().view(np.uint64), radius)
+            if len(x):
+                a.append(bucket[x, 0])
+                b.append(bucket[y, 0])
+            if len(a) > 4096:
+                yield _pairs(a, b)
+                a, b = [], []
+        if a:
+            yield _pairs(a, b)
+
+    pairs = dealt.mapInArrow(link, "a bigint, b bigint").where("a <> b")
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sketches = materialise(rows.dropDuplicates(["doc_id"]).join(ends, "doc_id").select("doc_id", "sketch"), "sketches")
+    both = pairs.join(sketches.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b")
+
+    @F.arrow_udf("double")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        pairs = zip(*(map(lambda v: np.frombuffer(v, np.uint32), c.to_pylist()) for c in (x, y)))
+        return pa.array([resemblance(a, b) for a, b in pairs], pa.float64())
+
+    verified = both.where(alike("x", "y") >= similarity).select("a", "b")
+    return components(verified).withColumnsRenamed({"node": "doc_id"})
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document, that of the smallest doc_id, of each group of near-duplicates."""
+    losers = near_duplicates(docs, shingle, similarity).where("doc_id <> root").select("doc_id")
+    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
 
