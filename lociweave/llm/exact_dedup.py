@@ -157,6 +157,12 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     )
 
 
+def drop_exact_copies(docs: DataFrame) -> DataFrame:
+    """docs with one row, that of the largest doc_id, of each group of equal texts; rows without a doc_id stay."""
+    losers = exact_dedup(docs).where("not kept and doc_id is not null").select("doc_id")
+    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

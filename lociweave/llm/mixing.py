@@ -56,9 +56,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> Data
     taken or left together. A source without words has target 0. An empty table gives an empty
     result. Other columns are not read. Reruns agree: nothing depends on order or partitions.
     """
+    rows = materialise(measured(docs).select("row.doc_id", "key", "size", "hash"), "sizes")
+    return taken(rows, rows, weights, share, most).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> DataFrame:
+    """The documents of the mix, with all their columns and mix_copies, how often the mix repeats each; the rest go."""
+    every = measured(docs)
+    rows = materialise(every.drop("row"), "sizes")
+    mixed = taken(every, rows, weights, share, most).where("copies > 0")
+    return mixed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "mix_copies"), F.col("copies").alias("mix_copies"))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """key (of the source), size and hash of each row of docs, with the row itself."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
-    rows = materialise(docs.select("doc_id", key.alias("key"), size.alias("size"), row_hash().alias("hash")), "sizes")
+    return docs.select(F.struct("*").alias("row"), key.alias("key"), size.alias("size"), row_hash().alias("hash"))
+
+
+def taken(to: DataFrame, rows: DataFrame, weights, share, most) -> DataFrame:
+    """`to` with source_size, target and copies, from the sizes in `rows`; both have key, size and hash."""
     sizes = rows.groupBy("key").agg(F.sum("size").alias("source_size"))
     sizes = sizes.withColumn("source", F.when(F.col("key") != "null", F.substring("key", 2, 1 << 30)))
     targets = source_targets(sizes, weights, share, most)
@@ -69,7 +87,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> Data
     for level in range(1, LEVELS + 1):
         edge = materialise(_refine(rows, edge, DIGITS * level), f"edge-{level}")
     extra = F.when(F.col("edge").isNull() | (F.col("hash") < F.col("edge")), 1).when(F.col("hash") == F.col("edge"), (F.col("words") <= 2 * F.col("rest")).cast("int")).otherwise(0)
-    return rows.join(plan.join(edge, "key"), "key").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).alias("taken"))
+    return to.join(plan.join(edge, "key").drop("budget"), "key").withColumn("copies", F.col("copies") + extra)
 
 
 def _refine(rows: DataFrame, edge: DataFrame, digits: int) -> DataFrame:
