@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE_SQL.
-MODULES = ("exact_dedup", "mixing", "simhash", "language", "tokens", "quality", "decontamination", "language_model", "substring_dedup")
+MODULES = ("exact_dedup", "mixing", "simhash", "language", "tokens", "quality", "decontamination", "language_model", "substring_dedup", "line_dedup")
 
 
 def queries() -> dict:
