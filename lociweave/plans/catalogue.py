@@ -2,12 +2,470 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.expressions import de_class, student_p
+from ..operators import annotate, cluster, enrich, network, prep, report, resample, similarity
+from ..sources import gtf
+from ..sources import projections as P
+from .storage import materialise
+
+POWER = 6.0
+LEAST_COUNT = 40.0
+
+_C1 = """qd as (select distinct date_trunc('quarter', l_shipdate) qt from lineitem),
+so as (select qt, row_number() over (order by qt) - 1 as sample_ord from qd),
+xx as (select l_partkey gene_id, date_trunc('quarter', l_shipdate) qt, sum(l_quantity) cnt from lineitem group by 1, 2),
+c1 as (select p.p_partkey gene_id, so.sample_ord, coalesce(xx.cnt, 0.0::double) cnt
+       from part p cross join so left join xx on xx.gene_id = p.p_partkey and xx.qt = so.qt)"""
+_D1 = """d1 as (select gene_id, ln((avg(cnt) filter (where sample_ord >= 14) + 0.5::double) / (avg(cnt) filter (where sample_ord < 14) + 0.5::double)) / ln(2.0::double) log2fc,
+       (((gene_id * 7919) % 1000)::double + 0.5::double) / 1000.0::double pval from c1 group by gene_id)"""
+_KEPT = """kept as (select * from c1 where gene_id in (select gene_id from c1 where sample_ord > 0 and cnt > 40 group by 1
+       having count(*) > ceil(((select count(*) from so) - 1) / 4.0)))"""
+_E1 = """e1 as (select vec_id gene_id, embedding::double[] v, label as module from embeddings)"""
+_R = """zz as (select gene_id, module, list_transform(v, lambda x: x - list_avg(v)) z from e1),
+nn as (select gene_id, module, list_transform(z, lambda x: x / sqrt(list_inner_product(z, z))) z from zz),
+rr as (select a.gene_id i, b.gene_id j, greatest(-1.0::double, least(1.0::double, list_inner_product(a.z, b.z))) r from nn a join nn b on a.gene_id < b.gene_id)"""
+_A = """aa as (select i, j, pow(abs(r), 6.0) a from rr), sy as (select i, j, a from aa union all select j, i, a from aa)"""
+_TOM = """kk as (select i, sum(a) k from sy group by 1),
+pp as (select x.i, y.j, sum(x.a * y.a) s from sy x join sy y on x.j = y.i where x.i < y.j group by 1, 2),
+tom as (select aa.i, aa.j, (coalesce(pp.s, 0) + aa.a) / (least(p.k, q.k) + 1 - aa.a) tom from aa left join pp using (i, j) join kk p on p.i = aa.i join kk q on q.i = aa.j)"""
+_G1 = """g1 as (select gene_id, module, gene_id % 5 = 0 is_nc, ((gene_id * 37) % 61 - 30) / 10.0::double log2fc, (((gene_id * 7919) % 1000) + 0.5::double) / 1000.0::double pval from e1)"""
+_CLASS = """case when log2fc > 1 and pval < 0.05 then 'up-sig' when (log2fc > 0 and log2fc < 1) or (log2fc > 1 and pval > 0.05) then 'up-ns'
+       when log2fc < -1 and pval < 0.05 then 'down-sig' when (log2fc < 0 and log2fc > -1) or (log2fc < -1 and pval > 0.05) then 'down-ns' else 'none' end"""
+_W = """mm as (select sy.i, p.module m, sum(sy.a) kt, sum(case when p.module = q.module then sy.a else 0 end) kw from sy join e1 p on p.gene_id = sy.i join e1 q on q.gene_id = sy.j group by 1, 2),
+ww as (select i gene_id, m as module, kt, case when m <> 0 then kw end k from mm)"""
+_L1 = """l1 as (select i.iter, g.gene_id, case when i.iter > 0 and g.gene_id % 20 = i.iter - 1 then null
+       when (g.gene_id * 31 + i.iter * 17) % 10 < 8 then ((g.gene_id % 6) + i.iter) % 6 else (g.gene_id * 13 + i.iter * 7) % 6 end module
+       from (select p_partkey gene_id from part) g cross join (select unnest(range(0, 21)) iter) i)"""
+_MATCH = """f0 as (select gene_id, module base from l1 where iter = 0 and module is not null),
+fs as (select iter, module, min(gene_id) first_seen from l1 where iter > 0 and module is not null group by 1, 2),
+ov as (select f0.base, l1.iter, l1.module, count(*) n from l1 join f0 using (gene_id) where l1.iter > 0 and l1.module is not null group by 1, 2, 3),
+mt as (select b.base as module, b.iter, m.matched from (select distinct base, iter from f0 cross join (select distinct iter from l1 where iter > 0)) b
+       left join (select base, iter, module matched, row_number() over (partition by base, iter order by n desc, first_seen) r from ov join fs using (iter, module)) m
+       on m.base = b.base and m.iter = b.iter and m.r = 1),
+hh as (select f0.gene_id, f0.base as module, l1.iter, case when l1.module = mt.matched then 1 else 0 end hit from l1 join f0 using (gene_id) join mt on mt.module = f0.base and mt.iter = l1.iter where l1.iter > 0)"""
+_T1 = """t1 as (select unnest(['B:' || p_brand, 'S:' || p_size::varchar, 'T:' || p_type]) term_id, p_partkey gene_id from part),
+m1 as (select p_partkey gene_id, case when p_type = 'PROMO' or (p_type = 'ECONOMY' and p_partkey % 2 = 0) then 1 when p_type = 'SMALL' or (p_type = 'ECONOMY' and p_partkey % 2 = 1) then 2
+       when p_type = 'LARGE' then 3 else 0 end as module from part)"""
+_TAIL = """jj as (select *, unnest(range(greatest(k, drawn - (total - marked)), least(drawn, marked) + 1)) j from cc),
+ln1 as (select {key}, total, drawn, lgamma(marked + 1) - lgamma(j + 1) - lgamma(marked - j + 1) + lgamma(total - marked + 1) - lgamma(drawn - j + 1) - lgamma(total - marked - drawn + j + 1) t from jj),
+mx as (select {key}, max(t) m from ln1 group by all),
+pv as (select {key}, least(0.0::double, (any_value(m) + ln(sum(exp(t - m))) - (lgamma(any_value(total) + 1) - lgamma(any_value(drawn) + 1) - lgamma(any_value(total) - any_value(drawn) + 1))) / ln(10.0::double)) log10_p
+       from ln1 join mx using ({key}) group by {key})"""
+_HYPER = """ts as (select term_id, count(*) n from t1 group by 1), qs as (select module, count(*) n from m1 where module <> 0 group by 1),
+cc as (select m1.module, t1.term_id, count(*) k, any_value(qs.n) drawn, any_value(ts.n) marked, (select count(*) from m1) total from t1 join m1 using (gene_id) join ts using (term_id) join qs on qs.module = m1.module group by 1, 2),
+""" + _TAIL.format(key="module, term_id")
+
+
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+def _kept(spark: SparkSession, d: str) -> DataFrame:
+    return prep.filter_low_expression(P.counts(spark, d), LEAST_COUNT)
+
+
+def counts_long(spark, d):
+    return P.counts(spark, d)
+
+
+def filter_low_expression(spark, d):
+    return _kept(spark, d)
+
+
+def deg_filter(spark, d):
+    c = P.counts(spark, d)
+    dge = P.differential(c).join(prep.filter_low_expression(c, LEAST_COUNT).select("gene_id").distinct(), "gene_id", "left_semi")
+    return _rounded(prep.differential_genes(dge, 0.05, 0.5), log2fc=8)
+
+
+def sd_gate(spark, d):
+    c = P.counts(spark, d)
+    return _rounded(prep.sd_gate(c, prep.differential_genes(P.differential(c), 0.05, 0.5)), sd=8, threshold=8)
+
+
+def prep_deg_expr(spark, d):
+    c = P.counts(spark, d)
+    return _rounded(prep.prepare(c, P.differential(c), "DEG", 0.05, 0.5, least=LEAST_COUNT), value=6)
+
+
+def mad_topk(spark, d):
+    return _rounded(prep.top_variable(P.counts(spark, d), 500), mad=6)
+
+
+def prep_var_expr(spark, d):
+    c = P.counts(spark, d)
+    return _rounded(prep.prepare(c, P.differential(c), "var", top=300, least=LEAST_COUNT), value=6)
+
+
+def log_transform(spark, d):
+    return _rounded(prep.log_cpm(P.counts(spark, d)), value=6)
+
+
+def log_transform_by_sample(spark, d):
+    return _rounded(prep.log_cpm(P.counts(spark, d), "sample"), value=6)
+
+
+def sample_distance(spark, d):
+    return _rounded(prep.sample_distance(prep.log_cpm(P.counts(spark, d))), distance=6)
+
+
+def _nc(a: DataFrame) -> DataFrame:
+    return a.where("is_nc").select("gene_id", "gene_name")
+
+
+def annotation_first_match(spark, d):
+    a = P.annotation(spark, d)
+    return annotate.annotate(a.select("gene_id"), a.select("gene_id", "gene_name"), _nc(a))
+
+
+def coding_antijoin(spark, d):
+    a = P.annotation(spark, d)
+    return annotate.coding(a.select("gene_id", "gene_name"), _nc(a))
+
+
+def version_strip_dedup(spark, d):
+    p = P.table(spark, d, "part")
+    versioned = F.concat((F.col("p_partkey") % 700).cast("string"), F.lit("."), (F.col("p_size") % 3).cast("string"))
+    rows = p.select(versioned.alias("gene_id"), F.concat("p_name", F.lit(".1")).alias("gene_name"), "p_partkey")
+    rows = rows.select(gtf.strip_version("gene_id").alias("gene_id"), gtf.strip_version("gene_name").alias("gene_name"), "p_partkey")
+    return gtf.keep_first(rows, "gene_id", "p_partkey").drop("p_partkey")
+
+
+def validation_violations(spark, d):
+    c, a = P.counts(spark, d), P.annotation(spark, d).where("gene_name not like 'red%'")
+    symbols = a.where("gene_name like 'blue%'").select(F.col("gene_name").alias("symbol")).distinct()
+    return annotate.violations(c, a, P.traits(c).where("sample_ord <> 3"), P.differential(c), symbols)
+
+
+def pearson_pairs(spark, d):
+    return _rounded(similarity.correlations(P.vectors(spark, d)), r=8)
+
+
+def bicor_pairs(spark, d):
+    return _rounded(similarity.correlations(P.vectors(spark, d), "bicor"), r=8)
+
+
+def adjacency(spark, d):
+    return _rounded(similarity.adjacency(similarity.correlations(P.vectors(spark, d)), POWER), a=10)
+
+
+def connectivity(spark, d):
+    return _rounded(network.connectivity(P.vectors(spark, d), [POWER]).select("gene_id", "k"), k=8)
+
+
+def soft_threshold_scan(spark, d):
+    scan = network.scale_free_scan(network.connectivity(P.vectors(spark, d), [float(p) for p in range(1, 21)]))
+    return _rounded(scan, slope=5, r2=6, signed_r2=6, mean_k=8, median_k=8, max_k=8)
+
+
+def tom_pairs(spark, d):
+    return _rounded(network.topological_overlap(P.vectors(spark, d), POWER), tom=8)
+
+
+def _within(spark, d) -> DataFrame:
+    e = P.vectors(spark, d)
+    return network.intramodular(similarity.adjacency(similarity.correlations(e), POWER), e.select("gene_id", "module"))
+
+
+def intramodular_connectivity(spark, d):
+    return _rounded(_within(spark, d), kTotal=8, kWithin=8, kOut=8, kDiff=8)
+
+
+def gene_summary(spark, d):
+    e = P.vectors(spark, d)
+    g = P.vector_genes(e)
+    names = g.select("gene_id", F.concat(F.lit("g"), F.col("gene_id").cast("string")).alias("gene_name"), "is_nc")
+    stability = e.select("gene_id", ((F.col("gene_id") % 10) / 10.0).alias("stability"))
+    out = annotate.gene_summary(e, names.select("gene_id", "gene_name"), _nc(names), e.select("gene_id", "module"), _within(spark, d), g, stability, 0.3, 1.0)
+    return _rounded(out, kTotal=8, kWithin=8, kOut=8, kDiff=8)
+
+
+def module_composition(spark, d):
+    e = P.vectors(spark, d)
+    return report.composition(P.vector_genes(e).join(e.select("gene_id", "module"), "gene_id"))
+
+
+def de_classes(spark, d):
+    return P.vector_genes(P.vectors(spark, d)).select("gene_id", de_class().alias("de_class"))
+
+
+def _module_k(spark, d) -> DataFrame:
+    e = P.vectors(spark, d)
+    return _within(spark, d).join(e.select("gene_id", "module"), "gene_id").select("gene_id", "module", F.col("kWithin").alias("k"))
+
+
+def heatmap_topk(spark, d):
+    e = P.vectors(spark, d)
+    genes = P.vector_genes(e).join(_module_k(spark, d), "gene_id")
+    return _rounded(report.heatmap(network.topological_overlap(e, POWER), genes, 1, 5), tom=8)
+
+
+def connectivity_bucket(spark, d):
+    return _rounded(report.connectivity_buckets(_module_k(spark, d).where("module <> 0")), k_clipped=8)
+
+
+def _near(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = P.vectors(spark, d)
+    tom = materialise(network.topological_overlap(e, POWER), "tom")
+    return tom, report.neighbourhood(tom, e.select("gene_id", "module"), 5, 12)
+
+
+def gene_neighbourhood_topk(spark, d):
+    near = _near(spark, d)[1]
+    return _rounded(report.neighbourhood_table(near, P.vector_genes(P.vectors(spark, d))), connectivity=8)
+
+
+def _nodes(near: DataFrame) -> DataFrame:
+    rank = F.row_number().over(report.Window.orderBy(F.desc("connectivity"), "gene_id")) - 1  # the dozen nodes of a plot
+    return near.select("gene_id", rank.alias("rank"))
+
+
+def subnetwork_edges(spark, d):
+    tom, near = _near(spark, d)
+    return _rounded(report.subnetwork(tom, _nodes(near)), weight=8)
+
+
+def subnetwork_layout(spark, d):
+    return _rounded(report.layout(_nodes(_near(spark, d)[1])), x=6, y=6)
+
+
+def holdout_assignment(spark, d):
+    genes = P.table(spark, d, "part").select(F.col("p_partkey").alias("gene_id"))
+    return resample.assign_groups(genes, 20, F.col("gene_id") * 7919 % 1000)
+
+
+def module_matching(spark, d):
+    return resample.match_modules(P.iteration_labels(spark, d))
+
+
+def module_stability(spark, d):
+    x = P.iteration_labels(spark, d)
+    return _rounded(resample.module_stability(x, resample.match_modules(x)), ratio=8)
+
+
+def _stability(spark, d) -> DataFrame:
+    x = P.iteration_labels(spark, d)
+    return resample.gene_stability(x, resample.match_modules(x))
+
+
+def gene_stability(spark, d):
+    return _rounded(_stability(spark, d), stability=8)
+
+
+def stability_cumulative(spark, d):
+    return resample.cumulative(_stability(spark, d))
+
+
+def stability_box(spark, d):
+    x = P.iteration_labels(spark, d)
+    return _rounded(report.stability_box(resample.module_stability(x, resample.match_modules(x))), lo=8, q1=8, median=8, q3=8, hi=8)
+
+
+def enrichment_hypergeom(spark, d):
+    return _rounded(enrich.enrichment(P.part_modules(spark, d), P.gene_sets(spark, d)), log10_p=7)
+
+
+def enrichment_ordered(spark, d):
+    rank = F.row_number().over(report.Window.partitionBy("module").orderBy("gene_id"))
+    ranked = P.part_modules(spark, d).withColumn("rank", rank)
+    return _rounded(enrich.enrichment_ordered(ranked, P.gene_sets(spark, d)).select("module", "term_id", "log10_p"), log10_p=7)
+
+
+def enrichment_bh(spark, d):
+    tests = enrich.enrichment(P.part_modules(spark, d), P.gene_sets(spark, d))
+    return _rounded(enrich.benjamini_hochberg(tests).select("module", "term_id", "q"), q=8)
+
+
+def submodule_genes(spark, d):
+    modules, sets = P.part_modules(spark, d), P.gene_sets(spark, d)
+    clusters = sets.where("term_id not like 'T:%'").join(modules.where("module <> 0"), "gene_id").select("module", "term_id").distinct().withColumn("cluster", F.length("term_id") % 3 + 1)
+    return enrich.submodule_genes(clusters, sets, modules)
+
+
+def submodule_nc(spark, d):
+    e = P.vectors(spark, d)
+    modules, genes = e.select("gene_id", "module"), P.vector_genes(e)
+    sub = modules.where("module <> 0 and gene_id % 5 <> 0").withColumn("cluster", (F.col("gene_id") % 3 + 1).cast("int"))
+    pairs = network.both_ways(similarity.adjacency(similarity.correlations(e), POWER))
+    return _rounded(enrich.connected_nc(sub, pairs, genes, modules), median_kwithin=8)
+
+
+def _mean_profile(spark, d) -> DataFrame:
+    e = P.vectors(spark, d).where("module <> 0").select("module", F.posexplode("v").alias("sample_ord", "x"))
+    return e.groupBy("module", "sample_ord").agg(F.avg("x").alias("me"))
+
+
+def _vector_trait(profile: DataFrame) -> DataFrame:
+    return profile.select("sample_ord", (F.col("sample_ord") % 2).cast("double").alias("trait")).distinct()
+
+
+def trait_correlation(spark, d):
+    m = _mean_profile(spark, d)
+    return _rounded(cluster.trait_correlation(m, _vector_trait(m)), corr=8)
+
+
+def student_p_values(spark, d):
+    m = _mean_profile(spark, d)
+    x = cluster.trait_correlation(m, _vector_trait(m))
+    return x.select("module", F.round(student_p(F.col("corr"), F.col("n").cast("double")), 8).alias("p"))
+
+
+def eigengene(spark, d):
+    e = P.vectors(spark, d)
+    return _rounded(cluster.eigengenes(e, e.select("gene_id", "module")), me=6, explained=6)
+
+
+def upgma_tree(spark, d):
+    return _rounded(cluster.sample_tree(prep.sample_distance(prep.log_cpm(P.counts(spark, d)))), height=6)
+
+
+def static_cut(spark, d):
+    return cluster.keep_samples(prep.sample_distance(prep.log_cpm(P.counts(spark, d))), 1e9)
+
+
+def dynamic_modules(spark, d):
+    return cluster.detect_modules(P.vectors(spark, d).select("gene_id", "v"), POWER, "bicor", least=10)
+
+
+def jackknife(spark, d):
+    e = P.vectors(spark, d).select("gene_id", "v")
+    return cluster.detect_modules(e, POWER, "pearson", least=10, held_out=resample.assign_groups(e, 4), iterations=4)
+
+
+def term_reduction(spark, d):
+    sets = P.gene_sets(spark, d)
+    tests = enrich.enrichment(P.part_modules(spark, d), sets).where("log10_p < -0.5")
+    terms = sets.select(F.col("term_id").alias("term")).distinct()
+    kind = F.substring("term", 1, 2)
+    fine = F.concat(kind, F.lit("/"), (F.length("term") % 2).cast("string"))
+    parents = terms.select(F.col("term").alias("child"), fine.alias("parent")).union(terms.select(fine, kind)).union(terms.select(kind, F.lit("root"))).distinct()
+    sizes = sets.groupBy(F.col("term_id").alias("term")).count()
+    total = float(P.table(spark, d, "part").count())
+    ic = sizes.select("term", (-F.log(F.col("count") / total)).alias("ic")).union(parents.select("parent").distinct().select("parent", F.when(F.col("parent") == "root", 0.0).when(F.length("parent") == 2, 0.5).otherwise(0.9)))
+    sim = enrich.relevance(parents, ic, tests.select(F.col("term_id").alias("term")).distinct())
+    return _rounded(enrich.reduce_terms(tests, sim), score=6)
+
+
+_N = f"""own as (select case when i = 5 then j else i end gene_id, tom connectivity from tom where i = 5 or j = 5 union all select 5, 1.0::double),
+ins as (select own.* from own join e1 using (gene_id) where e1.module = (select module from e1 where gene_id = 5)),
+near as (select * from ins where connectivity > (select quantile_cont(connectivity, 0.5) from ins) order by connectivity desc, gene_id limit 12),
+nodes as (select gene_id, row_number() over (order by connectivity desc, gene_id) - 1 as rank from near)"""
+
+_SQL = {
+    "counts_long": f"with {_C1} select gene_id, sample_ord, cnt from c1",
+    "filter_low_expression": f"with {_C1}, {_KEPT} select gene_id, sample_ord, cnt from kept",
+    "deg_filter": f"with {_C1}, {_D1}, {_KEPT} select gene_id, round(log2fc, 8) log2fc, pval from d1 where gene_id in (select gene_id from kept) and pval < 0.05 and abs(log2fc) > 0.5",
+    "sd_gate": f"""with {_C1}, {_D1}, sd as (select gene_id, stddev_samp(cnt) sd from c1 group by 1),
+th as (select quantile_cont(sd, 0.01) threshold from sd where gene_id in (select gene_id from d1 where pval < 0.05 and abs(log2fc) > 0.5))
+select gene_id, round(sd, 8) sd, round(threshold, 8) threshold from sd, th where sd > threshold""",
+    "prep_deg_expr": f"""with {_C1}, {_D1}, {_KEPT}, sd as (select gene_id, stddev_samp(cnt) sd from kept group by 1),
+th as (select quantile_cont(sd, 0.01) threshold from sd where gene_id in (select gene_id from d1 where pval < 0.05 and abs(log2fc) > 0.5)),
+tt as (select gene_id, sum(cnt) total from kept group by 1)
+select gene_id, sample_ord, round(log2((cnt + 0.5) / (total + 1.0) * 1e6), 6) as value from kept join tt using (gene_id) where gene_id in (select gene_id from sd, th where sd > threshold)""",
+    "mad_topk": f"""with {_C1}, md as (select gene_id, quantile_cont(cnt, 0.5) med from c1 where sample_ord > 0 group by 1),
+mm as (select gene_id, 1.4826::double * quantile_cont(abs(cnt - med), 0.5) mad from c1 join md using (gene_id) where sample_ord > 0 group by 1)
+select gene_id, round(mad, 6) mad from mm order by mm.mad desc, gene_id limit 500""",
+    "prep_var_expr": f"""with {_C1}, {_KEPT}, md as (select gene_id, quantile_cont(cnt, 0.5) med from kept where sample_ord > 0 group by 1),
+mm as (select gene_id, 1.4826::double * quantile_cont(abs(cnt - med), 0.5) mad from kept join md using (gene_id) where sample_ord > 0 group by 1),
+top as (select gene_id from mm order by mad desc, gene_id limit 300), tt as (select gene_id, sum(cnt) total from kept group by 1)
+select gene_id, sample_ord, round(log2((cnt + 0.5) / (total + 1.0) * 1e6), 6) as value from kept join tt using (gene_id) where gene_id in (select gene_id from top)""",
+    "log_transform": f"with {_C1}, tt as (select gene_id, sum(cnt) total from c1 group by 1) select gene_id, sample_ord, round(log2((cnt + 0.5) / (total + 1.0) * 1e6), 6) as value from c1 join tt using (gene_id)",
+    "log_transform_by_sample": f"with {_C1}, tt as (select sample_ord, sum(cnt) total from c1 group by 1) select gene_id, sample_ord, round(log2((cnt + 0.5) / (total + 1.0) * 1e6), 6) as value from c1 join tt using (sample_ord)",
+    "sample_distance": f"""with {_C1}, tt as (select gene_id, sum(cnt) total from c1 group by 1), lx as (select gene_id, sample_ord, log2((cnt + 0.5) / (total + 1.0) * 1e6) x from c1 join tt using (gene_id))
+select a.sample_ord s, b.sample_ord t, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) distance from lx a join lx b on a.gene_id = b.gene_id and a.sample_ord < b.sample_ord group by 1, 2""",
+    "annotation_first_match": "select p_partkey gene_id, p_name gene_name, p_type = 'PROMO' is_nc from part",
+    "coding_antijoin": "select p_partkey gene_id, p_name gene_name from part where p_type <> 'PROMO'",
+    "version_strip_dedup": """select gene_id, gene_name from (select split_part((p_partkey % 700)::varchar || '.' || (p_size % 3)::varchar, '.', 1) gene_id, split_part(p_name || '.1', '.', 1) gene_name, p_partkey from part)
+qualify row_number() over (partition by gene_id order by p_partkey) = 1""",
+    "validation_violations": """with g as (select p_partkey from part where p_name like 'red%'), a as (select distinct p_name from part where p_name not like 'red%'),
+r as (select round_even(100.0 * count(*) filter (where p_name like 'blue%') / count(*), 0)::bigint n from a)
+select 'count gene without annotation' as rule, min(p_partkey)::varchar detail, count(*) n from g
+union all select 'count sample without trait', '3', 1 union all select 'differential gene without annotation', min(p_partkey)::varchar, count(*) from g
+union all select 'symbols mapped below half', n::varchar, n from r where n < 50""",
+    "pearson_pairs": f"with {_E1}, {_R} select i, j, round(r, 8) r from rr",
+    "bicor_pairs": f"""with {_E1}, md as (select gene_id, v, list_median(v) med from e1), dd as (select gene_id, list_transform(v, lambda x: x - med) d from md),
+ma as (select gene_id, d, list_median(list_transform(d, lambda x: abs(x))) mad from dd),
+uu as (select gene_id, list_transform(d, lambda x: x * pow(1 - pow(x / (9 * mad), 2), 2) * (case when abs(x / (9 * mad)) < 1 then 1 else 0 end)) w from ma),
+nn as (select gene_id, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) z from uu)
+select a.gene_id i, b.gene_id j, round(list_inner_product(a.z, b.z), 8) r from nn a join nn b on a.gene_id < b.gene_id""",
+    "adjacency": f"with {_E1}, {_R}, {_A} select i, j, round(a, 10) a from aa",
+    "connectivity": f"with {_E1}, {_R}, {_A} select i gene_id, round(sum(a), 8) k from sy group by 1",
+    "soft_threshold_scan": f"""with {_E1}, {_R}, pw as (select unnest(range(1, 21))::double as power), s2 as (select i, j, abs(r) r from rr union all select j, i, abs(r) from rr),
+kp as (select power, i, sum(pow(r, power)) k from s2, pw group by 1, 2),
+sp as (select power, min(k) lo, max(k) hi, avg(k) mean_k, quantile_cont(k, 0.5) median_k, count(*) n from kp group by 1),
+bn as (select kp.power, greatest(1, least(10, ceil((k - lo) / ((hi - lo) / 10)))) bin, avg(k) kb, count(*) c from kp join sp on sp.power = kp.power group by 1, 2),
+pt as (select sp.power, mean_k, median_k, hi, log10(coalesce(bn.kb, lo + (hi - lo) / 10 * (g.bin - 0.5))) x, log10(coalesce(bn.c / sp.n, 0) + 1e-9) y
+  from sp cross join (select unnest(range(1, 11)) bin) g left join bn on bn.power = sp.power and bn.bin = g.bin),
+ft as (select power, regr_slope(y, x) slope, regr_r2(y, x) r2, max(mean_k) mean_k, max(median_k) median_k, max(hi) max_k from pt group by 1)
+select power, round(slope, 5) slope, round(r2, 6) r2, round(-sign(slope) * r2, 6) signed_r2, round(mean_k, 8) mean_k, round(median_k, 8) median_k, round(max_k, 8) max_k from ft""",
+    "tom_pairs": f"with {_E1}, {_R}, {_A}, {_TOM} select i, j, round(tom, 8) tom from tom",
+    "intramodular_connectivity": f'with {_E1}, {_R}, {_A}, {_W} select gene_id, round(kt, 8) "kTotal", round(k, 8) "kWithin", round(kt - k, 8) "kOut", round(k - (kt - k), 8) "kDiff" from ww',
+    "gene_summary": f"""with {_E1}, {_R}, {_A}, {_W}, {_G1} select g1.gene_id, 'g' || g1.gene_id::varchar gene_name, is_nc, g1.module,
+(g1.gene_id % 10) / 10.0::double > 0.3 stable, round(kt, 8) "kTotal", round(k, 8) "kWithin", round(kt - k, 8) "kOut", round(k - (kt - k), 8) "kDiff", log2fc, pval from g1 join ww using (gene_id)""",
+    "module_composition": f"with {_E1}, {_G1} select module, count(*) filter (where is_nc) n_nc, count(*) filter (where not is_nc) n_coding from g1 where module <> 0 group by 1",
+    "de_classes": f"with {_E1}, {_G1} select gene_id, {_CLASS} de_class from g1",
+    "heatmap_topk": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_W}, {_G1}, own as (select g1.gene_id, is_nc, ww.k, {_CLASS} cl from g1 join ww using (gene_id) where g1.module = 1),
+nc as (select *, row_number() over (order by k desc nulls last, gene_id) rk from own where is_nc and k > (select quantile_cont(k, 0.5) from own where is_nc)),
+co as (select *, row_number() over (order by k desc nulls last, gene_id) rk from own where not is_nc),
+b as (select i, j, tom from tom union all select j, i, tom from tom)
+select nc.gene_id nc_gene, co.gene_id coding_gene, nc.rk::integer nc_rank, co.rk::integer coding_rank, round(tom, 8) tom, nc.cl nc_class, co.cl coding_class
+from nc join co on nc.rk <= 5 and co.rk <= 5 join b on b.i = nc.gene_id and b.j = co.gene_id""",
+    "connectivity_bucket": f"""with {_E1}, {_R}, {_A}, {_W}, q as (select module, quantile_cont(k, 0.1) lo, quantile_cont(k, 0.9) hi from ww where module <> 0 group by 1)
+select gene_id, ww.module, round(least(greatest(k, lo), hi), 8) k_clipped, (floor((least(greatest(k, lo), hi) - lo) / (hi - lo) * 127) + 1)::bigint bucket from ww join q on q.module = ww.module""",
+    "gene_neighbourhood_topk": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_G1}, {_N} select near.gene_id, round(connectivity, 8) connectivity, is_nc, log2fc, pval, abs(log2fc) >= 1 and pval <= 0.05 is_deg from near join g1 using (gene_id)""",
+    "subnetwork_edges": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_N}, ed as (select tom.i, tom.j, tom, a.rank ri, b.rank rj from tom join nodes a on a.gene_id = tom.i join nodes b on b.gene_id = tom.j),
+md as (select quantile_cont(t, 0.5) m from (select tom t from ed union all select tom from ed union all select 1.0 from nodes)),
+wt as (select i, j, ri, rj, case when tom < m then 0.0 else tom end weight from ed, md), qq as (select quantile_cont(weight, 0.9) q from wt where weight > 0)
+select i, j, round(weight, 8) weight, ri = 0 or rj = 0 or weight >= q visible from wt, qq""",
+    "subnetwork_layout": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_N} select gene_id, rank::integer as rank, round(case when rank = 0 then 0 else cos(2 * pi() * rank / ((select count(*) from nodes) - 1)) end, 6) x,
+round(case when rank = 0 then 0 else sin(2 * pi() * rank / ((select count(*) from nodes) - 1)) end, 6) y from nodes""",
+    "holdout_assignment": "select p_partkey gene_id, ((row_number() over (order by (p_partkey * 7919) % 1000, p_partkey) - 1) % 20 + 1)::integer iter from part",
+    "module_matching": f"with {_L1}, {_MATCH} select module::integer as module, iter::integer iter, matched::integer matched from mt",
+    "module_stability": f"with {_L1}, {_MATCH} select module::integer as module, iter::integer iter, round(sum(hit) / count(*), 8) ratio from hh where module <> 0 group by module, iter",
+    "gene_stability": f"with {_L1}, {_MATCH} select gene_id, round(sum(hit) / count(*), 8) stability from hh group by 1",
+    "stability_cumulative": f"""with {_L1}, {_MATCH}, st as (select gene_id, sum(hit) / count(*) s from hh group by 1)
+select k * 0.1::double cutoff, count(*) filter (where s < k * 0.1::double) n_genes from st, (select unnest(range(0, 11)) k) group by 1""",
+    "stability_box": f"""with {_L1}, {_MATCH}, rt as (select module, iter, sum(hit) / count(*) ratio from hh where module <> 0 group by 1, 2)
+select module::integer as module, round(min(ratio), 8) lo, round(quantile_cont(ratio, 0.25), 8) q1, round(quantile_cont(ratio, 0.5), 8) median, round(quantile_cont(ratio, 0.75), 8) q3, round(max(ratio), 8) hi from rt group by module""",
+    "enrichment_hypergeom": f"with {_T1}, {_HYPER} select module, term_id, k, marked term_size, drawn query_size, total background, round(log10_p, 7) log10_p from cc join pv using (module, term_id)",
+    "enrichment_ordered": f"""with {_T1}, rk as (select *, row_number() over (partition by module order by gene_id) as rank from m1), ts as (select term_id, count(*) n from t1 group by 1),
+cc as (select rk.module, t1.term_id, rk.rank drawn, row_number() over (partition by rk.module, t1.term_id order by rk.rank) k, ts.n marked, (select count(*) from m1) total
+       from t1 join rk using (gene_id) join ts using (term_id) where rk.module <> 0),
+{_TAIL.format(key="module, term_id, drawn").replace("select module, term_id, drawn, total, drawn,", "select module, term_id, drawn, total,")}
+select module, term_id, round(min(log10_p), 7) log10_p from pv group by 1, 2""",
+    "enrichment_bh": f"""with {_T1}, {_HYPER}, rk as (select *, row_number() over (partition by module order by log10_p, term_id) r, count(*) over (partition by module) n from pv)
+select module, term_id, round(least(1.0, min(pow(10.0, log10_p) * n / r) over (partition by module order by log10_p desc, term_id desc rows unbounded preceding)), 8) q from rk""",
+    "submodule_genes": f"""with {_T1}, cl as (select distinct module, term_id, length(term_id) % 3 + 1 as cluster from t1 join m1 using (gene_id) where module <> 0 and term_id not like 'T:%')
+select distinct cl.module, cl.cluster::integer as cluster, gene_id from cl join t1 using (term_id) join m1 using (gene_id) where m1.module = cl.module""",
+    "submodule_nc": f"""with {_E1}, {_R}, {_A}, {_G1}, sub as (select module, gene_id % 3 + 1 as cluster, gene_id from e1 where module <> 0 and gene_id % 5 <> 0),
+kin as (select s.module, s.cluster, s.gene_id, sum(sy.a) k from sub s join sub t on t.module = s.module and t.cluster = s.cluster and t.gene_id <> s.gene_id join sy on sy.i = s.gene_id and sy.j = t.gene_id group by 1, 2, 3),
+md as (select s.module, s.cluster, quantile_cont(coalesce(kin.k, 0), 0.5) m from sub s left join kin using (module, cluster, gene_id) group by 1, 2),
+nk as (select s.module, s.cluster, g.gene_id, any_value(g.log2fc) log2fc, any_value(g.pval) pval, sum(sy.a) k from g1 g join sub s on s.module = g.module join sy on sy.i = g.gene_id and sy.j = s.gene_id where g.is_nc group by 1, 2, 3),
+ov as (select nk.* from nk join md using (module, cluster) where k > m)
+select md.module, md.cluster::integer as cluster, round(m, 8) median_kwithin, count(ov.gene_id) n_nc, coalesce(string_agg(ov.gene_id::varchar, ', ' order by ov.gene_id), '') nc_ids,
+count(*) filter (where abs(log2fc) > 1 and pval < 0.05) n_nc_de from md left join ov using (module, cluster) group by md.module, md.cluster, m""",
+    "trait_correlation": f"""with {_E1}, ex as (select module, unnest(v) x, generate_subscripts(v, 1) - 1 s from e1 where module <> 0), me as (select module, s, avg(x) me from ex group by 1, 2)
+select module, round(corr(me, (s % 2)::double), 8) corr, count(*) n from me group by 1""",
+}
+
+_ALL = [
+    counts_long, filter_low_expression, deg_filter, sd_gate, prep_deg_expr, mad_topk, prep_var_expr, log_transform, log_transform_by_sample, sample_distance,
+    annotation_first_match, coding_antijoin, version_strip_dedup, validation_violations, pearson_pairs, bicor_pairs, adjacency, connectivity, soft_threshold_scan,
+    tom_pairs, intramodular_connectivity, gene_summary, module_composition, de_classes, heatmap_topk, connectivity_bucket, gene_neighbourhood_topk, subnetwork_edges,
+    subnetwork_layout, holdout_assignment, module_matching, module_stability, gene_stability, stability_cumulative, stability_box, enrichment_hypergeom,
+    enrichment_ordered, enrichment_bh, submodule_genes, submodule_nc, trait_correlation, student_p_values, eigengene, upgma_tree, static_cut, dynamic_modules,
+    jackknife, term_reduction,
+]
+
 
 def queries() -> dict:
     """Query name to callable of (spark, sf_dir)."""
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return dict(_SQL)
