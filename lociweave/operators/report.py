@@ -33,7 +33,7 @@ def neighbourhood(tom: DataFrame, modules: DataFrame, gene: int, n: int | None =
 
 def neighbourhood_table(near: DataFrame, summary: DataFrame) -> DataFrame:
     """Neighbours with their annotation, connectivities and the inclusive differential flag."""
-    return near.join(summary, "gene_id", "left").withColumn("is_deg", de_inclusive())
+    return near.join(summary, "gene_id", "left").withColumn("is_deg", de_inclusive()).orderBy(F.desc("connectivity"), "gene_id")
 
 
 def subnetwork(tom: DataFrame, nodes: DataFrame) -> DataFrame:
