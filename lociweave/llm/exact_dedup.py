@@ -77,7 +77,7 @@ def _keys(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)[:, :16].copy().view(np.uint64)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def digest_of(text: pa.Array) -> pa.Array:
     """SHA-256 of the text with A-Z lower-cased."""
     return pa.array([hashlib.sha256(t.lower()).digest() for t in text_bytes(text)], pa.binary())
