@@ -24,7 +24,7 @@ class BitRank:
 class FMIndex:
     """Finds every occurrence of patterns of at most `order` symbols in a sequence of symbols of 0 and more.
 
-    Rows are sorted by their first `order` symbols, which is all that patterns of that length need.
+    The sequence ends with 0, and patterns hold no 0. Rows are sorted by their first `order` symbols, which is all that patterns of that length need.
     The Burrows-Wheeler transform is held as a wavelet tree, level by level: a bit for each symbol
     and level, with rank counters.
     """
