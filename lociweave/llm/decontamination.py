@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows with consistent slots.
 
-A text becomes a template: numbers, names (capitals inside a sentence) and units after numbers give
+A text becomes a template: numbers, names (capitalised words inside a sentence) and units after numbers give
 way to typed placeholders, other words to their lower-cased core. Windows of the benchmark's
 templates form a hash table that meets every window of every document. Matching windows on one
 diagonal (position in the document less position in the item) form a hit; its slots must map the
@@ -47,7 +47,8 @@ class Codes(dict):
             self.clear()
         core = word.strip(EDGES)
         code = (xxhash.xxh64_intdigest(core.lower()) >> 7 << 7) | 1 << 6
-        code |= int(CAPITAL) * (core.decode("utf-8", "replace")[:1].isupper()) | int(DIGITS) * bool(NUMBER.fullmatch(word))
+        name = core.decode("utf-8", "replace")
+        code |= int(CAPITAL) * (name[:1].isupper() and not name.isupper()) | int(DIGITS) * bool(NUMBER.fullmatch(word))
         code |= int(ENDS) * word.rstrip(b"\"')]}*#&%$").endswith((b".", b"!", b"?")) | int(UNIT) * (core.lower() in UNITS)
         self[word] = code = int(BREAK) if word == b"\0" else code
         return code
