@@ -26,6 +26,8 @@ from .common import LOWER, UPPER, materialise, mix64, table, text_bytes
 SHARD_DIGESTS = 65_536
 SALT_ROWS = 131_072
 MAX_LEVELS = 48
+#: Stands for a null doc_id inside pandas, which would turn ids into floats.
+NO_ID = -(1 << 63)
 
 
 class MinimalPerfectHash:
@@ -99,16 +101,15 @@ def build_index(groups: DataFrame, shards: int) -> DataFrame:
         order = np.argsort(mph.slots(_keys(digests)))
         return pd.DataFrame(
             {"shard": rows["shard"].iloc[:1], "sizes": [mph.sizes], "bits": [np.packbits(mph.bits).tobytes()],
-             "digests": [b"".join(digests[i] for i in order)], "winners": [rows["keep_id"].astype("Int64").to_numpy(object)[order]]}
+             "digests": [b"".join(digests[i] for i in order)], "winners": [rows["keep_id"].to_numpy(np.int64)[order]]}
         )
 
-    return groups.select(_shard(shards).alias("shard"), "digest", F.col("keep_id").cast("long")).groupBy("shard").applyInPandas(build, INDEX)
+    return groups.select(_shard(shards).alias("shard"), "digest", F.coalesce(F.col("keep_id").cast("long"), F.lit(NO_ID)).alias("keep_id")).groupBy("shard").applyInPandas(build, INDEX)
 
 
 def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """Rows of (doc_id, digest) with member: whether the index holds exactly that digest; and the slot's winner."""
-    kind = rows.schema["doc_id"].dataType
-    dealt = rows.select("doc_id", "digest", _shard(shards).alias("shard"))
+    dealt = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "digest", _shard(shards).alias("shard"))
     plan = dealt.groupBy("shard").count().select("shard", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
     dealt = dealt.join(plan, "shard").select("doc_id", "digest", "shard", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"))
     copies = index.join(plan, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
@@ -116,16 +117,15 @@ def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left[["doc_id", "digest"]]
         if left.empty or right.empty:
-            return left.assign(member=False, winner=pd.array([None] * len(left), "Int64"))
+            return left.assign(member=False, winner=NO_ID)
         one, digests = right.iloc[0], left["digest"].tolist()
         mph = MinimalPerfectHash(np.asarray(one["sizes"], np.int64), np.frombuffer(one["bits"], np.uint8))
         slots, held, winners = mph.slots(_keys(digests)), one["digests"], one["winners"]
         member = [s >= 0 and held[32 * s : 32 * s + 32] == d for s, d in zip(slots.tolist(), digests)]
-        found = [None if not m or winners[s] is None or winners[s] != winners[s] else int(winners[s]) for s, m in zip(slots, member)]
-        return left.assign(member=member, winner=pd.array(found, "Int64"))
+        return left.assign(member=member, winner=[int(winners[s]) if m else NO_ID for s, m in zip(slots.tolist(), member)])
 
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("digest", T.BinaryType()), T.StructField("member", T.BooleanType()), T.StructField("winner", T.LongType())])
-    return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(check, schema)
+    found = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(check, "doc_id bigint, digest binary, member boolean, winner bigint")
+    return found.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("doc_id", "winner")})
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -151,7 +151,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     shards = max(1, -(-groups.count() // SHARD_DIGESTS))
     looked = materialise(look_up(new, build_index(groups, shards), shards), "looked-up")
     parts = [looked.where(side).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")) for side in ("member", "not member")]
-    merged = groups.unionByName(parts[0]).unionByName(parts[1]).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    merged = groups.union(parts[0]).union(parts[1]).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     return rows.join(merged, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
