@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bucket, circle, de_class, de_inclusive
@@ -107,3 +107,38 @@ def stability_box(ratios: DataFrame) -> DataFrame:
     """(module, lo, q1, median, q3, hi) of the stability ratios of each module."""
     q = ratios.groupBy("module").agg(F.percentile("ratio", F.array(*(F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
     return q.select("module", *(F.col("q")[i].alias(n) for i, n in enumerate(("lo", "q1", "median", "q3", "hi"))))
+
+
+def manhattan(tests: DataFrame, highlight: int = 10) -> DataFrame:
+    """tests with place, the order by p within all terms, and highlighted for the `highlight` best; fewer if there are fewer."""
+    return tests.withColumn("place", F.row_number().over(Window.orderBy("log10_p", "module", "term_id"))).withColumn("highlighted", F.col("place") <= highlight)
+
+
+def top_terms(tests: DataFrame, n: int, most: int = 20) -> DataFrame:
+    """The n terms of least p, at most `most`."""
+    return tests.orderBy("log10_p", "module", "term_id").limit(min(n, most))
+
+
+def term_label(name: Column, hits: Column, query: Column) -> Column:
+    """The first 40 characters of a term's name, and (hits/query)."""
+    return F.concat(F.substring(name, 1, 40), F.lit(" ("), hits.cast("string"), F.lit("/"), query.cast("string"), F.lit(")"))
+
+
+def cluster_labels(reduced: DataFrame, nc: DataFrame) -> DataFrame:
+    """reduced terms with their cluster's non-coding genes and the label "cluster - parent (DE/all)"; counts are 0 without any."""
+    x = reduced.join(nc.select("module", "cluster", "n_nc", "nc_ids", "n_nc_de"), ["module", "cluster"], "left")
+    x = x.withColumns({"n_nc": F.coalesce("n_nc", F.lit(0)), "n_nc_de": F.coalesce("n_nc_de", F.lit(0)), "nc_ids": F.coalesce("nc_ids", F.lit(""))})
+    return x.withColumn("label", F.concat(F.col("cluster").cast("string"), F.lit(" - "), "parent", F.lit(" ("), F.col("n_nc_de").cast("string"), F.lit("/"), F.col("n_nc").cast("string"), F.lit(")")))
+
+
+def treemap(labelled: DataFrame, trait_corr: DataFrame) -> DataFrame:
+    """(module, title, label, term_id, score): tiles of each module's map, with the trait correlation and p in the title."""
+    p = F.when(F.col("p") <= 0.0099, F.format_string("%.1e", "p")).otherwise(F.format_string("%.2g", "p"))
+    title = F.concat(F.lit("module "), F.col("module").cast("string"), F.lit(": r = "), F.format_string("%.2f", "corr"), F.lit(", p = "), p)
+    return labelled.join(trait_corr.select("module", title.alias("title")), "module", "left").select("module", "title", "label", "term_id", "score")
+
+
+def cell_colours(tom: DataFrame, bins: int = 16) -> DataFrame:
+    """tom with cell, the place of each value among equal bins from the least to the greatest."""
+    span = tom.agg(F.min("tom").alias("lo"), F.max("tom").alias("hi"))
+    return tom.join(F.broadcast(span)).withColumn("cell", bucket(F.col("tom"), F.col("lo"), F.col("hi"), bins)).drop("lo", "hi")  # one row

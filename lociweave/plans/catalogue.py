@@ -279,6 +279,11 @@ def enrichment_bh(spark, d):
     return _rounded(enrich.benjamini_hochberg(tests).select("module", "term_id", "q"), q=8)
 
 
+def enrichment_manhattan(spark, d):
+    tests = enrich.enrichment(P.part_modules(spark, d), P.gene_sets(spark, d)).withColumn("log10_p", F.round("log10_p", 7))
+    return report.manhattan(tests).select("module", "term_id", "log10_p", "place", "highlighted", report.term_label(F.col("term_id"), F.col("k"), F.col("query_size")).alias("label"))
+
+
 def submodule_genes(spark, d):
     modules, sets = P.part_modules(spark, d), P.gene_sets(spark, d)
     clusters = sets.where("term_id not like 'T:%'").join(modules.where("module <> 0"), "gene_id").select("module", "term_id").distinct().withColumn("cluster", F.length("term_id") % 3 + 1)
@@ -438,6 +443,9 @@ cc as (select rk.module, t1.term_id, rk.rank drawn, row_number() over (partition
 select module, term_id, round(min(log10_p), 7) log10_p from pv group by 1, 2""",
     "enrichment_bh": f"""with {_T1}, {_HYPER}, rk as (select *, row_number() over (partition by module order by log10_p, term_id) r, count(*) over (partition by module) n from pv)
 select module, term_id, round(least(1.0, min(pow(10.0, log10_p) * n / r) over (partition by module order by log10_p desc, term_id desc rows unbounded preceding)), 8) q from rk""",
+    "enrichment_manhattan": f"""with {_T1}, {_HYPER}, rp as (select module, term_id, k, drawn, round(log10_p, 7) log10_p from cc join pv using (module, term_id)),
+pl as (select *, row_number() over (order by log10_p, module, term_id)::integer place from rp)
+select module, term_id, log10_p, place, place <= 10 highlighted, term_id[1:40] || ' (' || k::varchar || '/' || drawn::varchar || ')' as label from pl""",
     "submodule_genes": f"""with {_T1}, cl as (select distinct module, term_id, length(term_id) % 3 + 1 as cluster from t1 join m1 using (gene_id) where module <> 0 and term_id not like 'T:%')
 select distinct cl.module, cl.cluster::integer as cluster, gene_id from cl join t1 using (term_id) join m1 using (gene_id) where m1.module = cl.module""",
     "submodule_nc": f"""with {_E1}, {_R}, {_A}, {_G1}, sub as (select module, gene_id % 3 + 1 as cluster, gene_id from e1 where module <> 0 and gene_id % 5 <> 0),
@@ -456,7 +464,7 @@ _ALL = [
     annotation_first_match, coding_antijoin, version_strip_dedup, validation_violations, pearson_pairs, bicor_pairs, adjacency, connectivity, soft_threshold_scan,
     tom_pairs, intramodular_connectivity, gene_summary, module_composition, de_classes, heatmap_topk, connectivity_bucket, gene_neighbourhood_topk, subnetwork_edges,
     subnetwork_layout, holdout_assignment, module_matching, module_stability, gene_stability, stability_cumulative, stability_box, enrichment_hypergeom,
-    enrichment_ordered, enrichment_bh, submodule_genes, submodule_nc, trait_correlation, student_p_values, eigengene, upgma_tree, static_cut, dynamic_modules,
+    enrichment_ordered, enrichment_bh, enrichment_manhattan, submodule_genes, submodule_nc, trait_correlation, student_p_values, eigengene, upgma_tree, static_cut, dynamic_modules,
     jackknife, term_reduction,
 ]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import student_p
 from ..operators import annotate, cluster, enrich, network, prep, report, resample, similarity
 
+log = logging.getLogger("lociweave")
+
 
 @dataclass(frozen=True)
 class Study:
@@ -72,10 +75,13 @@ class Study:
         return replace(self, cut=float(cut))
 
     def summarise(self, kind: str = "bicor", least: int = 30, merge: float = 0.3, cut_scale: float = 100.0) -> Study:
+        log.info("detecting modules")
         x = self.vectors()
         modules = cluster.detect_modules(x, self.power, kind, least, merge).select("gene_id", "module")
+        log.info("connectivity and summary")
         k = network.intramodular(similarity.adjacency(similarity.correlations(x), self.power), modules)
         summary = annotate.gene_summary(x, self.annotation, self.nc, modules, k, self.dge, self.stability, self.cut, cut_scale)
+        log.info("topological overlap")
         return replace(self, summary=summary, tom=network.topological_overlap(x, self.power))
 
     def enrich(self, sets: DataFrame) -> DataFrame:
@@ -90,5 +96,7 @@ class Study:
         return report.module_bars(self.summary.select("gene_id", "module", "is_nc"), self.trait_correlations())
 
     def neighbours(self, name: str, n: int | None = 100) -> DataFrame:
+        if n is not None and (isinstance(n, bool) or not isinstance(n, int) or n < 1):
+            raise ValueError("n is a positive number of genes, or None for all")
         gene = report.resolve_name(self.summary, name)
         return report.neighbourhood_table(report.neighbourhood(self.tom, self.summary.select("gene_id", "module"), gene, n), self.summary)

@@ -132,3 +132,23 @@ def test_reports(spark):
     assert at[7] == (0, 0) and at[9] == (1, 0)
     terms = spark.createDataFrame([(8, "t2"), (8, "t1")], "gene_id long, term_id string")
     assert {r["gene_id"]: (r["terms"], r["unenriched"]) for r in report.membership(nodes, terms).collect()}[8] == (["t1", "t2"], False)
+
+
+def test_gene_set_file_and_download(spark, tmp_path):
+    (tmp_path / "s.gmt").write_text("T1\tfirst\tg1\tg2\nT2\tsecond\tg3\n")
+    assert {tuple(r) for r in gtf.read_gmt(spark, str(tmp_path / "s.gmt"), "X").collect()} == {("X", "T1", "first", "g1"), ("X", "T1", "first", "g2"), ("X", "T2", "second", "g3")}
+    (tmp_path / "a.gtf").write_text('c\ta\tgene\t1\t2\t.\t+\t.\tgene_id "G1"; gene_name "N";')
+    assert gtf.download_gtf(spark, (tmp_path / "a.gtf").as_uri(), str(tmp_path / "b.gtf")).first()["gene_name"] == "N"
+
+
+def test_term_reports(spark):
+    reduced = spark.createDataFrame([(1, "t1", 1, "t1", 2.5), (1, "t2", 2, "t2", 1.5)], "module int, term_id string, cluster int, parent string, score double")
+    nc = spark.createDataFrame([(1, 1, 3, "a, b, c", 2)], "module int, cluster int, n_nc long, nc_ids string, n_nc_de long")
+    labelled = report.cluster_labels(reduced, nc)
+    assert [r["label"] for r in labelled.orderBy("cluster").collect()] == ["1 - t1 (2/3)", "2 - t2 (0/0)"]
+    corr = spark.createDataFrame([(1, 0.5, 0.03)], "module int, corr double, p double")
+    assert report.treemap(labelled, corr).first()["title"] == "module 1: r = 0.50, p = 0.030"
+    tests = reduced.select("module", "term_id", (-F.col("score")).alias("log10_p"))
+    assert report.top_terms(tests, 99).count() == 2 and report.top_terms(tests, 1).first()["term_id"] == "t1"
+    cells = report.cell_colours(spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.9)], "i long, j long, tom double"), 16)
+    assert {r["cell"] for r in cells.collect()} == {1, 16}
