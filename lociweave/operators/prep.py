@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What makes a median absolute deviation consistent with a standard deviation of normal data.
@@ -44,9 +46,16 @@ def sd_gate(counts: DataFrame, deg: DataFrame, quantile: float = 0.01) -> DataFr
 def gene_mad(counts: DataFrame, skip_first_sample: bool = True) -> DataFrame:
     """(gene_id, mad): scaled median absolute deviation; the first sample is left out by default."""
     seen = counts.where("sample_ord > 0") if skip_first_sample else counts
-    lists = seen.groupBy("gene_id").agg(F.median("cnt").alias("med"), F.collect_list("cnt").alias("x"))
-    apart = lists.select("gene_id", "med", F.explode("x").alias("x"))
-    return apart.groupBy("gene_id").agg((F.lit(MAD_SCALE) * F.median(F.abs(F.col("x") - F.col("med")))).alias("mad"))
+    x = seen.groupBy("gene_id").agg(F.sort_array(F.collect_list("cnt")).alias("x")).withColumn("med", _middle("x"))
+    apart = x.select("gene_id", F.sort_array(F.transform("x", lambda v: F.abs(v - F.col("med")))).alias("d"))
+    return apart.select("gene_id", (F.lit(MAD_SCALE) * _middle("d")).alias("mad"))
+
+
+def _middle(column: str) -> Column:
+    """The median of a sorted array; null for an empty one."""
+    n, x = F.size(column), F.col(column)
+    lo, hi = F.get(x, F.floor((n - 1) / 2).cast("int")), F.get(x, F.floor(n / 2).cast("int"))
+    return F.when(n > 0, lo + (hi - lo) * 0.5)
 
 
 def top_variable(counts: DataFrame, top: int = 5000) -> DataFrame:
@@ -76,12 +85,28 @@ def prepare(counts: DataFrame, dge: DataFrame, method: str = "DEG", p: float = 0
 
 
 def sample_distance(expr: DataFrame) -> DataFrame:
-    """(s, t, distance) for s < t: Euclidean distances over all genes.
+    """(s, t, distance) for s < t: Euclidean distances over all genes that both samples have.
 
-    One vector for each gene meets itself, so the shuffle carries partial sums for pairs of samples,
-    not pairs of values.
+    Each task sums squared differences for all pairs of samples over its genes, so the shuffle
+    carries a square of samples for each task, not pairs of values.
     """
-    rows = expr.groupBy("gene_id").agg(F.array_sort(F.collect_list(F.struct("sample_ord", "value"))).alias("x"))
-    pairs = rows.select(F.explode("x").alias("a"), "x").select("a", F.explode(F.filter("x", lambda b: b["sample_ord"] > F.col("a.sample_ord"))).alias("b"))
-    d = F.col("a.value") - F.col("b.value")
-    return pairs.groupBy(F.col("a.sample_ord").alias("s"), F.col("b.sample_ord").alias("t")).agg(F.sqrt(F.sum(d * d)).alias("distance"))
+    genes = expr.groupBy("gene_id").agg(F.collect_list("sample_ord").alias("s"), F.collect_list("value").alias("v")).select("s", "v")
+
+    def sums(batches):
+        total = {}
+        for frame in batches:
+            lengths = [len(s) for s in frame["s"]]
+            if not sum(lengths):
+                continue
+            samples, at = np.unique(np.concatenate(frame["s"].to_list()).astype(np.int64), return_inverse=True)
+            x = np.full((len(frame), len(samples)), np.nan)
+            x[np.repeat(np.arange(len(frame)), lengths), at] = np.concatenate(frame["v"].to_list())
+            for i, s in enumerate(samples[:-1].tolist()):
+                d = x[:, i + 1 :] - x[:, i : i + 1]
+                both = ~np.isnan(d).all(0)
+                for t, q in zip(samples[i + 1 :][both].tolist(), np.nansum(d[:, both] ** 2, 0).tolist()):
+                    total[s, t] = total.get((s, t), 0.0) + q
+        yield pd.DataFrame([(s, t, q) for (s, t), q in total.items()], columns=["s", "t", "q"])
+
+    parts = genes.mapInPandas(sums, "s bigint, t bigint, q double")
+    return parts.groupBy("s", "t").agg(F.sqrt(F.sum("q")).alias("distance"))
