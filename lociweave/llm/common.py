@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -39,7 +40,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table whose dependants are all materialised themselves, and let go of finished shuffles.
+
+    Spark drops shuffle files when the driver's garbage goes, which may be much later than their last use.
+    """
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

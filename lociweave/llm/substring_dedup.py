@@ -14,9 +14,6 @@ by document and it sends one row by hash, so a passage that is everywhere makes
 
 from __future__ import annotations
 
-import gc
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,11 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, mix64, table, text_bytes
+from .common import WORD, discard, materialise, mix64, table, text_bytes
 from .fm_index import FMIndex
 
 WINDOW, RUN = 13, 5
-CHUNK_ANCHORS, CHUNK_BYTES = 1_000_000, 2_000_000
+CHUNK_ANCHORS, CHUNK_BYTES, SLICE = 500_000, 1_000_000, 512
 SHARD_ANCHORS = 40_000
 MOST_WORDS_KEPT = 400_000
 QUERIES_AT_ONCE = 100_000
@@ -113,12 +110,13 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
 def chunks(column: pa.Array):
     """(index of the first, words of each) for runs of texts of bounded size, one text at least."""
     held, size, first = [], 0, 0
-    for i, text in enumerate(text_bytes(column)):
-        held.append(text.split())
-        size += len(text)
-        if size >= CHUNK_BYTES:
-            yield first, held
-            held, size, first = [], 0, i + 1
+    for lo in range(0, len(column), SLICE):
+        for i, text in enumerate(text_bytes(column.slice(lo, SLICE)), lo):
+            held.append(text.split())
+            size += len(text)
+            if size >= CHUNK_BYTES:
+                yield first, held
+                held, size, first = [], 0, i + 1
     if held:
         yield first, held
 
@@ -156,7 +154,8 @@ def stretches(docs: DataFrame, shared: DataFrame, window: int, shards: int) -> D
 
 
 def search_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Of each distinct stretch (seg, doc: its least document), the least document of each of its windows."""
+    """Of each distinct stretch (seg, doc), the least document of each of its windows; stretches may repeat."""
+    rows = rows.groupby("seg", as_index=False, sort=False)["doc"].min()
     split = [s.split(b" ") for s in rows["seg"]]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
     ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
@@ -184,11 +183,23 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, runs): for each document with repeats, the ranges [from, to) of words that a repeated window covers."""
     plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shared = materialise(shared_anchors(plain, window), "anchors")
-    release(docs.sparkSession)
     shards = max(1, -(-shared.count() // SHARD_ANCHORS))
     cut = materialise(stretches(plain, shared, window, shards), "stretches")
-    release(docs.sparkSession)
-    distinct = cut.groupBy("shard", "seg").agg(F.min("doc").alias("doc"))
+    discard(shared)
+
+    def once(batches):
+        """Stretches that a task has in several documents leave it once, with the least of them."""
+        least: dict = {}
+        for batch in batches:
+            for key, doc in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), batch.column(2).to_pylist()):
+                if doc < least.get(key, doc + 1):
+                    least[key] = doc
+            if len(least) > MOST_WORDS_KEPT:
+                yield _distinct(least)
+                least = {}
+        yield _distinct(least)
+
+    distinct = cut.select("shard", "seg", "doc").mapInArrow(once, "shard int, seg binary, doc bigint")
     found = distinct.groupBy("shard").applyInPandas(lambda rows: search_shard(rows, window), "seg_id binary, least array<bigint>")
 
     @F.arrow_udf("binary")
@@ -199,14 +210,12 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     late = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc"), i)), lambda i: i.isNotNull())
     late = rows.select("doc", "start", late.alias("late")).where("size(late) > 0")
     runs = materialise(late.select("doc", F.transform("late", lambda i: F.col("start") + i).alias("starts")), "late")
-    release(docs.sparkSession)
+    discard(cut)
     return runs.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that are done, instead of whenever the driver happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _distinct(least: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in least], pa.int32()), pa.array([k[1] for k in least], pa.binary()), pa.array(list(least.values()), pa.int64())], ["shard", "seg", "doc"])
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -223,7 +232,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.select("doc_id", "text").join(runs, F.col("doc_id").cast("bigint") == F.col("__doc"), "left").select("doc_id", "text", "starts")
 
     def keep(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             n, gone, kept = [], [], []
             for text, starts in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 words = text.split()
