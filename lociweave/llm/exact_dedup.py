@@ -152,6 +152,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     looked = materialise(look_up(new, build_index(groups, shards), shards), "looked-up")
     parts = [looked.where(side).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")) for side in ("member", "not member")]
     merged = groups.union(parts[0]).union(parts[1]).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    merged = materialise(merged, "groups")  # apart from its aggregation, so that the join can split a hot digest
     return rows.join(merged, "digest").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
