@@ -25,8 +25,10 @@ from .components import components
 SEED = 42
 #: Buckets up to this size compare all their members at once; larger ones probe the bucket for every word within reach.
 DENSE = 6_000
-#: Shingle hashes in a sketch, members of a bucket that are compared in all pairs, words that a worker keeps.
-SKETCH, SMALL_BUCKET, MOST_WORDS_KEPT = 512, 32, 400_000
+#: Shingle hashes in a sketch.
+SKETCH = 512
+#: Keys of a set of shingles, minima in a key.
+BANDS, BAND_ROWS = 28, 4
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -196,19 +198,22 @@ def near_components(docs: DataFrame, shingle: int = 3, blocks: int = 6, radius:
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_near")
 
 
-class WordPrints(dict):
-    """A word's hash, kept from its first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MOST_WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
-        return h
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The smallest SKETCH of the distinct hashes of a text's shingles: all of them for short texts."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
 
 
-def sketch(words: list[bytes], shingle: int) -> np.ndarray:
-    """The smallest SKETCH of the distinct hashes of a text's shingles: all of them for short texts."""
-    return np.unique((shingle_hashes(words, shingle) >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+def band_keys(hashes: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """A hash of each band of BAND_ROWS minima; a minimum is over one random order of all hashes, so two sets of
+    similarity s have a minimum in common with probability s, and no band with (1 - s**BAND_ROWS)**bands."""
+    draw = np.random.default_rng(SEED).integers(0, 1 << 64, (2, bands * BAND_ROWS, 1), np.uint64)
+    least = np.full(bands * BAND_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024] * (draw[0] | np.uint64(1)) + draw[1]).min(1), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for minimum in least.reshape(bands, BAND_ROWS).T:
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) ^ minimum)
+    return key
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
@@ -219,65 +224,47 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(least, np.intersect1d(a, b)).sum() / len(least)) if len(least) else 1.0
 
 
-def signatures(docs: DataFrame, shingle: int, prints: int) -> DataFrame:
-    """(doc_id, fps, sketch) of the rows with a doc_id: `prints` fingerprints of the set of words, and the shingle sketch."""
-    seeds = [np.uint64(0x9E3779B97F4A7C15 * i & (2**64 - 1)) for i in range(prints)]
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, n, fp, keys, sketch) of the rows with a doc_id: of the set of shingles its size, SimHash, band keys and sketch."""
 
-    @F.arrow_udf("struct<fps: array<bigint>, sketch: binary>")
+    @F.arrow_udf("struct<n: int, fp: bigint, keys: array<bigint>, sketch: binary>")
     def signed(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = WordPrints()
         for batch in text:
-            fps, sketches = [], []
+            n, fps, keys, sketches = [], [], [], []
             for t in text_bytes(batch):
-                words = t.lower().split()
-                h = np.fromiter(map(known.__getitem__, set(words)), np.uint64)
-                fps.append(np.array([fingerprint(h if not seed else mix64(h ^ seed)) for seed in seeds], np.uint64).view(np.int64))
-                sketches.append(sketch(words, shingle).tobytes())
-            yield pa.StructArray.from_arrays([pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["fps", "sketch"])
+                h = np.unique(shingle_hashes(t.lower().split(), shingle))
+                n.append(len(h))
+                fps.append(fingerprint(h))
+                keys.append(band_keys(h).view(np.int64))
+                sketches.append(sketch(h).tobytes())
+            prints = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), prints, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["n", "fp", "keys", "sketch"])
 
-    return docs.where("doc_id is not null").select("doc_id", signed("text").alias("s")).select("doc_id", "s.fps", "s.sketch")
+    return docs.where("doc_id is not null").select("doc_id", signed("text").alias("s")).select("doc_id", "s.*")
 
 
-def bucket_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs within radius: all pairs of a small bucket; of a large one, each member with the first pivot in reach.
+def bucket_links(sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a bucket whose sets' sizes allow the similarity."""
+    a, b = np.triu_indices(len(sizes), 1)
+    fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+    return a[fits], b[fits]
 
-    The first pivot is the member nearest to the bitwise majority, so copies meet their original.
-    """
-    n = len(prints)
-    if n <= SMALL_BUCKET:
-        a, b = np.triu_indices(n, 1)
-        near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
-        return a[near], b[near]
-    bits = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    majority = ((2 * bits > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()
-    rest, pivot, a, b = np.arange(n), int(np.bitwise_count(prints ^ majority).argmin()), [], []
-    while len(rest) > 1:
-        near = np.bitwise_count(prints[rest] ^ prints[pivot]) <= radius
-        mine = rest[near & (rest != pivot)]
-        a.append(np.full(len(mine), pivot))
-        b.append(mine)
-        rest = rest[~near]
-        pivot = int(rest[0]) if len(rest) else 0
-    return np.concatenate(a), np.concatenate(b)
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 4, blocks: int = 7, radius: int = 4) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, root) of the documents that have near-duplicates: root is the smallest doc_id of the group.
 
-    Candidates share a block choice of one of `prints` SimHash fingerprints over their sets of words
-    and lie within `radius` bits there; they are linked if the sketches of their `shingle`-word
-    shingles show at least the given similarity. Large buckets link members to pivots, so a group of
-    n documents gives about n candidates, not n * n. Rows with a null doc_id have no group; repeated
+    Candidates share a band key of their sets of `shingle`-word shingles: at a similarity of 0.8 a
+    pair is missed with probability 4e-7, wherever the texts differ, and less above. They are linked if the
+    sketches of the sets show at least the given similarity. Rows with a null doc_id have no group; repeated
     rows share a doc_id and so a group; texts without words are alike. Other columns are not read.
     """
-    rows = materialise(signatures(docs, shingle, prints), "signatures")
-    each = rows.select("doc_id", F.posexplode("fps").alias("which", "fp"))
-    dealt = keyed(each, blocks, radius, "doc_id", "which")
+    rows = materialise(signatures(docs, shingle), "signatures")
+    dealt = rows.select("doc_id", "fp", "n", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "doc_id", "fp")
 
     def link(batches):
         a, b = [], []
         for bucket in sorted_buckets(batches):
-            x, y = bucket_links(bucket[:, 1].copy().view(np.uint64), radius)
+            x, y = bucket_links(bucket[:, 2], similarity)
             if len(x):
                 a.append(bucket[x, 0])
                 b.append(bucket[y, 0])

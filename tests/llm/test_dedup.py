@@ -190,6 +190,21 @@ def test_verified_near_duplicates(frame):
     assert not any(d % 10 == 9 for d in got)
 
 
+def test_near_duplicates_of_every_kind_of_edit(frame):
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for i in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 400))]
+        n, foreign = len(base), [f"x{rng.randrange(3000)}" for _ in range(400)]
+        for k, t in enumerate((base, base[: int(0.85 * n)], base + foreign[: n // 7], base[: n // 2] + foreign[: n // 12] + base[n // 2 + n // 12 :])):
+            rows.append((10 * i + k, " ".join(t)))
+    grams = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    pairs = [(10 * i, 10 * i + k) for i in range(60) for k in (1, 2, 3)]
+    assert all(len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) for a, b in pairs)
+    got = {r["doc_id"]: r["root"] for r in simhash.near_duplicates(frame(rows)).collect()}
+    assert got == {d: d // 10 * 10 for d, _ in rows}
+
+
 # substrings
 
 
