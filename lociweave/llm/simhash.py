@@ -25,8 +25,8 @@ from .components import components
 SEED = 42
 #: Buckets up to this size compare all their members at once; larger ones probe the bucket for every word within reach.
 DENSE = 6_000
-#: Shingle hashes in a sketch.
-SKETCH = 512
+#: Shingle hashes in a sketch, members of a bucket that are compared in all pairs at once.
+SKETCH, SMALL_BUCKET = 512, 32
 #: Keys of a set of shingles, minima in a key.
 BANDS, BAND_ROWS = 28, 4
 
@@ -243,11 +243,22 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", signed("text").alias("s")).select("doc_id", "s.*")
 
 
-def bucket_links(sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of a bucket whose sets' sizes allow the similarity."""
-    a, b = np.triu_indices(len(sizes), 1)
-    fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
-    return a[fits], b[fits]
+def bucket_links(rows: np.ndarray, similarity: float, first: int = 0, pivots: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of a bucket whose sizes allow the similarity and whose groups differ; rows are (doc_id, fp, n, group).
+
+    One of a pair has a rank from `first` on, of `pivots` ranks; all ranks give all pairs, once. The
+    ranks begin nearest to the bitwise majority of the fingerprints, where copies have their original.
+    """
+    n, prints, sizes, group = len(rows), rows[:, 1].copy().view(np.uint64), rows[:, 2], rows[:, 3]
+    bits = np.unpackbits(prints.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    majority = ((2 * bits > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()
+    order, a, b = np.argsort(np.bitwise_count(prints ^ majority), kind="stable"), [], []
+    for rank in range(first, n - 1 if pivots is None else min(n - 1, first + pivots)):
+        one, rest = order[rank], order[rank + 1 :]
+        fits = np.minimum(sizes[rest], sizes[one]) >= similarity * np.maximum(sizes[rest], sizes[one])
+        b.append(rest[fits & (group[rest] != group[one])])
+        a.append(np.full(len(b[-1]), one))
+    return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -255,27 +266,80 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     Candidates share a band key of their sets of `shingle`-word shingles: at a similarity of 0.8 a
     pair is missed with probability 4e-7, wherever the texts differ, and less above. They are linked if the
-    sketches of the sets show at least the given similarity. Rows with a null doc_id have no group; repeated
+    sketches of the sets show at least the given similarity. A bucket of over SMALL_BUCKET rows
+    compares its members with one pivot, then with 4 more, 16 more and so on, until all are in one
+    group or all pairs of different groups are compared; so a group of n copies of one document gives
+    about n candidates, while only members that are not alike cost more. Rows
+    with a null doc_id have no group; repeated
     rows share a doc_id and so a group; texts without words are alike. Other columns are not read.
     """
     rows = materialise(signatures(docs, shingle), "signatures")
-    dealt = rows.select("doc_id", "fp", "n", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "doc_id", "fp")
+    dealt = rows.select("doc_id", "fp", "n", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "doc_id", "fp", "n")
 
-    def link(batches):
-        a, b = [], []
+    def deal(batches):
+        """Pairs (a, b) of small buckets; of large ones the rows, with b null."""
         for bucket in sorted_buckets(batches):
-            x, y = bucket_links(bucket[:, 2], similarity)
-            if len(x):
-                a.append(bucket[x, 0])
-                b.append(bucket[y, 0])
-            if len(a) > 4096:
-                yield _pairs(a, b)
-                a, b = [], []
-        if a:
-            yield _pairs(a, b)
-
-    pairs = dealt.mapInArrow(link, "a bigint, b bigint").where("a <> b")
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+            if len(bucket) > SMALL_BUCKET:
+                yield bucket[:, 0], None, bucket[:, 1:]
+            else:
+                x, y = bucket_links(bucket[:, [0, 1, 2, 0]], similarity)
+                yield bucket[x, 0], bucket[y, 0], None
+
+    met = materialise(dealt.select("doc_id", "fp", "n", F.col("key").alias("bucket"), "key").mapInArrow(_dealt(deal), "a bigint, b bigint, fp bigint, n bigint, bucket bigint"), "buckets")
+    large = met.where("b is null").select(F.col("a").alias("doc_id"), "fp", "n", "bucket")
+    links = materialise(_alike(_candidates(met), rows, similarity), "links")
+    first, pivots = 0, 1
+    while True:
+        roots = components(links)
+        grouped = large.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        grouped = materialise(grouped.select("doc_id", "fp", "n", "root", "bucket"), "grouped")
+        apart = grouped.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        apart = apart.where(F.col("members") > first + 1)
+        if apart.isEmpty():
+            return roots.withColumnsRenamed({"node": "doc_id"})
+
+        def compare(batches, first=first, pivots=pivots):
+            for bucket in sorted_buckets(batches):
+                x, y = bucket_links(bucket, similarity, first, pivots)
+                yield bucket[x, 0], bucket[y, 0], None
+
+        unsettled = grouped.join(apart.select("bucket"), "bucket", "left_semi").select("doc_id", "fp", "n", "root", "bucket")
+        unsettled = unsettled.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "fp", "n")
+        pairs = unsettled.mapInArrow(_dealt(compare), "a bigint, b bigint, fp bigint, n bigint, bucket bigint")
+        links = links.union(materialise(_alike(_candidates(pairs), rows, similarity), "links"))
+        first, pivots = first + pivots, 4 * pivots
+
+
+def _dealt(parts):
+    """For mapInArrow: the (a, b or None, other columns or None) that parts yields, in record batches."""
+
+    def batch(held: list) -> pa.RecordBatch:
+        table = np.concatenate([np.column_stack([a, a if b is None else b, np.zeros((len(a), 3), np.int64) if also is None else also]) for a, b, also in held])
+        pair = np.concatenate([np.full(len(a), b is not None) for a, b, _ in held])
+        columns = [pa.array(table[:, 0]), pa.array(table[:, 1], mask=~pair), *(pa.array(table[:, i], mask=pair) for i in (2, 3, 4))]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "fp", "n", "bucket"])
+
+    def run(batches):
+        held, size = [], 0
+        for part in parts(batches):
+            held.append(part)
+            size += len(part[0])
+            if size > 100_000 or len(held) > 4096:
+                yield batch(held)
+                held, size = [], 0
+        if held:
+            yield batch(held)
+
+    return run
+
+
+def _candidates(met: DataFrame) -> DataFrame:
+    pairs = met.where("b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return materialise(pairs.distinct(), "candidates")
+
+
+def _alike(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs whose sketches show the similarity."""
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sketches = materialise(rows.dropDuplicates(["doc_id"]).join(ends, "doc_id").select("doc_id", "sketch"), "sketches")
     both = pairs.join(sketches.withColumnsRenamed({"doc_id": "a", "sketch": "x"}), "a").join(sketches.withColumnsRenamed({"doc_id": "b", "sketch": "y"}), "b")
@@ -285,8 +349,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         pairs = zip(*(map(lambda v: np.frombuffer(v, np.uint32), c.to_pylist()) for c in (x, y)))
         return pa.array([resemblance(a, b) for a, b in pairs], pa.float64())
 
-    verified = both.where(alike("x", "y") >= similarity).select("a", "b")
-    return components(verified).withColumnsRenamed({"node": "doc_id"})
+    return both.where(alike("x", "y") >= similarity).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -205,6 +205,26 @@ def test_near_duplicates_of_every_kind_of_edit(frame):
     assert got == {d: d // 10 * 10 for d, _ in rows}
 
 
+def test_near_duplicates_in_large_buckets(frame):
+    """Many documents of one bucket that are not alike, each with a near copy: no pair may depend on the first pivot."""
+    rng = random.Random(5)
+    core, rows = [f"c{i}" for i in range(300)], []
+    for i in range(60):
+        own = [f"d{i}w{rng.randrange(500)}" for _ in range(150)]
+        rows += [(2 * i, " ".join(core + own)), (2 * i + 1, " ".join(core + own[:140] + [f"n{i}"] * 5))]
+    keys = [simhash.band_keys(np.unique(simhash.shingle_hashes(t.encode().split(), 5))) for _, t in rows]
+    assert max(Counter(k for ks in keys for k in set(ks.tolist())).values()) > 2 * simhash.SMALL_BUCKET
+    got = {r["doc_id"]: r["root"] for r in simhash.near_duplicates(frame(rows)).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
+def test_bucket_ranks_give_every_pair_once():
+    rows = np.random.default_rng(3).integers(1, 100, (70, 4))
+    rows[:, 0], rows[:, 2], rows[:, 3] = np.arange(70), 100, np.arange(70)
+    found = [tuple(sorted(p)) for first, pivots in ((0, 1), (1, 4), (5, 16), (21, 64)) for p in zip(*(x.tolist() for x in simhash.bucket_links(rows, 0.8, first, pivots)))]
+    assert sorted(found) == [(i, j) for i in range(70) for j in range(i + 1, 70)]
+
+
 # substrings
 
 
