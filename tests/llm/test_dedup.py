@@ -225,6 +225,18 @@ def test_bucket_ranks_give_every_pair_once():
     assert sorted(found) == [(i, j) for i in range(70) for j in range(i + 1, 70)]
 
 
+def test_long_texts_near_the_threshold_are_judged_by_all_their_shingles(frame):
+    rng, rows, want = random.Random(6), [], {}
+    for i in range(60):
+        base = [f"b{i}w{rng.randrange(10**6)}" for _ in range(1504)]
+        part = base[: (1203 if i % 2 else 1185) + 4]  # a similarity of 0.802 or 0.79
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(part))]
+        if i % 2:
+            want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    got = {r["doc_id"]: r["root"] for r in simhash.near_duplicates(frame(rows)).collect()}
+    assert got == want
+
+
 # substrings
 
 
