@@ -1,9 +1,11 @@
 """Benchmark decontamination by template windows with consistent slots.
 
 A text becomes a template: numbers, names (capitalised words inside a sentence) and units after numbers give
-way to typed placeholders, other words to their lower-cased core. Windows of the benchmark's
-templates form a hash table that meets every window of every document. Matching windows on one
-diagonal (position in the document less position in the item) form a hit; its slots must map the
+way to typed placeholders, of which a run of one type is one slot; other words give way to their
+lower-cased core. Windows of the benchmark's
+templates form a hash table that meets every window of every document. Matching windows of an item, on
+one diagonal (position in the document less position in the item) or on several in the order of both
+texts, form a hit if they are a share of the item's, or if LEAST_RUN words around one of them match in a row; the slots must map the
 item's values to the document's one to one, so a question with other numbers or names is caught,
 while an accidental run of placeholders is not.
 
@@ -14,6 +16,7 @@ documents, and nothing is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -29,6 +32,8 @@ from .common import mix64, table, text_bytes
 WINDOW = 8
 #: A window needs so many words that are no slots, and a hit so large a share of its item's windows.
 LEAST_LITERALS, LEAST_COVERAGE = 4, 0.3
+#: Or so many words in a row, over places where up to MOST_SLIP words are added, left out or changed.
+LEAST_RUN, MOST_SLIP = 13, 2
 #: Words of benchmark items that one pass over the documents looks for.
 BLOCK_WORDS = 2_000_000
 MOST_WORDS_KEPT = 400_000
@@ -66,6 +71,24 @@ def template(words: list[bytes], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     return out[real], real
 
 
+def slots(t: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where the template's slots begin: every literal, and the first of a run of equal placeholders; no run goes over a position in `first`."""
+    run = np.zeros(len(t), bool)
+    run[1:] = (t[1:] == t[:-1]) & (t[1:] <= UNIT_SLOT)
+    run[first[first < len(t)]] = False
+    return np.nonzero(~run)[0]
+
+
+class Slots:
+    """A text's template with one code a slot; the words of a slot are those from its place to the next one's."""
+
+    def __init__(self, codes: np.ndarray, places: np.ndarray, words: list[bytes]):
+        self.codes, self.places, self.words = codes.tolist(), [*places.tolist(), len(words)], words
+
+    def value(self, i: int) -> tuple[bytes, ...]:
+        return tuple(w.strip(EDGES) for w in self.words[self.places[i] : self.places[i + 1]])
+
+
 def split(text: bytes) -> list[bytes]:
     return text.replace(b"\n", b" \0 ").split()
 
@@ -82,18 +105,70 @@ def windows(t: np.ndarray, size: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+class Same:
+    """A one-to-one map between the slot values of an item and a document."""
+
+    def __init__(self, item: Slots, doc: Slots):
+        self.item, self.doc, self.to, self.back = item, doc, {}, {}
+
+    def pair(self, i: int, j: int) -> tuple | None:
+        """The values of slot i of the item and j of the document, () for a literal; None if their codes differ."""
+        if not (0 <= i < len(self.item.codes) and 0 <= j < len(self.doc.codes)) or self.item.codes[i] != self.doc.codes[j]:
+            return None
+        kind = self.item.codes[i]
+        if kind > UNIT_SLOT:
+            return ()
+        a, b = self.item.value(i), self.doc.value(j)
+        if i == 0 and b[-len(a) :] == a or i == len(self.item.codes) - 1 and b[: len(a)] == a:
+            b = a  # the document goes on with more of the kind before or after the item
+        return (kind, a), (kind, b)
+
+    def take(self, values: list[tuple]) -> bool:
+        """Take the pairs into the map, if they agree with it and with one another."""
+        to, back = {}, {}
+        for v in values:
+            if v:
+                a, b = v
+                if self.to.get(a, to.get(a, b)) != b or self.back.get(b, back.get(b, a)) != a:
+                    return False
+                to[a], back[b] = b, a
+        self.to |= to
+        self.back |= back
+        return True
+
+    def step(self, i: int, j: int) -> bool:
+        v = self.pair(i, j)
+        return v is not None and self.take([v])
+
+
+def in_order(at: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """A longest chain of windows (place in the item, in the document, size) that rises in both places."""
+    at, tails, links, last = sorted(at, key=lambda w: (w[0], -w[1])), [], [], []
+    for i, (_, p, _) in enumerate(at):
+        k = bisect_left(tails, p)
+        tails[k : k + 1], last[k : k + 1] = [p], [i]
+        links.append(last[k - 1] if k else -1)
+    i, out = last[-1] if last else -1, []
+    while i >= 0:
+        out.append(at[i])
+        i = links[i]
+    return out[::-1]
+
+
 class Block:
     """Items of a benchmark, with the table of their windows."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW, coverage: float = LEAST_COVERAGE):
         codes, found = Codes(), defaultdict(list)
-        self.ids, self.words, self.templates, self.totals, self.coverage = [], [], [], [], coverage
+        self.ids, self.items, self.totals, self.coverage = [], [], [], coverage
         self.sizes = set()
         for item_id, text in items:
             words = split(text)
             t, real = template(words, codes)
             if not len(t):
                 continue
+            places = slots(t, np.zeros(1, int))
+            t = t[places]
             size = min(window, len(t))
             literal = np.concatenate([[0], np.cumsum(t > UNIT_SLOT)])
             rich = np.nonzero(literal[size:] - literal[:-size] >= min(LEAST_LITERALS, size))[0]
@@ -103,8 +178,7 @@ class Block:
                 found[(size, int(hashes[q]))].append((len(self.ids), q))
             self.sizes.add(size)
             self.ids.append(item_id)
-            self.words.append([w for w, r in zip(words, real) if r])
-            self.templates.append(t)
+            self.items.append(Slots(t, places, [w for w, r in zip(words, real) if r]))
             self.totals.append(len(at))
         self.tables = {}
         for size in self.sizes:
@@ -119,51 +193,79 @@ class Block:
         flat = [w for ws in words for w in (b"\0", *ws)]
         t, real = template(flat, codes)
         own = [[w for w in ws if w != b"\0"] for ws in words]
-        bounds = np.concatenate([[0], np.cumsum([len(w) for w in own])])
-        met = defaultdict(list)
-        for size, (hashes, seen, places) in self.tables.items():
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in own])])
+        places = slots(t, ends)
+        t, bounds = t[places], np.searchsorted(places, ends)
+        met = defaultdict(lambda: defaultdict(list))
+        for size, (hashes, seen, at_hash) in self.tables.items():
             h = windows(t, size)
             at = np.nonzero(seen[h >> np.uint64(44)])[0]
             to = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
             for p, k in zip(*(x[hashes[to] == h[at]].tolist() for x in (at, to))):
                 d = int(np.searchsorted(bounds, p, "right")) - 1
                 if p + size <= bounds[d + 1]:
-                    for item, q in places[k]:
-                        met[(d, item, p - int(bounds[d]) - q)].append((q, size))
-        best: list[dict] = [{} for _ in texts]
-        for (d, item, diagonal), at in met.items():
-            lo = int(bounds[d])
-            n, changed = self._consistent(item, diagonal, at, own[d], t[lo : int(bounds[d + 1])])
-            old = best[d].get(item)
-            if n >= self.coverage * self.totals[item] and (old is None or (-n, diagonal) < (-old[1], old[4])):
-                best[d][item] = (self.ids[item], n, self.totals[item], changed, diagonal)
-        return [[b[i] for i in sorted(b)] for b in best]
-
-    def _consistent(self, item: int, diagonal: int, at: list[tuple[int, int]], words: list[bytes], t: np.ndarray) -> tuple[int, int]:
-        """Windows whose words match one by one and whose slots agree with those before; and the slots with another value."""
-        to, back, changed, n = {}, {}, set(), 0
-        mine, theirs, own = self.templates[item], self.words[item], {}
-        for q, size in sorted(set(at)):
-            good = True
-            for i in range(q, q + size):
-                if mine[i] != t[i + diagonal]:
-                    good = False
-                    break
-                if mine[i] <= UNIT_SLOT:
-                    a, b = (int(mine[i]), theirs[i].strip(EDGES)), (int(mine[i]), words[i + diagonal].strip(EDGES))
-                    if to.get(a, b) != b or back.get(b, a) != a:
-                        good = False
+                    for item, q in at_hash[k]:
+                        p_own = p - int(bounds[d])
+                        met[(d, item)][p_own - q].append((q, p_own, size))
+        out: list[list] = [[] for _ in texts]
+        held, doc = -1, None
+        for (d, item), diagonals in sorted(met.items(), key=lambda x: x[0]):
+            if d != held:
+                lo, hi = int(bounds[d]), int(bounds[d + 1])
+                held, doc = d, Slots(t[lo:hi], places[lo:hi] - int(ends[d]), own[d])
+            found = [self._consistent(item, at, doc) for _, at in sorted(diagonals.items())]
+            found = [x for x in found if x[0]]
+            if not found:
+                continue
+            good, changed = max(found, key=lambda x: len(x[0]))
+            if len(found) > 1:
+                chained = self._consistent(item, in_order([w for at, _ in found for w in at]), doc)
+                if len(chained[0]) > len(good):
+                    good, changed = chained
+            if len(good) >= self.coverage * self.totals[item] or any(self._run(item, at, doc) >= LEAST_RUN for at, _ in found):
+                q, p, _ = good[0]
+                out[d].append((self.ids[item], len(good), self.totals[item], changed, doc.places[p] - self.items[item].places[q]))
+        return out
+
+    def _consistent(self, item: int, at: list[tuple[int, int, int]], doc: Slots) -> tuple[list[tuple[int, int, int]], int]:
+        """Of windows (place in the item, in doc, size) those whose words match one by one and whose slots agree with those before; and the number of slots with another value."""
+        same, changed, good = Same(self.items[item], doc), set(), []
+        for q, p, size in sorted(set(at)):
+            values = [same.pair(q + i, p + i) for i in range(size)]
+            if all(v is not None for v in values) and same.take(values):
+                good.append((q, p, size))
+                changed.update(q + i for i, v in enumerate(values) if v and v[0] != v[1])
+        return good, len(changed)
+
+    def _run(self, item: int, at: list[tuple[int, int, int]], doc: Slots) -> int:
+        """The most words of the item that match around one of the windows, with consistent slots, past slips of up to MOST_SLIP words."""
+        mine, best, done = self.items[item], 0, -1
+        slips = sorted(((i, j) for i in range(MOST_SLIP + 1) for j in range(MOST_SLIP + 1) if i or j), key=sum)
+        for q, p, size in at:
+            if q + size <= done:
+                continue
+            same, n = Same(mine, doc), 0
+            for i in range(size):
+                n += same.step(q + i, p + i)
+            for way, i, j in ((1, q + size, p + size), (-1, q - 1, p - 1)):
+                while True:
+                    if same.step(i, j):
+                        n, i, j = n + 1, i + way, j + way
+                        done = max(done, i)
+                        continue
+                    for x, y in slips:  # three literals or slots have to match again
+                        if all(same.pair(i + way * (x + k), j + way * (y + k)) is not None for k in range(3)) and any(mine.codes[i + way * (x + k)] > UNIT_SLOT for k in range(3)):
+                            i, j = i + way * x, j + way * y
+                            break
+                    else:
+                        break
+                    if not same.step(i, j):
                         break
-                    own[i] = (a, b)
-            if good:
-                n += 1
-                for i in range(q, q + size):
-                    if i in own:
-                        a, b = own[i]
-                        to[a], back[b] = b, a
-                        if a != b:
-                            changed.add(i)
-        return n, len(changed)
+                    n, i, j = n + 1, i + way, j + way
+            best = max(best, n)
+            if best >= LEAST_RUN:
+                break
+        return best
 
     def udf(self, id_type: str):
         block = self

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, table, text_bytes
+from .common import materialise, mix64, small_batches, table, text_bytes
 from .components import components
 
 SEED = 42
@@ -376,8 +376,10 @@ def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, sim
             found.append(common >= similarity * (len(a) + len(b) - common))
         return pa.array(found, pa.bool_())
 
-    sets = materialise(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", whole("text").alias("of")), "whole-sets")
-    return settled.where("verdict > 0").select("a", "b").union(_ends_of(close, sets).where(alike("x", "y")).select("a", "b"))
+    with small_batches(docs.sparkSession):
+        sets = materialise(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", whole("text").alias("of")), "whole-sets")
+        checked = materialise(_ends_of(close, sets).where(alike("x", "y")).select("a", "b"), "checked")
+    return settled.where("verdict > 0").select("a", "b").union(checked)
 
 
 def _ends_of(pairs: DataFrame, values: DataFrame) -> DataFrame:

@@ -182,6 +182,20 @@ def test_decontamination_finds_all_verbatim_items(spark, sf_dir):
     assert want <= got and len(got - want) <= 0.02 * len(docs)
 
 
+def test_decontamination_finds_excerpts_insertions_and_longer_names(spark, frame):
+    long, short = [f"alpha{i}" for i in range(59)], [f"beta{i}" for i in range(15)]
+    asked = "yesterday {0} gave away seven coins, then {0} lost one coin while {0} ran, so later {0} found that {0} kept nothing"
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, asked.format("Tom"))], "item_id long, text string")
+    other = " ".join(f"gamma{i}" for i in range(40))
+    rows = [(1, f"{other} {' '.join(long[20:42])} {other}"), (2, f"{other} {' '.join(short[:8] + ['extra'] + short[8:])} {other}"), (3, f"{other} {asked.format('Mary Ann')} {other}")]
+    rows += [(4, f"{other} {' '.join(long[20:32])} {other}"), (5, f"{other} {' '.join(short[:8])} {other}")]
+    halves = long[:20] + other.split() + long[30:40] + other.split()[::-1] + long[45:]
+    rows += [(6, " ".join(halves))]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(frame(rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (6, 1)}
+    assert got[(1, 1)]["windows"] == 15 and got[(1, 1)]["at_word"] == 20 and got[(3, 3)]["coverage"] == 1 and got[(6, 1)]["windows"] == 13 + 3 + 7
+
+
 def test_decontamination_in_blocks(spark, frame, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 30)
     bench = spark.createDataFrame([(i, f"item {i} has words a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}") for i in range(12)], "item_id long, text string")
