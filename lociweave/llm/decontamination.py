@@ -193,7 +193,7 @@ class Block:
         flat = [w for ws in words for w in (b"\0", *ws)]
         t, real = template(flat, codes)
         own = [[w for w in ws if w != b"\0"] for ws in words]
-        ends = np.concatenate([[0], np.cumsum([len(w) for w in own])])
+        ends = np.cumsum([0, *map(len, own)])
         places = slots(t, ends)
         t, bounds = t[places], np.searchsorted(places, ends)
         met = defaultdict(lambda: defaultdict(list))

@@ -196,6 +196,11 @@ def test_decontamination_finds_excerpts_insertions_and_longer_names(spark, frame
     assert got[(1, 1)]["windows"] == 15 and got[(1, 1)]["at_word"] == 20 and got[(3, 3)]["coverage"] == 1 and got[(6, 1)]["windows"] == 13 + 3 + 7
 
 
+def test_decontamination_of_no_texts():
+    block = decontamination.Block([(1, QUESTION.encode())])
+    assert block.hits([], decontamination.Codes()) == [] and block.hits([b"", b" \n "], decontamination.Codes()) == [[], []]
+
+
 def test_decontamination_in_blocks(spark, frame, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_WORDS", 30)
     bench = spark.createDataFrame([(i, f"item {i} has words a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i}") for i in range(12)], "item_id long, text string")
