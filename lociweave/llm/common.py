@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A word, for Java's and DuckDB's regex engines; bytes.split() cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,13 +49,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a materialised table whose dependants are all materialised themselves, and let go of finished shuffles.
-
-    Spark drops shuffle files when the driver's garbage goes, which may be much later than their last use.
-    """
+    """Delete a materialised table whose dependants are all materialised themselves; nothing for other frames."""
     spark = df.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if hasattr(df, "shared_path"):
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of finished shuffles: Spark drops their files when the driver's garbage goes, which may be much later than their last use."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -92,3 +96,10 @@ def fold(column: str = "text") -> Column:
 def bucket_of(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo: the fold of a row."""
     return F.crc32(F.col(column).cast("string")) % modulus
+
+
+def whole_ids(docs: DataFrame) -> None:
+    """Raise a TypeError unless doc_id has an integer type."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id is {kind.simpleString()}; an integer type is needed")

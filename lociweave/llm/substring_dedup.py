@@ -4,9 +4,9 @@ Only stretches that can match travel. Each window of 13 words has an anchor, the
 its runs of 5 words; equal windows have equal anchors. One shuffle of anchors shows which occur in
 two documents or more. The stretches around those, as long as their windows share the anchor, go to
 the shard of the anchor, where equal stretches are one. Each shard builds a compressed FM-index over
-its distinct stretches and streams them through backward search: where a window's matching statistic
-reaches 13 its interval of suffixes is reported, and the interval's least document decides. What
-comes back to a document is the runs of words to remove.
+its distinct stretches and streams them through backward search, which carries the match of a
+stretch from word to word: where the matching statistic reaches 13, the least document of the rows in
+range decides. What comes back to a document is the runs of words to remove.
 
 An anchor that a task meets in two documents is known to be shared there and then; its rows are dealt
 by document and it sends one row by hash, so a passage that is everywhere makes no large group.
@@ -15,20 +15,20 @@ by document and it sends one row by hash, so a passage that is everywhere makes
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, materialise, mix64, table, text_bytes
+from .common import WORD, discard, materialise, mix64, release, table, text_bytes, whole_ids
 from .fm_index import FMIndex
 
 WINDOW, RUN = 13, 5
 CHUNK_ANCHORS, CHUNK_BYTES, SLICE = 500_000, 1_000_000, 512
 SHARD_ANCHORS = 40_000
+#: A shard of more stretches is dealt anew by the hashes of its windows.
+HOT_SHARD = 8 * SHARD_ANCHORS
 MOST_WORDS_KEPT = 400_000
-QUERIES_AT_ONCE = 100_000
 
 
 class WordHashes(dict):
@@ -67,11 +67,14 @@ def anchors(docs: list[list[bytes]], hashes: WordHashes, window: int) -> tuple[n
 
 
 def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, at): places of the anchors that occur in two documents or more."""
+    """(doc, version, span, hash): the runs of windows whose anchor occurs in two documents or more.
 
-    def send(doc: np.ndarray, at: np.ndarray, h: np.ndarray):
+    docs: (doc_id, version, text); a span is the first window's start, times window + 1, plus the number of windows.
+    """
+
+    def send(h: np.ndarray, doc: np.ndarray, version: np.ndarray, span: np.ndarray):
         order = np.lexsort((doc, h))
-        doc, at, h = doc[order], at[order], h[order]
+        h, doc, version, span = (x[order] for x in (h, doc, version, span))
         first = np.concatenate([[True], h[1:] != h[:-1]])
         group = np.cumsum(first) - 1
         begin = np.nonzero(first)[0]
@@ -79,32 +82,33 @@ def shared_anchors(docs: DataFrame, window: int) -> DataFrame:
         known = (doc[begin] != doc[end])[group]
         sign = begin[doc[begin] != doc[end]]  # one row a known hash tells the other tasks
         flag = np.concatenate([known.astype(np.int32), np.full(len(sign), 2, np.int32)])
-        cols = [np.concatenate([x, x[sign]]) for x in (h.view(np.int64), doc, at.astype(np.int32))]
+        cols = [np.concatenate([x, x[sign]]) for x in (h.view(np.int64), doc, version, span)]
         salt = np.where(flag == 1, 1 + (mix64(cols[1].view(np.uint64)) & np.uint64(0xFFFF)).astype(np.int32), 0).astype(np.int32)
         for lo in range(0, len(flag), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (*cols, salt, flag)], ["hash", "doc", "at", "salt", "flag"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (*cols, salt, flag)], ["hash", "doc", "version", "span", "salt", "flag"])
 
     def find(batches):
         hashes, held, size = WordHashes(), [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, words in chunks(batch.column(1)):
-                text, _, at, h = anchors(words, hashes, window)
+            ids, versions = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for first, words in chunks(batch.column(2)):
+                text, start, at, h = anchors(words, hashes, window)
                 if not len(at):
                     continue
-                new = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
-                held.append((ids[first + text[new]], at[new], h[new]))
-                size += int(new.sum())
+                new = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))[0]
+                own = first + text[new]
+                held.append((h[new], ids[own], versions[own], start[new] * (window + 1) + np.diff(new, append=len(at))))
+                size += len(new)
                 if size >= CHUNK_ANCHORS:
                     yield from send(*map(np.concatenate, zip(*held)))
                     held, size = [], 0
         if held:
             yield from send(*map(np.concatenate, zip(*held)))
 
-    rows = docs.mapInArrow(find, "hash bigint, doc bigint, at int, salt int, flag int")
+    rows = docs.mapInArrow(find, "hash bigint, doc bigint, version bigint, span bigint, salt int, flag int")
     of = Window.partitionBy("hash", "salt")
     seen = rows.withColumns({"lo": F.min("doc").over(of), "hi": F.max("doc").over(of), "sign": F.max("flag").over(of)})
-    return seen.where("flag = 1 or flag = 0 and (lo < hi or sign = 2)").select("doc", "at")
+    return seen.where("flag = 1 or flag = 0 and (lo < hi or sign = 2)").select("doc", "version", "span", "hash")
 
 
 def chunks(column: pa.Array):
@@ -121,71 +125,112 @@ def chunks(column: pa.Array):
         yield first, held
 
 
+SEGMENTS = "shard int, seg binary, doc bigint, version bigint, start int"
+#: Two hashes name a stretch; Spark starts the second from the hash of a constant.
+SEED, SECOND = 42, 7
+SECOND_SEED = xxhash.xxh64_intdigest(SECOND.to_bytes(4, "little"), SEED)
+
+
+def segments(shard: list[int], seg: list[bytes], doc: list[int], version: list[int], start: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shard, pa.int32()), pa.array(seg, pa.binary()), pa.array(doc, pa.int64()), pa.array(version, pa.int64()), pa.array(start, pa.int32())],
+        ["shard", "seg", "doc", "version", "start"],
+    )
+
+
 def stretches(docs: DataFrame, shared: DataFrame, window: int, shards: int) -> DataFrame:
-    """(shard, seg, doc, start): runs of words whose windows have one shared anchor."""
+    """SEGMENTS: runs of words whose windows have one shared anchor, by the anchor's shard."""
 
     def cut(batches):
-        hashes = WordHashes()
         for batch in batches:
-            ids, places = batch.column(0).to_pylist(), batch.column(2)
-            for first, docs in chunks(batch.column(1)):
-                text, start, at, h = anchors(docs, hashes, window)
-                if not len(at):
-                    continue
-                lists = [np.asarray(p) for p in places[first : first + len(docs)].to_pylist()]
-                wide = np.int64(1 << 32)
-                good = np.concatenate([i * wide + np.unique(p) for i, p in enumerate(lists)])
-                key = text * wide + at
-                open_ = np.concatenate([[True], key[1:] != key[:-1]])
-                begin = np.nonzero(open_)[0]
-                end = np.append(begin[1:], len(key)) - 1
-                keep = np.isin(key[begin], good)
-                begin, end = begin[keep], end[keep]
-                d, lo, hi = text[begin], start[begin], start[end] + window
-                seg = [b" ".join(docs[i][a:b]) for i, a, b in zip(d.tolist(), lo.tolist(), hi.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((h[begin] % np.uint64(shards)).astype(np.int32)), pa.array(seg, pa.binary()), pa.array([ids[first + i] for i in d.tolist()], pa.int64()), pa.array(lo.astype(np.int32))],
-                    ["shard", "seg", "doc", "start"],
-                )
-
-    places = shared.groupBy("doc").agg(F.collect_list("at").alias("places"))
-    joined = docs.join(places, docs["doc_id"] == places["doc"]).select("doc_id", "text", "places")
-    return joined.mapInArrow(cut, "shard int, seg binary, doc bigint, start int")
-
-
-def search_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Of each distinct stretch (seg, doc), the least document of each of its windows; stretches may repeat."""
-    rows = rows.groupby("seg", as_index=False, sort=False)["doc"].min()
-    split = [s.split(b" ") for s in rows["seg"]]
+            docs, versions = (batch.column(i).to_pylist() for i in (0, 1))
+            spans, homes = batch.column(3), batch.column(4)
+            for first, texts in chunks(batch.column(2)):
+                shard, seg, doc, version, start = [], [], [], [], []
+                for i, words in enumerate(texts, first):
+                    for span, home in zip(spans[i].as_py(), homes[i].as_py()):
+                        a, n = divmod(span, window + 1)
+                        seg.append(b" ".join(words[a : a + n - 1 + window]))
+                        shard.append(home)
+                        start.append(a)
+                    doc += [docs[i]] * len(spans[i])
+                    version += [versions[i]] * len(spans[i])
+                yield segments(shard, seg, doc, version, start)
+
+    one = F.struct("span", F.pmod("hash", F.lit(shards)).cast("int").alias("shard"))
+    places = shared.groupBy(F.col("doc").alias("doc_id"), "version").agg(F.collect_set(one).alias("places"))
+    joined = docs.join(places, ["doc_id", "version"]).select("doc_id", "version", "text", "places.span", "places.shard")
+    return joined.mapInArrow(cut, SEGMENTS)
+
+
+def split_hot(cut: DataFrame, window: int, shards: int) -> DataFrame:
+    """cut, with the stretches of shards of over HOT_SHARD rows dealt anew, window by window, by a hash of the window.
+
+    Around a passage that is in a great part of all documents, stretches across its ends differ in
+    every document but share an anchor. Equal windows still meet, under their own hash.
+    """
+    hot = {r["shard"]: r["count"] for r in cut.groupBy("shard").count().where(F.col("count") > HOT_SHARD).collect()}  # fewer than rows / HOT_SHARD
+    if not hot:
+        return cut
+    more = max(1, sum(hot.values()) * 5 // SHARD_ANCHORS)
+
+    def windows(batches):
+        for batch in batches:
+            shard, seg, doc, version, start = [], [], [], [], []
+            for text, d, v, at in zip(*(batch.column(c).to_pylist() for c in ("seg", "doc", "version", "start"))):
+                words = text.split(b" ")
+                for i in range(len(words) - window + 1):
+                    seg.append(b" ".join(words[i : i + window]))
+                    shard.append(shards + xxhash.xxh64_intdigest(seg[-1]) % more)
+                    doc.append(d)
+                    version.append(v)
+                    start.append(at + i)
+            yield segments(shard, seg, doc, version, start)
+
+    is_hot = F.col("shard").isin(list(hot))
+    return cut.where(~is_hot).union(cut.where(is_hot).mapInArrow(windows, SEGMENTS))
+
+
+class SymbolIds(dict):
+    """Symbols from 1 on, in order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self) + 1
+        return i
+
+
+def search_shard(rows: pa.Table, window: int) -> pa.Table:
+    """(id_1, id_2, least) of each distinct stretch of (shard, seg, doc): the least document of each of its windows; stretches may repeat."""
+    rows = rows.select(["seg", "doc"]).group_by("seg").aggregate([("doc", "min")])
+    segs, ids = rows["seg"].to_pylist(), SymbolIds()
+    split = [s.split(b" ") for s in segs]
     lengths = np.fromiter(map(len, split), np.int64, len(split))
-    ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
-    begins = np.concatenate([[0], np.cumsum(lengths + 1)])
-    symbols = np.zeros(begins[-1], np.int64)
-    for b, words in zip(begins.tolist(), split):
-        symbols[b : b + len(words)] = [ids[w] for w in words]
-    index = FMIndex(symbols, 16 if window <= 16 else 1 << (window - 1).bit_length())
-    doc_of = np.repeat(rows["doc"].to_numpy(np.int64), lengths + 1)[index.rows]
-    counts = lengths - window + 1
-    starts = np.concatenate([b + np.arange(c) for b, c in zip(begins.tolist(), counts.tolist())])
-    least = np.empty(len(starts), np.int64)
-    for at in range(0, len(starts), QUERIES_AT_ONCE):
-        part = starts[at : at + QUERIES_AT_ONCE]
-        lo, hi = index.intervals(symbols[part[:, None] + np.arange(window)])
-        # intervals of patterns of one length are equal or apart
-        first, back = np.unique(lo, return_index=True, return_inverse=True)[1:]
-        edges = np.stack([lo[first], hi[first]], 1).reshape(-1)
-        least[at : at + QUERIES_AT_ONCE] = np.minimum.reduceat(np.append(doc_of, np.iinfo(np.int64).max), edges)[::2][back]
-    cuts = np.concatenate([[0], np.cumsum(counts)])
-    return pd.DataFrame({"seg_id": [xxhash.xxh128_digest(s) for s in rows["seg"]], "least": [least[a:b].tolist() for a, b in zip(cuts, cuts[1:])]})
+    ends = np.cumsum(lengths + 1) - 1
+    symbols = np.zeros(int(ends[-1]) + 1, np.int64)
+    inside = np.ones(len(symbols), bool)
+    inside[ends] = False
+    symbols[inside] = np.fromiter((i for words in split for i in map(ids.__getitem__, words)), np.int64, int(lengths.sum()))
+    index = FMIndex(symbols, np.repeat(rows["doc_min"].to_numpy().astype(np.int64), lengths + 1), window)
+    least = index.least_of_windows(symbols, ends, lengths)
+    offsets = np.concatenate([[0], np.cumsum(lengths - window + 1)]).astype(np.int32)
+    names = [np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in segs), np.uint64, len(segs)).view(np.int64) for seed in (SEED, SECOND_SEED)]
+    return pa.table({"id_1": names[0], "id_2": names[1], "least": pa.ListArray.from_arrays(pa.array(offsets), pa.array(least))})
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text): version tells texts of a repeated doc_id apart."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc, runs): for each document with repeats, the ranges [from, to) of words that a repeated window covers."""
-    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """(doc, version, starts): for each text with repeats, where its repeated windows start, in words."""
+    plain = identified(docs.where("doc_id is not null and text is not null"))
     shared = materialise(shared_anchors(plain, window), "anchors")
+    release(docs.sparkSession)
     shards = max(1, -(-shared.count() // SHARD_ANCHORS))
-    cut = materialise(stretches(plain, shared, window, shards), "stretches")
+    whole = materialise(stretches(plain, shared, window, shards), "stretches")
     discard(shared)
+    cut = split_hot(whole, window, shards)
 
     def once(batches):
         """Stretches that a task has in several documents leave it once, with the least of them."""
@@ -200,18 +245,14 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         yield _distinct(least)
 
     distinct = cut.select("shard", "seg", "doc").mapInArrow(once, "shard int, seg binary, doc bigint")
-    found = distinct.groupBy("shard").applyInPandas(lambda rows: search_shard(rows, window), "seg_id binary, least array<bigint>")
-
-    @F.arrow_udf("binary")
-    def seg_id(seg: pa.Array) -> pa.Array:
-        return pa.array([xxhash.xxh128_digest(s) for s in seg.to_pylist()], pa.binary())
-
-    rows = cut.select("doc", "start", seg_id("seg").alias("seg_id")).join(found, "seg_id")
+    found = distinct.groupBy("shard").applyInArrow(lambda rows: search_shard(rows, window), "id_1 bigint, id_2 bigint, least array<bigint>")
+    named = cut.select(F.xxhash64("seg").alias("id_1"), F.xxhash64(F.lit(SECOND), "seg").alias("id_2"), "doc", "version", "start")
+    rows = named.join(found, ["id_1", "id_2"])
     late = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("doc"), i)), lambda i: i.isNotNull())
-    late = rows.select("doc", "start", late.alias("late")).where("size(late) > 0")
-    runs = materialise(late.select("doc", F.transform("late", lambda i: F.col("start") + i).alias("starts")), "late")
-    discard(cut)
-    return runs.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    late = rows.select("doc", "version", "start", late.alias("late")).where("size(late) > 0")
+    runs = materialise(late.select("doc", "version", F.transform("late", lambda i: F.col("start") + i).alias("starts")), "late")
+    discard(whole)
+    return runs.groupBy("doc", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _distinct(least: dict) -> pa.RecordBatch:
@@ -225,11 +266,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     a document with a smaller doc_id, judged on the input. Null text has no words; texts shorter than
     a window, and rows with a null doc_id, keep all words and take none from others. Rows that share a
     doc_id are one document to each other: they remove nothing from one another. An empty table gives
-    an empty result. Other columns are not read.
+    an empty result. doc_id is of an integer type; others raise a TypeError. Other columns are not read.
     """
-    runs = repeated_runs(docs, window).withColumnRenamed("doc", "__doc")
+    whole_ids(docs)
+    runs = repeated_runs(docs, window)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(runs, F.col("doc_id").cast("bigint") == F.col("__doc"), "left").select("doc_id", "text", "starts")
+    same = (F.col("doc_id").cast("bigint") == F.col("doc")) & (F.xxhash64("text") == F.col("version"))
+    rows = docs.select("doc_id", "text").join(runs, same, "left").select("doc_id", "text", "starts")
 
     def keep(batches):
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):

@@ -264,10 +264,10 @@ def test_substring_edges(frame, edge_rows):
     assert substring_dedup.without_repeats(frame([])).count() == 0
 
 
-@pytest.mark.parametrize("anchors, shard", [(1_000_000, 40_000), (20, 15)])
-def test_substring_passages(frame, monkeypatch, anchors, shard):
-    monkeypatch.setattr(substring_dedup, "CHUNK_ANCHORS", anchors)
-    monkeypatch.setattr(substring_dedup, "SHARD_ANCHORS", shard)
+@pytest.mark.parametrize("anchors, shard, hot", [(1_000_000, 40_000, 320_000), (20, 15, 30), (20, 40, 1)])
+def test_substring_passages(frame, monkeypatch, anchors, shard, hot):
+    for name, value in (("CHUNK_ANCHORS", anchors), ("SHARD_ANCHORS", shard), ("HOT_SHARD", hot)):
+        monkeypatch.setattr(substring_dedup, name, value)
     rng = random.Random(2)
     passages = [[f"p{k}w{rng.randrange(30)}" for _ in range(rng.randrange(12, 60))] for k in range(6)]
     rows = []
@@ -275,18 +275,25 @@ def test_substring_passages(frame, monkeypatch, anchors, shard):
         t = []
         for _ in range(rng.randrange(1, 5)):
             t += [rng.choice("abcdefgh") for _ in range(rng.randrange(20))] + rng.choice(passages)[rng.randrange(3) :]
-        rows.append((d, " ".join(t)))
+        rows.append((d if d % 7 else 3, " ".join(t)))  # some ids have several texts
     assert rows_of(substring_dedup.without_repeats(frame(rows))) == brute_substring(rows)
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(1, 5), min_size=1, max_size=120), st.integers(1, 6))
-def test_fm_index_finds_every_occurrence(seq, size):
-    index = FMIndex(np.array(seq + [0]))
-    starts = range(max(len(seq) - size + 1, 0))
-    patterns = np.array([seq[i : i + size] for i in starts] + [[max(seq)] * size]).reshape(-1, size)
-    for p, lo, hi in zip(patterns.tolist(), *(x.tolist() for x in index.intervals(patterns))):
-        assert sorted(index.rows[lo:hi].tolist()) == [i for i in starts if seq[i : i + size] == p]
+def test_substring_ids_must_be_whole(spark):
+    with pytest.raises(TypeError):
+        substring_dedup.without_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 4), min_size=6, max_size=40), min_size=1, max_size=6), st.integers(2, 6))
+def test_fm_index_finds_the_least_of_each_window(seqs, size):
+    symbols = np.array([x for s in seqs for x in (*s, 0)])
+    lengths = np.array([len(s) for s in seqs])
+    ends = np.cumsum(lengths + 1) - 1
+    index = FMIndex(symbols, np.repeat(np.arange(len(seqs))[::-1], lengths + 1), size)
+    windows = [(tuple(s[i : i + size]), len(seqs) - 1 - k) for k, s in enumerate(seqs) for i in range(len(s) - size + 1)]
+    want = [min(k for v, k in windows if v == w) for w, _ in windows]
+    assert index.least_of_windows(symbols, ends, lengths).tolist() == want
 
 
 # lines
