@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors and driver share; one of the machine's own only where none is set, as in tests."""
+    """The folder that executors and driver share, which spark.checkpoint.dir names; without it an error, but in local mode a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="lociweave-")
@@ -103,3 +105,8 @@ def whole_ids(docs: DataFrame) -> None:
     kind = docs.schema["doc_id"].dataType
     if not isinstance(kind, IntegralType):
         raise TypeError(f"doc_id is {kind.simpleString()}; an integer type is needed")
+
+
+def numbered(docs: DataFrame, **more: Column) -> DataFrame:
+    """(row, rid, and what `more` names): the rows of docs, each as a struct, with a number that stays, as a table in the shared folder."""
+    return materialise(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("rid"), *(c.alias(k) for k, c in more.items())), "numbered")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of edges (a, b) reaches; nodes are any ordered type.
@@ -20,14 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # the number of rounds grows with the logarithm of the longest path
         now = materialise(_small_star(_large_star(now)), "cc")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 

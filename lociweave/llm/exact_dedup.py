@@ -2,9 +2,10 @@
 
 The rows come in two batches, history and new rows. The history's distinct digests are dealt to
 shards by their first bytes; each shard gets a minimal perfect hash whose slots hold the full
-digest and the locator (doc_id) of the winner. New rows look up their digest: the slot's digest is
-compared byte by byte, so a nonmember never passes for a member. Members join their slot's group,
-nonmembers are grouped among themselves, and each group keeps its row with the largest doc_id.
+digest, the locator (doc_id) of the winner and the number of rows. Rows look up their digest: the
+slot's digest is compared byte by byte, so a nonmember never passes for a member. Members are summed
+by slot, which may find a larger doc_id than the slot's winner; only nonmembers are grouped by
+digest. Each group keeps its row with the largest doc_id.
 
 Only digests and ids are shuffled, never texts. Rows of one digest are counted by partial
 aggregation before the shuffle; lookups of a shard with many rows are salted.
@@ -15,19 +16,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, materialise, mix64, table, text_bytes
+from .common import LOWER, UPPER, materialise, mix64, numbered, table, text_bytes
 
 SHARD_DIGESTS = 65_536
 SALT_ROWS = 131_072
 MAX_LEVELS = 48
-#: Stands for a null doc_id inside pandas, which would turn ids into floats.
-NO_ID = -(1 << 63)
 
 
 class MinimalPerfectHash:
@@ -89,79 +87,103 @@ def _shard(n: int):
     return (F.conv(F.hex(F.substring("digest", 17, 4)), 16, 10).cast("long") % n).cast("int")
 
 
-INDEX = "shard int, sizes array<bigint>, bits binary, digests binary, winners array<bigint>"
-
-
 def build_index(groups: DataFrame, shards: int) -> DataFrame:
-    """One row a shard: the hash, and the slots' digests and winners, of (digest, keep_id) with distinct digests."""
+    """One row a shard: the hash, and the slots' digests, winners and sizes, of (digest, keep_id, n) with distinct digests."""
+    kind = groups.schema["keep_id"].dataType.simpleString()
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        digests = rows["digest"].tolist()
+    def build(rows: pa.Table) -> pa.Table:
+        digests = rows["digest"].to_pylist()
         mph = MinimalPerfectHash.build(_keys(digests))
-        order = np.argsort(mph.slots(_keys(digests)))
-        return pd.DataFrame(
-            {"shard": rows["shard"].iloc[:1], "sizes": [mph.sizes], "bits": [np.packbits(mph.bits).tobytes()],
-             "digests": [b"".join(digests[i] for i in order)], "winners": [rows["keep_id"].to_numpy(np.int64)[order]]}
-        )
+        order = pa.array(np.argsort(mph.slots(_keys(digests))))
+        return pa.table({
+            "shard": rows["shard"].slice(0, 1), "sizes": pa.array([mph.sizes.tolist()], pa.list_(pa.int64())), "bits": pa.array([np.packbits(mph.bits).tobytes()]),
+            "digests": pa.array([b"".join(digests[i] for i in order.to_pylist())]), "winners": _one_list(rows["keep_id"].take(order)), "counts": _one_list(rows["n"].take(order)),
+        })
+
+    schema = f"shard int, sizes array<bigint>, bits binary, digests binary, winners array<{kind}>, counts array<bigint>"
+    return groups.select(_shard(shards).alias("shard"), "digest", "keep_id", "n").groupBy("shard").applyInArrow(build, schema)
+
 
-    return groups.select(_shard(shards).alias("shard"), "digest", F.coalesce(F.col("keep_id").cast("long"), F.lit(NO_ID)).alias("keep_id")).groupBy("shard").applyInPandas(build, INDEX)
+def _one_list(values: pa.ChunkedArray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.combine_chunks())
 
 
 def look_up(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Rows of (doc_id, digest) with member: whether the index holds exactly that digest; and the slot's winner."""
-    dealt = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "digest", _shard(shards).alias("shard"))
+    """Rows of (rid, doc_id, digest, late) with shard and slot, and the slot's winner and count; slot is null where the index does not hold exactly that digest."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    dealt = rows.select("rid", "doc_id", "digest", "late", _shard(shards).alias("shard"))
     plan = dealt.groupBy("shard").count().select("shard", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
-    dealt = dealt.join(plan, "shard").select("doc_id", "digest", "shard", F.pmod(F.xxhash64("doc_id"), "salts").cast("int").alias("salt"))
+    dealt = dealt.join(plan, "shard").select("rid", "doc_id", "digest", "late", "shard", F.pmod(F.xxhash64("rid"), "salts").cast("int").alias("salt"))
     copies = index.join(plan, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
-    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left[["doc_id", "digest"]]
-        if left.empty or right.empty:
-            return left.assign(member=False, winner=NO_ID)
-        one, digests = right.iloc[0], left["digest"].tolist()
-        mph = MinimalPerfectHash(np.asarray(one["sizes"], np.int64), np.frombuffer(one["bits"], np.uint8))
-        slots, held, winners = mph.slots(_keys(digests)), one["digests"], one["winners"]
-        member = [s >= 0 and held[32 * s : 32 * s + 32] == d for s, d in zip(slots.tolist(), digests)]
-        return left.assign(member=member, winner=[int(winners[s]) if m else NO_ID for s, m in zip(slots.tolist(), member)])
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(["rid", "doc_id", "digest", "late", "shard"])
+        slots = pa.nulls(left.num_rows, pa.int32())
+        held = [pa.nulls(left.num_rows, left["doc_id"].type), pa.nulls(left.num_rows, pa.int64())]
+        if left.num_rows and right.num_rows:
+            one, digests = right.select(["sizes", "bits", "digests"]).to_pylist()[0], left["digest"].to_pylist()
+            mph = MinimalPerfectHash(np.asarray(one["sizes"], np.int64), np.frombuffer(one["bits"], np.uint8))
+            at, bytes_ = mph.slots(_keys(digests)), one["digests"]
+            slots = pa.array([s if s >= 0 and bytes_[32 * s : 32 * s + 32] == d else None for s, d in zip(at.tolist(), digests)], pa.int32())
+            held = [right[c].combine_chunks().flatten().take(slots) for c in ("winners", "counts")]
+        return left.append_column("slot", slots).append_column("winner", held[0]).append_column("before", held[1])
+
+    schema = f"rid bigint, doc_id {kind}, digest binary, late boolean, shard int, slot int, winner {kind}, before bigint"
+    return dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(check, schema)
+
+
+def grouped(rows: DataFrame, old: DataFrame) -> DataFrame:
+    """rows (rid, doc_id, digest, late) with keep_id and group_size; old (doc_id, digest) is the history, of which rows that are not late are part.
+
+    Rows whose digest is a slot's are counted by slot, which holds the winner and the size so far; the
+    others are grouped by digest among themselves.
+    """
+    groups = materialise(old.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "history")
+    shards = max(1, -(-groups.count() // SHARD_DIGESTS))
+    looked = materialise(look_up(rows, materialise(build_index(groups, shards), "index"), shards), "looked-up")
+    members, others = looked.where("slot is not null"), looked.where("slot is null")
+    # each in a table of its own, apart from its aggregation, so that the joins can split a hot group
+    slots = members.groupBy("shard", "slot").agg(F.max(F.greatest("doc_id", "winner")).alias("keep_id"), (F.max("before") + F.count_if("late")).alias("group_size"))
+    fresh = others.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    wanted = ["rid", "doc_id", "digest", "keep_id", "group_size"]
+    return members.join(materialise(slots, "slots"), ["shard", "slot"]).select(wanted).union(others.join(materialise(fresh, "nonmembers"), "digest").select(wanted))
+
 
-    found = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(check, "doc_id bigint, digest binary, member boolean, winner bigint")
-    return found.withColumns({c: F.nullif(c, F.lit(NO_ID)) for c in ("doc_id", "winner")})
+def two_batches(rows: DataFrame) -> DataFrame:
+    """grouped() of (rid, doc_id, digest): the half with an even hash of rid is the history, the other half is looked up."""
+    late = rows.withColumn("late", F.pmod(F.xxhash64("rid"), F.lit(2)) == 1)
+    return grouped(late, late.where("not late"))
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     history: earlier documents, as (doc_id, text); they count in groups and may win, but have no
-    rows in the result. Without it, the half of docs with an even hash of doc_id is the first batch
-    and the other half is looked up in its index.
+    rows in the result. Without it, half of docs is the first batch and the other half is looked up
+    in its index.
 
-    Null text counts as empty. A null doc_id never wins over another; a group of null ids alone has
-    keep_id null and all its rows kept. Rows that repeat the winner's doc_id are all kept, as the id
-    is the locator. An empty table gives an empty result. Other columns of docs are not read.
+    doc_id is of any ordered type. Null text counts as empty. A null doc_id never wins over another; a
+    group of null ids alone has keep_id null and all its rows kept. Rows that repeat the winner's
+    doc_id are all kept, as the id is the locator. An empty table gives an empty result. Other columns
+    of docs are not read.
     """
     digest = digest_of("text").alias("digest")
-    if history is None:
-        rows = materialise(docs.select("doc_id", digest), "digests")
-        first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-        old, new = rows.where(first), rows.where(~first)
-    else:
-        rows = new = materialise(docs.select("doc_id", digest), "digests")
-        old = materialise(history.select("doc_id", digest), "digests")
-    groups = materialise(old.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "history")
-    shards = max(1, -(-groups.count() // SHARD_DIGESTS))
-    looked = materialise(look_up(new, build_index(groups, shards), shards), "looked-up")
-    parts = [looked.where(side).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")) for side in ("member", "not member")]
-    merged = groups.union(parts[0]).union(parts[1]).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    merged = materialise(merged, "groups")  # apart from its aggregation, so that the join can split a hot digest
-    return rows.join(merged, "digest").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", digest), "digests")
+    done = two_batches(rows) if history is None else grouped(rows.withColumn("late", F.lit(True)), materialise(history.select("doc_id", digest), "digests"))
+    return done.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row, that of the largest doc_id, of each group of equal texts; rows without a doc_id stay."""
-    losers = exact_dedup(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each group of equal texts, that of the largest doc_id.
+
+    Rows are told apart by a number of their own: a doc_id with several texts has a row for each; of
+    rows that repeat text and doc_id one stays; a null doc_id stays where its group has no other.
+    Null and empty texts are one group. An empty table gives an empty result; all columns pass through.
+    """
+    rows = numbered(docs, digest=digest_of("text"))
+    done = two_batches(rows.select("rid", F.col("row.doc_id").alias("doc_id"), "digest"))
+    winners = done.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("rid").alias("rid")).select("rid")
+    return rows.join(winners, "rid", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

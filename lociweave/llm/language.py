@@ -1,6 +1,6 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Three passes. The first counts the document frequency of each hashed n-gram over all learning
+The languages are all non-null values of lang; the driver holds DIM weights for each. Three passes. The first counts the document frequency of each hashed n-gram over all learning
 documents. The second takes a bounded sample for each language, by a threshold on a hash of doc_id,
 and fits weights by follow-the-regularised-leader with an elastic net, which keeps most of them at
 zero; a fifth of the sample is set aside to fit the temperature. The third scores every text.
@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from .common import bucket_of, table
 
 DIM = 1 << 16
-#: The classifier is fitted on at most about this many documents of each language, and of so many languages.
+#: The classifier is fitted on at most about this many documents of each language.
 SAMPLE_PER_LANGUAGE = 600
-MOST_LANGUAGES = 256
 UNDETERMINED = "und"
 
 
@@ -48,7 +47,7 @@ class Ftrl:
     n: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.z, self.n = np.zeros((DIM, self.classes)), np.zeros((DIM, self.classes))
+        self.z, self.n = np.zeros((2, DIM, self.classes), np.float32)
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -136,7 +135,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
 def fit(docs: DataFrame, learn_from) -> LanguageModel:
     """A model from the text and non-null lang of the rows of docs for which the column learn_from holds."""
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros(DIM, np.float32), np.zeros((DIM, 0), np.float32), 1.0)
@@ -145,7 +144,7 @@ def fit(docs: DataFrame, learn_from) -> LanguageModel:
 
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
     part = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, SAMPLE_PER_LANGUAGE / counts[k]))))
-    sample = rows.where(draw < part[F.col("lang")])
+    sample = rows.where(draw < part[F.col("lang")]).dropDuplicates(["doc_id", "lang", "text"])  # repeated rows are drawn once
 
     def vectors(batches):
         for batch in batches:
@@ -184,11 +183,16 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """docs without the rows whose language can't be told: no letters, or a calibrated score below least_score."""
+    """docs without the rows whose language can't be told: no letters, or a calibrated score below least_score.
+
+    All columns pass through, whatever their names. Rows with null or empty text go; repeated rows
+    stay or go together; null ids and null languages are not learned from but judged like others. An
+    empty table gives an empty result.
+    """
     fold = F.coalesce(bucket_of("doc_id", 5), F.lit(-1))
     model = fit(docs, (fold != 0) & (fold >= 0))
-    seen = docs.withColumn("__p", model.udf()("text"))
-    return seen.where((F.col("__p.lang") != UNDETERMINED) & (F.col("__p.score") >= least_score)).drop("__p")
+    seen = docs.select(F.struct("*").alias("row"), model.udf()("text").alias("p"))
+    return seen.where((F.col("p.lang") != UNDETERMINED) & (F.col("p.score") >= least_score)).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COP
 
     Excess of capped sources is reshared by weight. That fixes one level L with target =
     min(most * size, L * weight): ordered by most * size / weight, capped sources come first, and L
-    is what they leave over the weights of the others. A row per source, so the windows are small.
+    is what they leave over the weights of the others. A row per source: the windows take one task,
+    which is meant for up to some millions of sources.
     """
     by_name, by_cap = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("full_at", "place")
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
@@ -61,7 +62,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> Data
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST_COPIES) -> DataFrame:
-    """The documents of the mix, with all their columns and mix_copies, how often the mix repeats each; the rest go."""
+    """The documents of the mix, with all their columns and mix_copies, how often the mix repeats each; the rest go.
+
+    A column mix_copies of docs is replaced. Rows that share a doc_id, null ids too, are taken or left
+    together, repeated rows as well; documents without words go where their source is not repeated
+    whole. An empty table gives an empty result.
+    """
     every = measured(docs)
     rows = materialise(every.drop("row"), "sizes")
     mixed = taken(every, rows, weights, share, most).where("copies > 0")

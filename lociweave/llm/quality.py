@@ -105,13 +105,13 @@ class FactorisationMachine:
 
 def fit(docs: DataFrame, labels: DataFrame, learn_from) -> FactorisationMachine:
     """A model from the labels (doc_id, quality) that the column learn_from admits; one that says 0.5 if there are none."""
-    known = labels.where(learn_from & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in known.where("quality in (0, 1)").groupBy("quality").count().collect()}
+    known = labels.where(learn_from).select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").distinct()
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if not counts:
         return FactorisationMachine(np.zeros(DIM), np.zeros((DIM, RANK)))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, SAMPLE_PER_LABEL / n))))
-    few = known.where(draw < share[F.col("quality")])  # at most about 2 * SAMPLE_PER_LABEL rows
+    few = known.where(draw < share[F.col("quality")])  # distinct, so at most about 2 * SAMPLE_PER_LABEL rows
 
     def vectors(batches):
         ids = WordIds()
@@ -119,9 +119,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from) -> FactorisationMachine:
             found = [features(t, ids) for t in text_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in found], pa.binary())], ["quality", "draw", "at", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("quality", draw.alias("draw"), "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").dropDuplicates().select("quality", draw.alias("draw"), "text")  # repeated documents teach once
     got = rows.mapInArrow(vectors, "quality int, draw double, at binary, x binary").toArrow().sort_by([("draw", "ascending"), ("quality", "ascending"), ("at", "ascending")])
     data = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32).astype(float), q) for q, a, x in zip(*(got[c].to_pylist() for c in ("quality", "at", "x")))]
+    if not data:
+        return FactorisationMachine(np.zeros(DIM), np.zeros((DIM, RANK)))
     model = FactorisationMachine.fit(data)
     drawn = {k: min(n, SAMPLE_PER_LABEL) for k, n in counts.items()}
     if len(counts) == 2:  # from the sample's share of labels to that of all labels
@@ -133,8 +135,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Learns from labels whose crc32 of doc_id, as text, modulo `folds` is not `held`; null ids and
-    null labels teach nothing, null ids are not held out. Null text counts as empty and is scored
-    like any other. Without labels every score is 0.5. Repeated rows get equal results. An empty
+    null labels teach nothing, null ids are not held out. Repeated labels and documents teach once. Null text counts as empty and is scored
+    like any other. Without labels of documents every score is 0.5. Repeated rows get equal results. An empty
     table gives an empty result.
     """
     fold = F.coalesce(bucket_of("doc_id", folds), F.lit(-1))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, small_batches, table, text_bytes
+from .common import materialise, mix64, numbered, small_batches, table, text_bytes
 from .components import components
 
 SEED = 42
@@ -138,19 +138,24 @@ def keyed(rows: DataFrame, blocks: int, radius: int, *also: str) -> DataFrame:
 
 def sorted_buckets(batches):
     """(rows but the key) of each run of two or more equal keys; batches are sorted by their last column, the key."""
-    rest = None
+    rest: list[np.ndarray] = []  # the rows of the last key so far
     for batch in chain(batches, [None]):
         if batch is not None:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], 1)
-            rows = rows if rest is None else np.concatenate([rest, rows])
+            if not len(rows):
+                continue
+            if rows[0, -1] == rows[-1, -1] and (not rest or rest[-1][-1, -1] == rows[0, -1]):
+                rest.append(rows)
+                continue
+            rows = np.concatenate([*rest, rows])
             cut = np.nonzero(rows[1:, -1] != rows[:-1, -1])[0] + 1
-            last = int(cut[-1]) if len(cut) else 0
-            rest, rows = rows[last:], rows[:last]
-        elif rest is not None:
-            rows, cut = rest, np.array([len(rest)])
+            rest, rows = [rows[cut[-1] :]], rows[: cut[-1]]
+        elif rest:
+            rows = np.concatenate(rest)
+            cut = np.array([len(rows)])
         else:
             return
-        starts = np.concatenate([[0], cut[:-1]]).astype(np.int64) if len(cut) else cut
+        starts = np.concatenate([[0], cut[:-1]]).astype(np.int64)
         many = cut - starts > 1
         for lo, hi in zip(starts[many].tolist(), cut[many].tolist()):
             yield rows[lo:hi, :-1]
@@ -193,7 +198,7 @@ def near_components(docs: DataFrame, shingle: int = 3, blocks: int = 6, radius:
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-prints")
     roots = components(near_links(prints.select("fp"), blocks, radius)).withColumnRenamed("node", "fp")
     named = materialise(prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    whole = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_near"))
+    whole = materialise(named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_near")), "components")  # apart from its join, which can split a hot root
     by_print = named.join(whole, "root").select("fp", "component_id", "n_near")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_near")
 
@@ -236,7 +241,7 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, fp, keys, sketch) of the rows with a doc_id: of the set of shingles its size, SimHash, band keys and sketch."""
+    """(rid, n, fp, keys, sketch) of (rid, text): of the set of shingles its size, SimHash, band keys and sketch."""
 
     @F.arrow_udf("struct<n: int, fp: bigint, keys: array<bigint>, sketch: binary>")
     def signed(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -251,11 +256,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             prints = pa.array(np.array(fps, np.uint64).view(np.int64))
             yield pa.StructArray.from_arrays([pa.array(n, pa.int32()), prints, pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["n", "fp", "keys", "sketch"])
 
-    return docs.where("doc_id is not null").select("doc_id", signed("text").alias("s")).select("doc_id", "s.*")
+    return docs.select("rid", signed("text").alias("s")).select("rid", "s.*")
 
 
 def bucket_links(rows: np.ndarray, similarity: float, first: int = 0, pivots: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs of a bucket whose sizes allow the similarity and whose groups differ; rows are (doc_id, fp, n, group).
+    """Positions of the pairs of a bucket whose sizes allow the similarity and whose groups differ; rows are (rid, fp, n, group).
 
     One of a pair has a rank from `first` on, of `pivots` ranks; all ranks give all pairs, once. The
     ranks begin nearest to the bitwise majority of the fingerprints, where copies have their original.
@@ -272,87 +277,78 @@ def bucket_links(rows: np.ndarray, similarity: float, first: int = 0, pivots: in
     return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, root) of the documents that have near-duplicates: root is the smallest doc_id of the group.
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(rid, root) of the rows of docs (rid, text) that have near-duplicates: root is the smallest rid of the group.
 
     Candidates share a band key of their sets of `shingle`-word shingles: at a similarity of 0.8 a
     pair is missed with probability 4e-7, wherever the texts differ, and less above. They are linked if the
     sets have at least the given similarity, by their sketches or, near the threshold, in whole. A bucket of over SMALL_BUCKET rows
-    compares its members with one pivot, then with 4 more, 16 more and so on, until all are in one
+    compares its members with one pivot, by a join that splits a hot bucket, then with more in a task, until all are in one
     group or all pairs of different groups are compared; so a group of n copies of one document gives
-    about n candidates, while only members that are not alike cost more. Rows
-    with a null doc_id have no group; repeated
-    rows share a doc_id and so a group; texts without words are alike. Other columns are not read.
+    about n candidates, while only members that are not alike cost more. Texts without words are alike.
     """
     rows = materialise(signatures(docs, shingle), "signatures")
-    dealt = rows.select("doc_id", "fp", "n", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "doc_id", "fp", "n")
+    dealt = rows.select("rid", "fp", "n", F.explode("keys").alias("key"))
+    keys = materialise(dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("rid").alias("pivot")).where("members > 1"), "keys")
+    met = materialise(dealt.join(keys, "key"), "buckets")
+    large = met.where(F.col("members") > SMALL_BUCKET).withColumnRenamed("key", "bucket")
+    small = met.where(F.col("members") <= SMALL_BUCKET).select("rid", "fp", "n", "key")
 
-    def deal(batches):
-        """Pairs (a, b) of small buckets; of large ones the rows, with b null."""
+    def compare_all(batches):
         for bucket in sorted_buckets(batches):
-            if len(bucket) > SMALL_BUCKET:
-                yield bucket[:, 0], None, bucket[:, 1:]
-            else:
-                x, y = bucket_links(bucket[:, [0, 1, 2, 0]], similarity)
-                yield bucket[x, 0], bucket[y, 0], None
-
-    met = materialise(dealt.select("doc_id", "fp", "n", F.col("key").alias("bucket"), "key").mapInArrow(_dealt(deal), "a bigint, b bigint, fp bigint, n bigint, bucket bigint"), "buckets")
-    large = met.where("b is null").select(F.col("a").alias("doc_id"), "fp", "n", "bucket")
-    links = materialise(_alike(_candidates(met), rows, docs, shingle, similarity), "links")
-    first, pivots = 0, 1
+            x, y = bucket_links(bucket[:, [0, 1, 2, 0]], similarity)
+            yield bucket[x, 0], bucket[y, 0]
+
+    pairs = small.repartition("key").sortWithinPartitions("key", "rid", "fp", "n").mapInArrow(_dealt(compare_all), "a bigint, b bigint")
+    pairs = pairs.union(large.select(F.col("pivot").alias("a"), F.col("rid").alias("b")))
+    links = materialise(_alike(_candidates(pairs), rows, docs, shingle, similarity), "links")
+    first, pivots = 0, 4
     while True:
         roots = components(links)
-        grouped = large.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        grouped = materialise(grouped.select("doc_id", "fp", "n", "root", "bucket"), "grouped")
-        apart = grouped.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        apart = apart.where(F.col("members") > first + 1)
+        held = large.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        held = materialise(held.select("rid", "fp", "n", "root", "bucket"), "grouped")
+        apart = held.groupBy("bucket").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        apart = materialise(apart.where(F.col("members") > first + 1).select("bucket"), "apart")
         if apart.isEmpty():
-            return roots.withColumnsRenamed({"node": "doc_id"})
+            return roots.withColumnRenamed("node", "rid")
 
         def compare(batches, first=first, pivots=pivots):
             for bucket in sorted_buckets(batches):
                 x, y = bucket_links(bucket, similarity, first, pivots)
-                yield bucket[x, 0], bucket[y, 0], None
+                yield bucket[x, 0], bucket[y, 0]
 
-        unsettled = grouped.join(apart.select("bucket"), "bucket", "left_semi").select("doc_id", "fp", "n", "root", "bucket")
-        unsettled = unsettled.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "fp", "n")
-        pairs = unsettled.mapInArrow(_dealt(compare), "a bigint, b bigint, fp bigint, n bigint, bucket bigint")
+        unsettled = held.join(apart, "bucket", "left_semi").select("rid", "fp", "n", "root", "bucket")
+        pairs = unsettled.repartition("bucket").sortWithinPartitions("bucket", "rid", "fp", "n").mapInArrow(_dealt(compare), "a bigint, b bigint")
         links = links.union(materialise(_alike(_candidates(pairs), rows, docs, shingle, similarity), "links"))
         first, pivots = first + pivots, 4 * pivots
 
 
 def _dealt(parts):
-    """For mapInArrow: the (a, b or None, other columns or None) that parts yields, in record batches."""
-
-    def batch(held: list) -> pa.RecordBatch:
-        table = np.concatenate([np.column_stack([a, a if b is None else b, np.zeros((len(a), 3), np.int64) if also is None else also]) for a, b, also in held])
-        pair = np.concatenate([np.full(len(a), b is not None) for a, b, _ in held])
-        columns = [pa.array(table[:, 0]), pa.array(table[:, 1], mask=~pair), *(pa.array(table[:, i], mask=pair) for i in (2, 3, 4))]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b", "fp", "n", "bucket"])
+    """For mapInArrow: the (a, b) that parts yields, in record batches."""
 
     def run(batches):
-        held, size = [], 0
-        for part in parts(batches):
-            held.append(part)
-            size += len(part[0])
-            if size > 100_000 or len(held) > 4096:
-                yield batch(held)
-                held, size = [], 0
-        if held:
-            yield batch(held)
+        a, b, size = [], [], 0
+        for x, y in parts(batches):
+            a.append(x)
+            b.append(y)
+            size += len(x)
+            if size > 100_000 or len(a) > 4096:
+                yield _pairs(a, b)
+                a, b, size = [], [], 0
+        if a:
+            yield _pairs(a, b)
 
     return run
 
 
 def _candidates(met: DataFrame) -> DataFrame:
-    pairs = met.where("b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return materialise(pairs.distinct(), "candidates")
+    return materialise(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
 
 def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The candidate pairs whose sets of shingles have the similarity: sketches settle clear cases, whole sets the others."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sketches = materialise(rows.dropDuplicates(["doc_id"]).join(ends, "doc_id").select("doc_id", "sketch"), "sketches")
+    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    sketches = materialise(rows.join(ends, "rid").select("rid", "sketch"), "sketches")
 
     @F.arrow_udf("int")
     def clear(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -361,7 +357,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, sim
 
     settled = materialise(_ends_of(pairs, sketches.withColumnRenamed("sketch", "of")).select("a", "b", clear("x", "y").alias("verdict")), "settled")
     close = settled.where("verdict = 0").select("a", "b")
-    ends = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
+    ends = close.select(F.col("a").alias("rid")).union(close.select("b")).distinct()
 
     @F.arrow_udf("binary")
     def whole(text: pa.Array) -> pa.Array:
@@ -377,21 +373,43 @@ def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, sim
         return pa.array(found, pa.bool_())
 
     with small_batches(docs.sparkSession):
-        sets = materialise(docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", whole("text").alias("of")), "whole-sets")
+        sets = materialise(docs.join(ends, "rid", "left_semi").select("rid", whole("text").alias("of")), "whole-sets")
         checked = materialise(_ends_of(close, sets).where(alike("x", "y")).select("a", "b"), "checked")
     return settled.where("verdict > 0").select("a", "b").union(checked)
 
 
 def _ends_of(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """pairs (a, b) with x and y, what values (doc_id, of) has of the two."""
-    x, y = (values.withColumnsRenamed({"doc_id": end, "of": name}) for end, name in (("a", "x"), ("b", "y")))
+    """pairs (a, b) with x and y, what values (rid, of) has of the two."""
+    x, y = (values.withColumnsRenamed({"rid": end, "of": name}) for end, name in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b")
 
 
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, root), one row for each row of docs with near-duplicates: root is the smallest doc_id of its group.
+
+    Null and empty texts are alike. A doc_id with several texts is in several groups; null ids take
+    part, and name a group only where it has no other id (root is null). An empty table gives an empty
+    result. Other columns are not read.
+    """
+    rows = numbered(docs.select("doc_id", "text"))
+    groups = near_groups(rows.select("rid", "row.text"), shingle, similarity).join(rows.select("rid", "row.doc_id"), "rid")
+    least = materialise(groups.groupBy(F.col("root").alias("group")).agg(F.min("doc_id").alias("least")), "least")
+    return groups.join(least, F.col("root") == F.col("group")).select("doc_id", F.col("least").alias("root"))
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each group of near-duplicates."""
-    losers = near_duplicates(docs, shingle, similarity).where("doc_id <> root").select("doc_id")
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id.
+
+    Rows are told apart by a number of their own: a doc_id with several texts stands in several
+    groups; of rows with equal ids in a group one stays, and null ids come after all others. Null and
+    empty texts are alike. An empty table gives an empty result; all columns pass through.
+    """
+    rows = numbered(docs)
+    groups = materialise(near_groups(rows.select("rid", "row.text"), shingle, similarity), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid"))
+    winners = groups.join(rows.select("rid", "row.doc_id"), "rid").groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("rid"))
+    losers = groups.select("rid").join(winners, "rid", "left_anti")
+    return rows.join(losers, "rid", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,10 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import connect, same
+from pyspark.sql import functions as F
 
 from lociweave.llm import components, exact_dedup, line_dedup, registry, simhash, substring_dedup
+from lociweave.llm.common import materialise
 from lociweave.llm.fm_index import FMIndex
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -59,8 +61,29 @@ def test_exact_history_and_empty(frame):
     got = exact_dedup.exact_dedup(frame([(1, "A"), (2, "new")]), frame([(9, "a"), (8, "old")]))
     assert [(r[0], r[1], r[2], r[3]) for r in rows_of(got)] == [(1, 9, 2, False), (2, 2, 1, True)]
     assert exact_dedup.exact_dedup(frame([])).count() == 0
-    kept = exact_dedup.drop_exact_copies(frame([(1, "A"), (2, "a"), (None, "a"), (3, "b")]))
-    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["2", "3", "None"] and kept.columns[0] == "doc_id"
+
+
+def test_exact_drop_loses_no_text(frame):
+    rows = [(1, "A"), (2, "a"), (1, "unique text"), (None, "a"), (3, "b"), (3, "B"), (3, "b"), (None, "n"), (None, "N"), (4, None), (5, "")]
+    kept = exact_dedup.drop_exact_copies(frame(rows))
+    got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()), key=repr)
+    assert got == [(1, "unique text"), (2, "a"), (3, "b"), (5, ""), (None, "n")] and kept.columns == frame([]).columns
+    assert exact_dedup.drop_exact_copies(frame([])).count() == 0
+
+
+def test_exact_ids_of_other_types_and_the_least_id(spark):
+    texts = spark.createDataFrame([("x", "A"), ("y", "a"), (None, "b")], "doc_id string, text string")
+    assert [(r[0], r[1]) for r in rows_of(exact_dedup.exact_dedup(texts))] == [("x", "y"), ("y", "y"), (None, None)]
+    least = spark.createDataFrame([(-(1 << 63), "A"), (None, "a")], "doc_id long, text string")
+    assert {r["keep_id"] for r in exact_dedup.exact_dedup(least).collect()} == {-(1 << 63)}
+
+
+def test_members_take_the_winner_from_their_slot(frame):
+    """Results come through the index: with other winners and counts in the slots, members say otherwise."""
+    rows = materialise(frame([(i, f"t{i % 5}") for i in range(20)]).select(F.col("doc_id").alias("rid"), "doc_id", exact_dedup.digest_of("text").alias("digest"), F.lit(True).alias("late")), "test")
+    groups = rows.select("digest").distinct().select("digest", F.lit(99).cast("long").alias("keep_id"), F.lit(3).cast("long").alias("n"))
+    looked = exact_dedup.look_up(rows, exact_dedup.build_index(groups, 2), 2).collect()
+    assert {(r["winner"], r["before"]) for r in looked} == {(99, 3)} and len({(r["shard"], r["slot"]) for r in looked}) == 5
 
 
 def test_exact_salted_shards(frame, monkeypatch):
@@ -190,6 +213,29 @@ def test_verified_near_duplicates(frame):
     assert not any(d % 10 == 9 for d in got)
 
 
+def test_near_drop_loses_no_text(frame):
+    base = [f"w{i}" for i in range(200)]
+    a, b, other = " ".join(base), " ".join([*base[:100], "x", *base[101:]]), " ".join(f"o{i}" for i in range(50))
+    kept = simhash.drop_near_duplicates(frame([(None, a), (7, b), (7, other), (9, a), (None, "alone")]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(7, b), (7, other), (None, "alone")], key=repr)
+    assert kept.columns == frame([]).columns and simhash.drop_near_duplicates(frame([])).count() == 0
+
+
+def test_twins_in_a_family_all_meet(frame):
+    """Pairs of twins in a family whose other members lie below the threshold."""
+    rng, rows = random.Random(9), []
+    core = [f"c{i}" for i in range(300)]
+    for i in range(120):
+        t = list(core)
+        for k in rng.sample(range(300), 8):
+            t[k] = f"d{i}k{k}"
+        u = list(t)
+        u[rng.randrange(300)] = f"u{i}"
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(u))]
+    got = {r["doc_id"]: r["root"] for r in simhash.near_duplicates(frame(rows)).collect()}
+    assert all(got.get(2 * i) is not None and got.get(2 * i) == got.get(2 * i + 1) for i in range(120))
+
+
 def test_near_duplicates_of_every_kind_of_edit(frame):
     rng = random.Random(8)
     rows, pairs = [], []
