@@ -1,13 +1,17 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations alone.
 
-Each window of RUN consecutive lines selects its line of least hash as its fingerprint, so any
-repeated run of RUN lines or more shares a fingerprint at the same place. Fingerprints that occur
-once in the corpus, nearly all of them, are settled by one aggregation of hashes. Around the
-positions of the others, the match is extended both ways: every window that selected the
-position is hashed whole, so positions match where all RUN lines agree, and a longer repeated run is
-a chain of such windows. The first window of each content stays; later ones are deleted, line by line.
-Positions are never paired with one another: each content has one first position, a minimum that
-is combined before the shuffle.
+Each window of RUN consecutive lines selects its line of least hash, so any repeated run of RUN lines
+or more selects a line at the same place of every copy. Only selected positions are shuffled, by the
+hash of their line; those whose line is selected nowhere else, nearly all, are settled by one
+aggregation. Each position carries the hashes of its neighbours: from the others the match is
+extended to the left and to the right, line by line, into the runs of RUN lines around the position
+that selected it. The first place of each run stays; later ones are deleted, and a longer repeated
+run is a chain of them. Positions are never paired with one another: each run has one first
+place, a minimum that is combined before the shuffle. What is aggregated is written before it is
+joined, so that the join can split a line or run that is everywhere.
+
+Runs are compared by the 64-bit hashes of all their lines: different runs are taken for equal only
+where each line of one has the hash of its counterpart.
 """
 
 from __future__ import annotations
@@ -32,24 +36,30 @@ def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     gives an empty result. Other columns are not read.
     """
     lines = F.when(F.col("text").isNotNull(), F.split("text", "\n", -1))
-    own = docs.select("doc_id", lines.alias("lines"))
-    hashed = own.where(F.col("doc_id").isNotNull() & (F.size("lines") >= run)).select("doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
-    spans = F.sequence(F.lit(0), F.size("h") - run)
-    # each window: where it starts, the hash that it selects, and a hash of all its lines
-    window = F.transform(spans, lambda i: F.struct(i.cast("int").alias("start"), F.array_min(F.slice("h", i + 1, run)).alias("print"), F.xxhash64(F.slice("h", i + 1, run)).alias("content")))
-    windows = materialise(hashed.select("doc_id", F.explode(window).alias("w")).select("doc_id", "w.*"), "windows")
-
-    # a fingerprint matters if it is selected at two positions or more
+    whole = docs.select("doc_id", lines.alias("lines"))
+    hashed = whole.where(F.col("doc_id").isNotNull() & (F.size("lines") >= run)).select("doc_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    starts = F.sequence(F.lit(0), F.size("h") - run)
+    selected = F.array_distinct(F.transform(starts, lambda i: (i + F.array_position(F.slice("h", i + 1, run), F.array_min(F.slice("h", i + 1, run))) - 1).cast("int")))
+    # around: the hashes of the lines from `from` on, up to run - 1 on either side of the position
+    low = F.greatest(F.col("at") - (run - 1), F.lit(0))
+    rows = hashed.select("doc_id", "h", F.explode(selected).alias("at")).select("doc_id", "at", F.get("h", F.col("at")).alias("print"), low.alias("from"), F.slice("h", low + 1, F.col("at") + run - low).alias("around"))
+    rows = materialise(rows, "selected")
+    prints = materialise(rows.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"), "prints")
+
+    met = rows.join(prints, "print", "left_semi")
+    inside = F.sequence(F.lit(0), F.size("around") - run)
+    runs = F.transform(inside, lambda i: F.struct((F.col("from") + i).cast("int").alias("start"), F.slice("around", i + 1, run).alias("run")))
+    own = F.filter(runs, lambda r: r["start"] + F.array_position(r["run"], F.col("print")) - 1 == F.col("at"))
+    own = F.filter(own, lambda r: F.array_min(r["run"]) == F.col("print"))
+    found = materialise(met.select("doc_id", F.explode(own).alias("r")).select("doc_id", "r.*"), "runs")
     place = F.struct("doc_id", "start")
-    prints = windows.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("print")
-    shared = windows.join(prints, "print", "left_semi")
-    first = shared.groupBy("content").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("content", "first")
-    late = shared.join(first, "content").where(place > F.col("first")).select("doc_id", "start").distinct()
+    first = found.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("run", "first")
+    late = found.join(materialise(first, "first"), "run").where(place > F.col("first")).select("doc_id", "start").distinct()
     gone = late.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
 
     cover = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
     gone = gone.select(F.col("doc_id").alias("__doc"), cover.alias("gone"))
-    joined = own.join(gone, F.col("doc_id") == F.col("__doc"), "left")
+    joined = whole.join(gone, F.col("doc_id") == F.col("__doc"), "left")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(_without("lines", F.col("gone")))
     return joined.select(
         "doc_id",
