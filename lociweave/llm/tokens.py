@@ -5,8 +5,11 @@ cuts a text into words: five states, seven kinds of character, and a mark on eac
 starts a word. A text is dealt into chunks of equal length; all chunks step together, from every
 state at once, which gives each chunk a map from entry state to exit state; a parallel prefix scan
 composes the maps, so each chunk's true entry state is known, and a second pass emits the marks.
-The second transducer reads a word and emits a number of tokens: its paths are the words, their
-last transition carries the count, and a path is compiled from the merge table when it is first met.
+The second reads a word symbol by symbol. Its automaton is a trie of the vocabulary with failure
+links, so after each symbol it knows the tokens that end there, longest first. The tokens of a prefix
+end with the one of these that is compatible with the last token of what lies before it; compatible
+means that no merge across the cut comes before the merges that made the two. Each transition
+thus gives the number of tokens emitted so far, in time linear in the word. Words are cached.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 CHUNK = 128
-#: Characters that are cut together, at least one text; and word paths that a worker keeps before it starts anew.
-BLOCK_CHARS, MOST_PATHS = 1_000_000, 400_000
+#: Characters that are cut together, at least one text; and words and pairs of tokens that a worker keeps before it starts anew.
+BLOCK_CHARS, MOST_KEPT = 1_000_000, 400_000
+#: Symbols of a word: its bytes, the last of which is another symbol than the same byte inside.
+SYMBOLS, LAST_BYTE = 512, 256
 #: Unicode's white space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER, QUOTE, QUOTE_1, QUOTE_2 = range(7)
@@ -63,31 +68,106 @@ class TokenTransducer:
         wanted = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
         if model["type"] != "BPE" or spec["normalizer"]["normalizers"] != wanted or model["continuing_subword_prefix"]:
             raise ValueError("only lower-casing byte-level BPE with word ends can be compiled")
-        self.suffix = model["end_of_word_suffix"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         # printable bytes stand for themselves, the others for the characters from 256 on
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         spare = iter(range(256, 512))
-        self.letters = [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+        suffix, names = model["end_of_word_suffix"], {}
+        for b in range(256):
+            letter = chr(b) if b in plain else chr(next(spare))
+            names[letter], names[letter + suffix] = b, LAST_BYTE + b
+        # tokens are numbered in order of their merges, after the symbols
+        self.parts, self.lengths, spelled = [], [1] * SYMBOLS, [(i,) for i in range(SYMBOLS)]
+        for i, m in enumerate(model["merges"], SYMBOLS):
+            u, t = m if isinstance(m, list) else m.split(" ")
+            self.parts.append((names[u], names[t]))
+            if u + t in names:
+                raise ValueError("two merges make one token")
+            names[u + t] = i
+            spelled.append(spelled[names[u]] + spelled[names[t]])
+            self.lengths.append(len(spelled[i]))
+        self.merges = {pair: i for i, pair in enumerate(self.parts, SYMBOLS)}
+        self._compile(spelled)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"])) if spec["added_tokens"] else None
         self.kinds = kinds_of_characters()
         self.next, self.starts = cutter()
-        self.paths: dict[str, int] = {}
+        self.words_kept: dict[str, int] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
+
+    def _compile(self, spelled: list[tuple[int, ...]]) -> None:
+        """The trie's transitions, by node * SYMBOLS + symbol; of each node its failure link and the longest token that ends there; of each token the next shorter one."""
+        self.to, ends, depth_first = {}, [-1], [0]
+        for token, symbols in enumerate(spelled):
+            node = 0
+            for x in symbols:
+                at = node * SYMBOLS + x
+                if at not in self.to:
+                    self.to[at] = len(ends)
+                    ends.append(-1)
+                node = self.to[at]
+            ends[node] = token
+        below: list[list[tuple[int, int]]] = [[] for _ in ends]
+        for at, node in self.to.items():
+            below[at // SYMBOLS].append((at % SYMBOLS, node))
+        self.fail, self.longest, self.shorter = [0] * len(ends), ends[:], [-1] * len(spelled)
+        for node in depth_first:  # the list grows: breadth first
+            for x, child in below[node]:
+                depth_first.append(child)
+                if node:
+                    self.fail[child] = self._goto(self.fail[node], x)
+                if ends[child] >= 0:
+                    self.shorter[ends[child]] = self.longest[self.fail[child]] if node else -1
+                else:
+                    self.longest[child] = self.longest[self.fail[child]]
+
+    def _goto(self, node: int, symbol: int) -> int:
+        to = self.to
+        while True:
+            at = node * SYMBOLS + symbol
+            if at in to:
+                return to[at]
+            node = self.fail[node]
+
+    def compatible(self, u: int, t: int) -> bool:
+        """Whether u and t stay apart side by side. The merges that made them are undone, the latest first (of equal ones
+        that of t, as the left of two equal merges comes first); none that came later may be one across the cut."""
+        known = self.pairs.get((u, t))
+        if known is None:
+            if len(self.pairs) > MOST_KEPT:
+                self.pairs.clear()
+            key, limit, known = (u, t), len(self.lengths), None
+            while known is None:
+                if self.merges.get((u, t), limit) < limit:
+                    known = False
+                elif max(u, t) < SYMBOLS:
+                    known = True
+                elif u > t:
+                    limit, u = u, self.parts[u - SYMBOLS][1]
+                else:
+                    limit, t = t + 1, self.parts[t - SYMBOLS][0]
+            self.pairs[key] = known
+        return known
 
     def emitted(self, word: str) -> int:
-        """Tokens of one word: the leftmost pair of lowest rank is merged until no pair has a rank."""
-        parts, none, rank = [self.letters[b] for b in word.encode()], len(self.ranks), self.ranks.get
-        parts[-1] += self.suffix
-        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) < none:
-            i = ranks.index(least)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
-        return len(parts)
+        """Tokens of one word, in time linear in its length."""
+        symbols = word.encode()
+        last, count, node = [-1], [0], 0
+        to, fail, longest, shorter, lengths, end = self.to, self.fail, self.longest, self.shorter, self.lengths, len(symbols)
+        for i, x in enumerate(symbols, 1):
+            if i == end:
+                x += LAST_BYTE
+            at = node * SYMBOLS + x
+            while at not in to:
+                node = fail[node]
+                at = node * SYMBOLS + x
+            node = to[at]
+            t = longest[node]
+            j = i - lengths[t]
+            while j and not self.compatible(last[j], t):
+                t = shorter[t]
+                j = i - lengths[t]
+            last.append(t)
+            count.append(count[j] + 1)
+        return count[-1]
 
     def marks(self, kinds: np.ndarray) -> np.ndarray:
         """Which characters start a word."""
@@ -143,12 +223,12 @@ class TokenTransducer:
     def _block(self, texts: list[str]) -> np.ndarray:
         whole = "\n".join(texts)
         starts, ends = self.words(whole)
-        if len(self.paths) > MOST_PATHS:
-            self.paths.clear()
+        if len(self.words_kept) > MOST_KEPT:
+            self.words_kept.clear()
         words = [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        for w in set(words).difference(self.paths):
-            self.paths[w] = self.emitted(w)
-        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(self.paths.__getitem__, words), np.int64, len(words)))])
+        for w in set(words).difference(self.words_kept):
+            self.words_kept[w] = self.emitted(w)
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(self.words_kept.__getitem__, words), np.int64, len(words)))])
         bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
         return np.diff(upto[np.searchsorted(starts, bounds)])
 

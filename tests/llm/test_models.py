@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -140,6 +141,36 @@ def test_tokens_match_the_library(spark, sf_dir, frame, edge_rows, word_bpe):
     assert tokens.token_counts(frame([]), word_bpe).count() == 0
 
 
+def merged(one, symbols):
+    """The leftmost pair of the earliest merge becomes one, until no pair has a merge."""
+    while True:
+        ranks = [one.merges.get(p, 1 << 30) for p in zip(symbols, symbols[1:])]
+        if not ranks or min(ranks) == 1 << 30:
+            return symbols
+        i = ranks.index(min(ranks))
+        symbols = [*symbols[:i], min(ranks), *symbols[i + 2 :]]
+
+
+def test_word_automaton_emits_what_merging_gives(word_bpe):
+    one, rng = tokens.compiled(word_bpe), random.Random(4)
+    for _ in range(3000):
+        word = "".join(rng.choice("aabtheionsé") for _ in range(rng.randrange(1, 40)))
+        symbols = list(word.encode())
+        symbols[-1] += tokens.LAST_BYTE
+        assert one.emitted(word) == len(merged(one, symbols))
+
+
+def test_one_long_word_takes_linear_time(word_bpe):
+    one, rng = tokens.compiled(word_bpe), random.Random(5)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))
+    began = time.perf_counter()
+    whole = one.count([word])[0]
+    assert time.perf_counter() - began < 30
+    library = Tokenizer.from_file(word_bpe)
+    library.no_truncation()
+    assert one.count([word[:20_000]])[0] == len(library.encode(word[:20_000], add_special_tokens=False).ids) and whole > 100_000
+
+
 def test_chunk_maps_compose(word_bpe):
     one = tokens.compiled(word_bpe)
     kinds = np.random.default_rng(3).choice(5, 3000).astype(np.uint8)
