@@ -50,13 +50,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a materialised table whose dependants are all materialised themselves; nothing for other frames."""
-    spark = df.sparkSession
-    if hasattr(df, "shared_path"):
-        at = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    release(spark)
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables whose dependants are all materialised themselves; nothing for other frames."""
+    for df in tables:
+        if hasattr(df, "shared_path"):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:

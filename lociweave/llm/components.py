@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = None
     while True:  # the number of rounds grows with the logarithm of the longest path
-        now = materialise(_small_star(_large_star(now)), "cc")
+        last, now = now, materialise(_small_star(_large_star(now)), "cc")
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -258,17 +258,44 @@ def test_near_duplicates_in_large_buckets(frame):
     for i in range(60):
         own = [f"d{i}w{rng.randrange(500)}" for _ in range(150)]
         rows += [(2 * i, " ".join(core + own)), (2 * i + 1, " ".join(core + own[:140] + [f"n{i}"] * 5))]
-    keys = [simhash.band_keys(np.unique(simhash.shingle_hashes(t.encode().split(), 5))) for _, t in rows]
+    keys = [simhash.band_keys(simhash.minima(np.unique(simhash.shingle_hashes(t.encode().split(), 5)))) for _, t in rows]
     assert max(Counter(k for ks in keys for k in set(ks.tolist())).values()) > 2 * simhash.SMALL_BUCKET
     got = {r["doc_id"]: r["root"] for r in simhash.near_duplicates(frame(rows)).collect()}
     assert got == {d: d // 2 * 2 for d, _ in rows}
 
 
-def test_bucket_ranks_give_every_pair_once():
-    rows = np.random.default_rng(3).integers(1, 100, (70, 4))
-    rows[:, 0], rows[:, 2], rows[:, 3] = np.arange(70), 100, np.arange(70)
-    found = [tuple(sorted(p)) for first, pivots in ((0, 1), (1, 4), (5, 16), (21, 64)) for p in zip(*(x.tolist() for x in simhash.bucket_links(rows, 0.8, first, pivots)))]
-    assert sorted(found) == [(i, j) for i in range(70) for j in range(i + 1, 70)]
+def test_family_links_connect_all_that_are_alike():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, 200, np.uint64)) for _ in range(4)]
+    rows, marks, sketches = [], [], []
+    for i in range(60):
+        h = sets[i % 4].copy()
+        h[rng.integers(0, 200, 4 + i % 3 * 12)] = rng.integers(0, 1 << 63, 4 + i % 3 * 12, np.uint64)
+        h = np.unique(h)
+        rows.append((i, np.uint64(simhash.fingerprint(h)).astype(np.int64), len(h), i))
+        marks.append((simhash.mix64(simhash.minima(h)) >> np.uint64(56)).astype(np.uint8))
+        sketches.append(simhash.sketch(h))
+    x, y = simhash.family_links(np.array(rows), np.array(marks), sketches, 0, 0.8)
+    alike = {(i, j) for i in range(60) for j in range(i) if simhash.resemblance(sketches[i], sketches[j]) >= 0.8}
+
+    def groups(pairs):
+        root = list(range(60))
+        for _ in range(60):
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    found = list(zip(x.tolist(), y.tolist()))
+    root = groups(found)
+    assert all(root[i] == root[j] for i, j in alike) and len(found) < 120 < len(alike)
+    assert all(simhash.resemblance(sketches[i], sketches[j]) >= 0.79 for i, j in found)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 99)), st.sets(st.integers(0, 99)))
+def test_resemblance_of_short_texts_is_exact(a, b):
+    want = len(a & b) / len(a | b) if a | b else 1.0
+    assert simhash.resemblance(*(np.array(sorted(x), np.uint32) for x in (a, b))) == want
 
 
 def test_long_texts_near_the_threshold_are_judged_by_all_their_shingles(frame):
