@@ -7,14 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 from .similarity import ROWS
 
 #: Dynamic cut, medium sensitivity: how scattered a branch's core may be, and how short its gap, as shares of the usable height.
 MOST_SCATTER, LEAST_GAP = 0.82, 0.135
 
 
-def average_linkage(distance: np.ndarray) -> np.ndarray:
-    """Merges (left, right, height, size) of a dense distance matrix in order of height, by nearest-neighbour chains.
+def average_linkage(distance: np.ndarray, complete: bool = False) -> np.ndarray:
+    """Merges (left, right, height, size) of a dense distance matrix in order of height, by nearest-neighbour chains;
+    of complete linkage where asked.
 
     Leaves are 0 to n - 1, the merge in row m makes node n + m.
     """
@@ -37,7 +39,7 @@ def average_linkage(distance: np.ndarray) -> np.ndarray:
         b, a = chain.pop(), chain.pop()
         a, b = min(a, b), max(a, b)
         found.append((a, b, d[a, b]))
-        merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        merged = np.maximum(d[a], d[b]) if complete else (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
         d[a], d[:, a] = merged, merged
         d[a, a] = np.inf
         size[a] += size[b]
@@ -197,39 +199,71 @@ def modules_of(x: np.ndarray, tom: np.ndarray, least: int = 30, merge: float = 0
     return merge_close(labels, x, merge)
 
 
+def _square(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur in rows (s, t, distance), in order, and their distances as a square matrix."""
+    ids = np.unique(np.concatenate([rows["s"], rows["t"]]))
+    at, to = np.searchsorted(ids, rows["s"]), np.searchsorted(ids, rows["t"])
+    d = np.zeros((len(ids), len(ids)))
+    d[at, to] = d[to, at] = rows["distance"]
+    return ids, d
+
+
+def _with_alone(distances: DataFrame, samples: DataFrame | None) -> DataFrame:
+    """distances, and each of the samples at distance 0 from itself, so that a sample without any other counts."""
+    if samples is None:
+        return distances
+    return distances.select("s", "t", "distance").union(samples.select("sample_ord", "sample_ord", F.lit(0.0)))
+
+
 def sample_tree(distances: DataFrame) -> DataFrame:
-    """(step, left_, right_, height, size) of samples from (s, t, distance); samples are few, so one task builds the tree."""
+    """(step, left_, right_, height, size) of samples from (s, t, distance); samples are few, so one task builds the tree.
+
+    Leaves are numbered from 0 in order of the sample ids that occur.
+    """
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["t"].max()) + 1
-        d = np.zeros((n, n))
-        d[rows["s"], rows["t"]] = d[rows["t"], rows["s"]] = rows["distance"]
-        tree = average_linkage(d)
+        tree = average_linkage(_square(rows)[1])
         return pd.DataFrame({"step": np.arange(len(tree)), "left_": tree[:, 0].astype(int), "right_": tree[:, 1].astype(int), "height": tree[:, 2], "size": tree[:, 3].astype(int)})
 
     return distances.groupBy(F.lit("all").alias("tree")).applyInPandas(build, "step bigint, left_ bigint, right_ bigint, height double, size bigint")
 
 
-def keep_samples(distances: DataFrame, height: float | None = None, least: int = 10) -> DataFrame:
-    """(sample_ord, label, keep): keep the largest branch below the height; everything without a height."""
+def sample_order(distances: DataFrame, traits: DataFrame) -> DataFrame:
+    """(sample_ord, place, trait): the leaves of the samples' tree from left to right, with their trait."""
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, d = _square(rows)
+        return pd.DataFrame({"sample_ord": ids[leaves(average_linkage(d), len(ids))[-1]], "place": np.arange(len(ids))})
+
+    return distances.groupBy(F.lit("all").alias("tree")).applyInPandas(order, "sample_ord bigint, place bigint").join(traits, "sample_ord", "left")
+
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["t"].max()) + 1
-        d = np.zeros((n, n))
-        d[rows["s"], rows["t"]] = d[rows["t"], rows["s"]] = rows["distance"]
-        labels = np.ones(n, int) if height is None else static_cut(average_linkage(d), n, height, least)
-        return pd.DataFrame({"sample_ord": np.arange(n), "label": labels, "keep": labels == 1})
+def keep_samples(distances: DataFrame, height: float | None = None, least: int = 10, samples: DataFrame | None = None) -> DataFrame:
+    """(sample_ord, label, keep): keep the largest branch below the height; everything without a height.
 
-    return distances.groupBy(F.lit("all").alias("tree")).applyInPandas(cut, "sample_ord bigint, label bigint, keep boolean")
+    samples (sample_ord): all samples, so that one that has no distance to another is in the result.
+    """
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, d = _square(rows)
+        labels = np.ones(len(ids), int) if height is None else static_cut(average_linkage(d), len(ids), height, least)
+        return pd.DataFrame({"sample_ord": ids, "label": labels, "keep": labels == 1})
+
+    return _with_alone(distances, samples).groupBy(F.lit("all").alias("tree")).applyInPandas(split, "sample_ord bigint, label bigint, keep boolean")
+
+
+def label_sizes(labelled: DataFrame, label: str = "label") -> DataFrame:
+    """(label, n): the size of each group, the ungrouped (0) too."""
+    return labelled.groupBy(label).agg(F.count("*").alias("n"))
 
 
 def detect_modules(expr: DataFrame, power: float, kind: str = "bicor", least: int = 30, merge: float = 0.3, block: int = 20_000, held_out: DataFrame | None = None, iterations: int = 0) -> DataFrame:
     """(iter, gene_id, module) of (gene_id, v): labels by falling size, 0 for none; iter 0 is the full network.
 
-    Blocks of at most `block` genes are clustered apart. With held_out (gene_id, iter) and iterations,
-    each iteration is one task more, in which the genes held out have module null. All iterations of
-    a block use one similarity: without held-out genes O, shared neighbours are those of the full
-    network less A[K,O] A[O,K].
+    Blocks of about `block` genes, dealt by a hash, are clustered apart; modules of different blocks whose
+    eigengenes are closer than `merge` become one. A block is dense in one task: five matrices of block
+    squared numbers. With held_out (gene_id, iter) and iterations, each iteration is one task more, in
+    which the genes held out have module null.
     """
     unit = ROWS[kind]
     n = max(1, -(-expr.count() // block))
@@ -249,11 +283,32 @@ def detect_modules(expr: DataFrame, power: float, kind: str = "bicor", least: in
         labels[keep] = modules_of(raw[keep], overlap(a[np.ix_(keep, keep)]), least, merge)
         return pd.DataFrame({"iter": it, "gene_id": rows["gene_id"], "b": rows["b"], "module": pd.array(np.where(keep, labels, -1), "Int64").astype("Int64")}).assign(module=lambda f: f["module"].where(f["module"] >= 0))
 
-    found = x.groupBy("b", "iter").applyInPandas(run, "iter int, gene_id bigint, b int, module int")
+    found = x.groupBy("b", "iter").applyInPandas(run, "iter int, gene_id bigint, b int, module bigint")
     if n == 1:
-        return found.select("iter", "gene_id", "module")
-    most = int(expr.count())  # labels of different blocks are made distinct
-    return found.select("iter", "gene_id", F.when(F.col("module") > 0, F.col("module") + F.col("b") * most).otherwise(F.col("module")).cast("int").alias("module"))
+        return found.select("iter", "gene_id", F.col("module").cast("int").alias("module"))
+    wide = F.when(F.col("module") > 0, F.col("module") * n + F.col("b")).otherwise(F.col("module"))
+    return merge_blocks(expr, materialise(found.select("iter", "gene_id", wide.alias("module")), "block-modules"), merge)
+
+
+def merge_blocks(expr: DataFrame, labels: DataFrame, height: float) -> DataFrame:
+    """(iter, gene_id, module) of labels, with modules of an iteration joined whose eigengenes' tree joins them below `height`; by falling size."""
+    me = eigengenes(expr, labels.where("module > 0").select("gene_id", F.struct("iter", "module").alias("module")))
+    sizes = labels.where("module > 0").groupBy("iter", "module").agg(F.count("*").alias("n"), F.min("gene_id").alias("first"))
+    values = me.groupBy(F.col("module.iter").alias("iter"), F.col("module.module").alias("module")).agg(F.array_sort(F.collect_list(F.struct("sample_ord", "me"))).alias("x"))
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:  # a row for each module of an iteration
+        rows = rows.sort_values("module").reset_index(drop=True)
+        group = np.arange(1, len(rows) + 1)
+        if len(rows) > 1:
+            with np.errstate(invalid="ignore"):
+                d = np.nan_to_num(1 - np.corrcoef(np.stack(rows["x"].to_numpy()).astype(float)), nan=1.0)
+            group = static_cut(average_linkage(d), len(rows), height, 1)
+        whole = rows.assign(group=group).groupby("group").agg(n=("n", "sum"), first=("first", "min")).sort_values(["n", "first"], ascending=[False, True])
+        final = {g: i for i, g in enumerate(whole.index, 1)}
+        return pd.DataFrame({"iter": rows["iter"], "module": rows["module"], "final": [final[g] for g in group]})
+
+    final = values.select("iter", "module", F.col("x.me").alias("x")).join(sizes, ["iter", "module"]).groupBy("iter").applyInPandas(join, "iter int, module bigint, final int")
+    return labels.join(final, ["iter", "module"], "left").select("iter", "gene_id", F.when(F.col("module") > 0, F.col("final")).otherwise(F.col("module")).cast("int").alias("module"))
 
 
 def eigengenes(expr: DataFrame, modules: DataFrame) -> DataFrame:
@@ -261,23 +316,26 @@ def eigengenes(expr: DataFrame, modules: DataFrame) -> DataFrame:
 
     A module's samples by samples product is summed over partial blocks, so no task holds a module.
     """
-    x = expr.select("gene_id", "v").join(modules.where("module <> 0"), "gene_id").withColumn("part", F.pmod(F.xxhash64("gene_id"), F.lit(64)))
+    labelled = modules.where("module <> 0") if "struct" not in dict(modules.dtypes)["module"] else modules
+    x = expr.select("gene_id", "v").join(labelled, "gene_id").withColumn("part", F.pmod(F.xxhash64("gene_id"), F.lit(64)))
 
     def gram(rows: pd.DataFrame) -> pd.DataFrame:
         m = np.stack(rows["v"].to_numpy()).astype(float)
         sd = m.std(1, ddof=1, keepdims=True)
         z = np.divide(m - m.mean(1, keepdims=True), sd, out=np.zeros_like(m), where=sd > 0)
-        return pd.DataFrame({"module": rows["module"].iloc[:1], "g": [(z.T @ z).tobytes()], "m": [z.sum(0).tobytes()]})
+        return pd.DataFrame({"g": [(z.T @ z).tobytes()], "m": [z.sum(0).tobytes()]})
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         mean = sum(np.frombuffer(v) for v in rows["m"])
         g = sum(np.frombuffer(v) for v in rows["g"]).reshape(len(mean), -1)
         w, v = np.linalg.eigh(g)
         e = v[:, -1] if float(v[:, -1] @ mean) >= 0 else -v[:, -1]
-        return pd.DataFrame({"module": int(rows["module"].iloc[0]), "sample_ord": np.arange(len(e)), "me": e, "explained": float(w[-1] / max(w.sum(), 1e-300))})
+        return pd.DataFrame({"sample_ord": np.arange(len(e)), "me": e, "explained": float(w[-1] / max(w.sum(), 1e-300))})
 
-    parts = x.groupBy("module", "part").applyInPandas(gram, "module int, g binary, m binary")
-    return parts.groupBy("module").applyInPandas(solve, "module int, sample_ord bigint, me double, explained double")
+    names = x.select("module").distinct().select(F.xxhash64("module").alias("name"), "module")
+    parts = x.withColumn("name", F.xxhash64("module")).groupBy("name", "part").applyInPandas(lambda key, rows: gram(rows).assign(name=key[0]), "g binary, m binary, name bigint")
+    solved = parts.groupBy("name").applyInPandas(lambda key, rows: solve(rows).assign(name=key[0]), "sample_ord bigint, me double, explained double, name bigint")
+    return solved.join(names, "name").select("module", "sample_ord", "me", "explained")
 
 
 def trait_correlation(me: DataFrame, traits: DataFrame) -> DataFrame:

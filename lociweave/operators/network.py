@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
-from .similarity import BLOCK, block_pairs, blocks, matrix
+from .similarity import BLOCK, block_pairs, blocks, matrix, upper
 
 BINS = 10
 
@@ -66,55 +65,57 @@ def suggest_power(scan: DataFrame, least: float = 0.9) -> DataFrame:
 def topological_overlap(expr: DataFrame, power: float, kind: str = "pearson", size: int = BLOCK) -> DataFrame:
     """(i, j, tom) for i < j: (shared neighbours + a) / (min(k_i, k_j) + 1 - a), unsigned.
 
-    Adjacency blocks meet along the middle index, one product a task, and products are summed by
-    block pair; k comes from the same blocks, so no edge list is ever joined with itself.
+    What travels are unit vectors, genes times samples numbers, to each pair of blocks: its task builds
+    the adjacencies of its rows to every block anew and sums their products, so neither an adjacency
+    nor a product is shuffled, and a task holds one block of each at a time.
     """
     packed, n = blocks(expr, kind, size)
+    pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.transform(F.sequence(i, F.lit(n - 1)), lambda j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))))))
+    every = packed.select("b", "ids", "z", "s", pairs.alias("p")).select("p.i", "p.j", "b", "ids", "z", "s")
 
-    def adjacent(i, j, a, b):
-        w = np.abs(np.clip(matrix(a) @ matrix(b).T, -1, 1)) ** power
-        if i == j:
+    def adjacent(a: np.ndarray, b: np.ndarray, same: bool) -> np.ndarray:
+        w = np.abs(np.clip(a @ b.T, -1, 1)) ** power
+        if same:
             np.fill_diagonal(w, 0)
-        return pd.DataFrame({"i": [i], "j": [j], "ids": [list(a["ids"])], "a": [w.tobytes()], "k": [w.sum(1).tobytes()]})
+        return w
+
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        have = {int(r["b"]): r for r in rows.to_dict("records")}
+        i, j = key
+        if i not in have or j not in have:
+            return pd.DataFrame(columns=["i", "j", "tom"])
+        x, y = matrix(have[i]), matrix(have[j])
+        shared, k_i, k_j = np.zeros((len(x), len(y))), np.zeros(len(x)), np.zeros(len(y))
+        for u, r in sorted(have.items()):
+            z = matrix(r)
+            a, b = adjacent(x, z, u == i), adjacent(y, z, u == j)
+            shared += a @ b.T
+            k_i += a.sum(1)
+            k_j += b.sum(1)
+        a = adjacent(x, y, i == j)
+        return upper(i, j, have[i], have[j], (shared + a) / (np.minimum(k_i[:, None], k_j[None, :]) + 1 - a), "tom")
 
-    adj = materialise(block_pairs(packed, n, adjacent, "i int, j int, ids array<bigint>, a binary, k binary", ordered=True), "adjacency")
-    left = adj.select("i", F.col("j").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"), "a").where("i <= j")
-    right = adj.select(F.col("i").alias("j"), F.col("j").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), F.col("a").alias("a_j")).where("i <= j")
+    return every.groupBy("i", "j").applyInPandas(work, "i bigint, j bigint, tom double")
 
-    def product(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame(columns=["i", "j", "p"])
-        x, y = np.frombuffer(x["a"].iloc[0]), np.frombuffer(y["a_j"].iloc[0])
-        rows, cols = key[3], key[4]
-        return pd.DataFrame({"i": [key[0]], "j": [key[1]], "p": [(x.reshape(rows, -1) @ y.reshape(cols, -1).T).tobytes()]})
 
-    sizes = adj.where("i = j").select("i", F.size("ids").alias("n"))
-    dims = lambda df: df.join(sizes.withColumnsRenamed({"n": "ni"}), "i").join(sizes.select(F.col("i").alias("j"), F.col("n").alias("nj")), "j")
-    keys = ["i", "j", "u", "ni", "nj"]
-    parts = dims(left).groupBy(*keys).cogroup(dims(right).groupBy(*keys)).applyInPandas(product, "i int, j int, p binary")
+def intramodular(expr: DataFrame, modules: DataFrame, power: float, kind: str = "pearson", size: int = BLOCK) -> DataFrame:
+    """(gene_id, kTotal, kWithin, kOut, kDiff) of (gene_id, v); kWithin is null for module 0 and what follows from it.
 
-    k = adj.groupBy("i").applyInPandas(lambda x: pd.DataFrame({"i": x["i"].iloc[:1], "ids": [list(x["ids"].iloc[0])], "k": [sum(np.frombuffer(v) for v in x["k"]).tobytes()]}), "i int, ids array<bigint>, k binary")
-    own = adj.select("i", "j", "a").where("i <= j").join(k, "i").join(k.select(F.col("i").alias("j"), F.col("ids").alias("ids_j"), F.col("k").alias("k_j")), "j")
+    Sums leave a task by gene; no row is made for any pair. Genes without a module count in kTotal alone.
+    """
+    packed, n = blocks(expr.select("gene_id", "v").join(modules.select("gene_id", "module"), "gene_id", "left"), kind, size, label="module")
 
-    def finish(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty:
-            return pd.DataFrame(columns=["i", "j", "tom"])
-        x = x.iloc[0]
-        ids, ids_j, k_i, k_j = np.asarray(x["ids"], np.int64), np.asarray(x["ids_j"], np.int64), np.frombuffer(x["k"]), np.frombuffer(x["k_j"])
-        a = np.frombuffer(x["a"]).reshape(len(ids), -1)
-        tom = (sum(np.frombuffer(p) for p in y["p"]).reshape(a.shape) + a) / (np.minimum(k_i[:, None], k_j[None, :]) + 1 - a)
-        r, c = np.triu_indices(len(ids), 1) if key[0] == key[1] else np.indices(a.shape).reshape(2, -1)
-        return pd.DataFrame({"i": np.minimum(ids[r], ids_j[c]), "j": np.maximum(ids[r], ids_j[c]), "tom": tom[r, c]})
-
-    return own.groupBy("i", "j").cogroup(parts.groupBy("i", "j")).applyInPandas(finish, "i bigint, j bigint, tom double")
-
-
-def intramodular(pairs: DataFrame, modules: DataFrame) -> DataFrame:
-    """(gene_id, kTotal, kWithin, kOut, kDiff) of adjacency pairs (i, j, a); kWithin is null for module 0 and what follows from it."""
-    mine, theirs = (modules.select(F.col("gene_id").alias(k), F.col("module").alias(m)) for k, m in (("i", "mi"), ("j", "mj")))
-    e = pairs.join(mine, "i", "left").join(theirs, "j", "left")
-    same = F.when(F.col("mi") == F.col("mj"), F.col("a")).otherwise(0.0)
-    ends = F.array(F.struct(F.col("i").alias("gene_id"), F.col("mi").alias("m")), F.struct(F.col("j").alias("gene_id"), F.col("mj").alias("m")))
-    rows = e.select(F.explode(ends).alias("e"), "a", same.alias("w"))
-    sums = rows.groupBy("e.gene_id").agg(F.sum("a").alias("kTotal"), F.when(F.max("e.m") != 0, F.sum("w")).alias("kWithin"))
+    def work(i, j, a, b):
+        w = np.abs(np.clip(matrix(a) @ matrix(b).T, -1, 1)) ** power
+        if i == j:
+            np.fill_diagonal(w, 0)
+        m, o = np.asarray(a["labels"], np.int64), np.asarray(b["labels"], np.int64)
+        own = np.where(m[:, None] == o[None, :], w, 0)
+        parts = [pd.DataFrame({"gene_id": np.asarray(a["ids"], np.int64), "m": m, "k": w.sum(1), "w": own.sum(1)})]
+        if i != j:
+            parts.append(pd.DataFrame({"gene_id": np.asarray(b["ids"], np.int64), "m": o, "k": w.sum(0), "w": own.sum(0)}))
+        return pd.concat(parts)
+
+    parts = block_pairs(packed, n, work, "gene_id bigint, m bigint, k double, w double")
+    sums = parts.groupBy("gene_id").agg(F.sum("k").alias("kTotal"), F.when(F.max("m") > 0, F.sum("w")).alias("kWithin"))
     return sums.withColumn("kOut", F.col("kTotal") - F.col("kWithin")).withColumn("kDiff", F.col("kWithin") - F.col("kOut"))

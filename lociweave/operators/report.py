@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,13 @@ from ..functions.expressions import bucket, circle, de_class, de_inclusive
 
 
 def resolve_name(summary: DataFrame, name: str) -> int | str:
-    """The id of the first non-coding gene of that name."""
-    row = summary.where((F.col("gene_name") == name) & F.col("is_nc")).orderBy("gene_id").select("gene_id").first()
-    if row is None:
+    """The id of the first non-coding gene of that name; a warning where there are several."""
+    rows = summary.where((F.col("gene_name") == name) & F.col("is_nc")).orderBy("gene_id").select("gene_id").limit(2).collect()
+    if not rows:
         raise ValueError(f"{name!r} is not a non-coding gene of the summary")
-    return row[0]
+    if len(rows) > 1:
+        warnings.warn(f"{name!r} names several non-coding genes; taking {rows[0][0]!r}", stacklevel=2)
+    return rows[0][0]
 
 
 def neighbourhood(tom: DataFrame, modules: DataFrame, gene: int, n: int | None = 100, include_self: bool = True) -> DataFrame:
@@ -36,14 +40,44 @@ def neighbourhood_table(near: DataFrame, summary: DataFrame) -> DataFrame:
     return near.join(summary, "gene_id", "left").withColumn("is_deg", de_inclusive()).orderBy(F.desc("connectivity"), "gene_id")
 
 
-def subnetwork(tom: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(i, j, weight, visible) among the given nodes: weights at or above the median of the square matrix, else 0; visible from the
-    0.9 quantile of positive weights on, or if the edge meets the first node. nodes: (gene_id, rank), rank 0 the query."""
-    a, b = (nodes.select(F.col("gene_id").alias(k), F.col("rank").alias(r)) for k, r in (("i", "ri"), ("j", "rj")))
-    e = tom.join(F.broadcast(a), "i").join(F.broadcast(b), "j")  # the nodes of one plot
-    cells = e.select(F.explode(F.array("tom", "tom")).alias("t")).union(nodes.select(F.lit(1.0)))
-    median = cells.agg(F.median("t").alias("median"))
-    w = e.join(F.broadcast(median)).withColumn("weight", F.when(F.col("tom") < F.col("median"), 0.0).otherwise(F.col("tom")))  # one row
+def overlap_median(tom: DataFrame, genes: int, bins: int = 4096) -> float:
+    """The median of the whole symmetric matrix of overlaps, its diagonal of ones included, from pairs (i, j, tom).
+
+    Each round counts the values of an interval in equal bins and goes on in that of the wanted rank,
+    until it holds one value; never more than `bins` rows reach the driver.
+    """
+    pairs = tom.count()
+
+    def ranked(rank: int) -> float:
+        if rank >= 2 * pairs:
+            return 1.0
+        rank, lo, hi = rank // 2, 0.0, 1.0
+        inside = tom.select("tom")
+        while True:
+            at = F.least(F.floor((F.col("tom") - lo) / (hi - lo) * bins), F.lit(bins - 1)).alias("bin")
+            rows = sorted(inside.groupBy(at).agg(F.count("*").alias("n"), F.min("tom").alias("lo"), F.max("tom").alias("hi")).collect())
+            for _, n, lo, hi in rows:
+                if rank < n:
+                    break
+                rank -= n
+            if lo == hi:
+                return lo
+            if n <= bins:
+                return sorted(r[0] for r in inside.where(F.col("tom").between(lo, hi)).collect())[rank]
+            inside = tom.select("tom").where(F.col("tom").between(lo, hi))
+
+    total = 2 * pairs + genes
+    return (ranked((total - 1) // 2) + ranked(total // 2)) / 2
+
+
+def subnetwork(tom: DataFrame, nodes: DataFrame, genes: int, most_nodes: int = 10_000) -> DataFrame:
+    """(i, j, weight, visible) among the given nodes: weights at or above the median of the whole matrix over `genes` genes, else 0; visible
+    from the 0.9 quantile of positive weights on, or if the edge meets the first node. nodes: (gene_id, rank), rank 0 the query."""
+    few = nodes.limit(most_nodes + 1).count() <= most_nodes
+    small = F.broadcast if few else (lambda x: x)  # the nodes of one plot, by their count
+    a, b = (small(nodes.select(F.col("gene_id").alias(k), F.col("rank").alias(r))) for k, r in (("i", "ri"), ("j", "rj")))
+    median = F.lit(overlap_median(tom, genes))
+    w = tom.join(a, "i").join(b, "j").withColumn("weight", F.when(F.col("tom") < median, 0.0).otherwise(F.col("tom")))
     q = w.where("weight > 0").agg(F.percentile("weight", F.lit(0.9)).alias("q"))
     return w.join(F.broadcast(q)).select("i", "j", "weight", ((F.col("ri") == 0) | (F.col("rj") == 0) | (F.col("weight") >= F.col("q"))).alias("visible"))  # one row
 
@@ -68,39 +102,87 @@ def connectivity_buckets(within: DataFrame) -> DataFrame:
     return within.join(q, "module").select("gene_id", "module", F.least(F.greatest("k", lo), hi).alias("k_clipped"), bucket(F.col("k"), lo, hi).alias("bucket"))
 
 
-def heatmap(tom: DataFrame, genes: DataFrame, module: int, top: int, remove_non_deg: bool = False) -> DataFrame:
-    """(nc_gene, coding_gene, nc_rank, coding_rank, tom, nc_class, coding_class): non-coding genes above the module's median
-    connectivity against coding genes, each axis cut at `top` by connectivity. genes: gene_id, module, is_nc, k, log2fc, pval."""
-    if top <= 0:
-        raise ValueError("top must be positive")
+def _heatmap_axes(genes: DataFrame, module: int, submodule: int | None) -> tuple[DataFrame, DataFrame]:
+    """Non-coding genes above the median connectivity of all genes of the module, and coding genes of it or of a submodule; ranked by connectivity."""
     own = genes.where(F.col("module") == module).withColumn("class", de_class())
+    median = own.agg(F.median("k").alias("median"))
+    order = Window.orderBy(F.desc_nulls_last("k"), "gene_id")  # the genes of one module
+    coding = own.where("not is_nc") if submodule is None else own.where(~F.col("is_nc") & F.array_contains("submodules", submodule))
+    nc = own.where("is_nc").join(F.broadcast(median), F.col("k") > F.col("median")).drop("median")  # one row
+    return nc.withColumn("rank", F.row_number().over(order)), coding.withColumn("rank", F.row_number().over(order))
+
+
+def heatmap(tom: DataFrame, genes: DataFrame, module: int, top: int, remove_non_deg: bool = False, submodule: int | None = None) -> DataFrame:
+    """(nc_gene, coding_gene, nc_name, coding_name, nc_rank, coding_rank, tom, nc_class, coding_class): non-coding genes above the module's median
+    connectivity against its coding genes, each axis cut at `top` by connectivity; then genes of class none go where asked.
+    genes: gene_id, module, is_nc, k, log2fc, pval, perhaps gene_name, and submodules (array) for a submodule. Names fall back to ids."""
+    if isinstance(top, bool) or not isinstance(top, int) or top <= 0:
+        raise ValueError("top must be a positive integer")
+    nc, coding = (x.where(F.col("rank") <= top) for x in _heatmap_axes(genes, module, submodule))
     if remove_non_deg:
-        own = own.where("class <> 'none'")
-    nc = own.where("is_nc")
-    median = nc.agg(F.median("k").alias("median"))
-    order = Window.orderBy(F.desc_nulls_last("k"), "gene_id")
-    rows = nc.join(F.broadcast(median), F.col("k") > F.col("median")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # one row
-    cols = own.where("not is_nc").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        nc, coding = nc.where("class <> 'none'"), coding.where("class <> 'none'")
     both = tom.select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e"), "tom").select("e.i", "e.j", "tom")
-    a = rows.select(F.col("gene_id").alias("i"), F.col("rank").alias("nc_rank"), F.col("class").alias("nc_class"))
-    b = cols.select(F.col("gene_id").alias("j"), F.col("rank").alias("coding_rank"), F.col("class").alias("coding_class"))
-    out = both.join(F.broadcast(a), "i").join(F.broadcast(b), "j")  # at most `top` rows each
-    return out.select(F.col("i").alias("nc_gene"), F.col("j").alias("coding_gene"), "nc_rank", "coding_rank", "tom", "nc_class", "coding_class")
+    text = F.col("gene_id").cast("string")
+    name = F.coalesce("gene_name", text) if "gene_name" in genes.columns else text
+    a = nc.select(F.col("gene_id").alias("i"), name.alias("nc_name"), F.col("rank").alias("nc_rank"), F.col("class").alias("nc_class"))
+    b = coding.select(F.col("gene_id").alias("j"), name.alias("coding_name"), F.col("rank").alias("coding_rank"), F.col("class").alias("coding_class"))
+    out = both.join(a, "i").join(b, "j")
+    return out.select(F.col("i").alias("nc_gene"), F.col("j").alias("coding_gene"), "nc_name", "coding_name", "nc_rank", "coding_rank", "tom", "nc_class", "coding_class")
+
+
+def sole_partners(tom: DataFrame, genes: DataFrame, module: int, n: int = 10, submodule: int | None = None) -> DataFrame:
+    """(nc_gene, coding_gene, tom): the n best coding partners where one non-coding gene alone is above the module's median; else no row."""
+    nc, coding = _heatmap_axes(genes, module, submodule)
+    alone = nc.withColumn("n", F.count("*").over(Window.partitionBy())).where("n = 1").select(F.col("gene_id").alias("nc_gene"))
+    both = tom.select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e"), "tom")
+    x = both.join(alone, F.col("e.i") == F.col("nc_gene")).join(coding.select(F.col("gene_id").alias("coding_gene")), F.col("e.j") == F.col("coding_gene"))
+    return x.select("nc_gene", "coding_gene", "tom").orderBy(F.desc("tom"), "coding_gene").limit(n)
+
+
+def heatmap_table(genes: DataFrame, shown: DataFrame, remove_without_test: bool = False, terms: DataFrame | None = None) -> DataFrame:
+    """The rows of genes on a heatmap (nc_gene, coding_gene), with their place: non-coding first, then by falling connectivity.
+
+    terms (gene_id, term_id): adds terms, those of each gene as one text; without, that column is missing.
+    """
+    ids = shown.select(F.explode(F.array("nc_gene", "coding_gene")).alias("gene_id")).distinct()
+    x = genes.join(ids, "gene_id", "left_semi")
+    if remove_without_test:
+        x = x.where("pval is not null")
+    if terms is not None:
+        held = terms.groupBy("gene_id").agg(F.array_join(F.array_sort(F.collect_set("term_id")), ", ").alias("terms"))
+        x = x.join(held, "gene_id", "left").withColumn("terms", F.coalesce("terms", F.lit("")))
+    return x.withColumn("place", F.row_number().over(Window.orderBy(F.desc("is_nc"), F.desc_nulls_last("k"), "gene_id"))).orderBy("place")  # the genes of one plot
+
+
+def term_totals(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term_id, n): how many nodes each chosen term holds; term_id is null for nodes that none holds."""
+    return nodes.join(terms.select("gene_id", "term_id").distinct(), "gene_id", "left").groupBy("term_id").agg(F.count("*").alias("n"))
+
+
+def modules_of(genes: DataFrame) -> DataFrame:
+    """(module): the modules but 0, in order."""
+    return genes.where("module <> 0").select("module").distinct().orderBy("module")
 
 
 def composition(genes: DataFrame) -> DataFrame:
-    """(module, n_nc, n_coding, stable_nc): sizes of modules but 0; genes without annotation count as non-coding."""
+    """(module, n_nc, n_coding): sizes of modules but 0; genes without annotation count as non-coding."""
     nc = F.coalesce("is_nc", F.lit(True))
     return genes.where("module <> 0").groupBy("module").agg(F.count_if(nc).alias("n_nc"), F.count_if(~nc).alias("n_coding"))
 
 
 def module_bars(genes: DataFrame, trait_corr: DataFrame, most_p: float = 0.05) -> DataFrame:
-    """(module, kind, n, corr, sort_key): bar heights by kind, and the trait correlation, 0 where not significant; modules by correlation."""
+    """(module, kind, n, corr, corr_pos, corr_neg, sort_key): bar heights by kind, and the trait correlation, 0 where not significant; modules by correlation.
+
+    corr_pos and corr_neg are the heights of its dot on the bars' axis: the size of the correlation times the
+    highest bar, in the column of its sign, the other null.
+    """
     corr = trait_corr.select("module", F.when(F.col("p") > most_p, 0.0).otherwise(F.col("corr")).alias("corr"))
     wide = composition(genes).join(corr, "module", "left")
-    long = wide.select("module", "corr", F.explode(F.array(F.struct(F.lit("nc").alias("kind"), F.col("n_nc").alias("n")), F.struct(F.lit("coding").alias("kind"), F.col("n_coding").alias("n")))).alias("b"))
-    key = wide.select("module", F.row_number().over(Window.orderBy(F.asc_nulls_last("corr"), "module")).alias("sort_key"))
-    return long.join(key, "module").select("module", "b.kind", "b.n", "corr", "sort_key")
+    top = F.max(F.greatest("n_nc", "n_coding")).over(Window.partitionBy())  # a row a module
+    wide = wide.withColumn("top", top).withColumn("sort_key", F.row_number().over(Window.orderBy(F.asc_nulls_last("corr"), "module")))
+    bars = F.explode(F.array(F.struct(F.lit("nc").alias("kind"), F.col("n_nc").alias("n")), F.struct(F.lit("coding").alias("kind"), F.col("n_coding").alias("n"))))
+    dot = F.abs("corr") * F.col("top")
+    return wide.select("module", bars.alias("b"), "corr", F.when(F.col("corr") > 0, dot).alias("corr_pos"), F.when(F.col("corr") < 0, dot).alias("corr_neg"), "sort_key").select("module", "b.*", "corr", "corr_pos", "corr_neg", "sort_key")
 
 
 def stability_box(ratios: DataFrame) -> DataFrame:

@@ -31,10 +31,11 @@ def bicor_rows(x: np.ndarray) -> np.ndarray:
 ROWS = {"pearson": pearson_rows, "bicor": bicor_rows}
 
 
-def blocks(expr: DataFrame, kind: str = "pearson", size: int = BLOCK) -> tuple[DataFrame, int]:
+def blocks(expr: DataFrame, kind: str = "pearson", size: int = BLOCK, label: str | None = None) -> tuple[DataFrame, int]:
     """(b, ids, z, s) and the number of blocks: unit vectors of about `size` genes of (gene_id, v), s samples each.
 
-    Genes are dealt to blocks by a hash of their id, so no order over all genes is needed.
+    Genes are dealt to blocks by a hash of their id, so no order over all genes is needed. With a label
+    column, labels holds the genes' values of it, -1 for none.
     """
     n = max(1, -(-expr.count() // size))
     unit = ROWS[kind]
@@ -42,10 +43,11 @@ def blocks(expr: DataFrame, kind: str = "pearson", size: int = BLOCK) -> tuple[D
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("gene_id")
         z = unit(np.stack(rows["v"].to_numpy()).astype(float))
-        return pd.DataFrame({"b": rows["b"].iloc[:1].to_numpy(), "ids": [rows["gene_id"].tolist()], "z": [z.tobytes()], "s": [z.shape[1]]})
+        return pd.DataFrame({"b": rows["b"].iloc[:1].to_numpy(), "ids": [rows["gene_id"].tolist()], "z": [z.tobytes()], "s": [z.shape[1]], "labels": [rows["label"].tolist()]})
 
-    dealt = expr.where("v is not null").select("gene_id", "v", F.pmod(F.xxhash64("gene_id"), F.lit(n)).cast("int").alias("b"))
-    return dealt.groupBy("b").applyInPandas(pack, "b int, ids array<bigint>, z binary, s int"), n
+    own = F.lit(-1) if label is None else F.coalesce(F.col(label), F.lit(-1))
+    dealt = expr.where("v is not null").select("gene_id", "v", own.cast("bigint").alias("label"), F.pmod(F.xxhash64("gene_id"), F.lit(n)).cast("int").alias("b"))
+    return dealt.groupBy("b").applyInPandas(pack, "b int, ids array<bigint>, z binary, s int, labels array<bigint>"), n
 
 
 def matrix(row) -> np.ndarray:
@@ -60,9 +62,9 @@ def block_pairs(packed: DataFrame, n: int, work, schema: str, ordered: bool = Fa
     other = F.sequence(F.lit(0), F.lit(n - 1))
     mine = packed.withColumn("o", F.explode(other))
     if ordered:
-        sides = mine.select(F.col("b").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), "ids", "z", "s").unionByName(mine.select(F.col("o").alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "ids", "z", "s"))
+        sides = mine.select(F.col("b").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), "ids", "z", "s", "labels").unionByName(mine.select(F.col("o").alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), "ids", "z", "s", "labels"))
     else:
-        sides = mine.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "ids", "z", "s")
+        sides = mine.select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"), "ids", "z", "s", "labels")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.to_dict("records")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import de_class, student_p
 from ..operators import annotate, cluster, enrich, network, prep, report, resample, similarity
-from ..sources import gtf
+from ..sources import gtf, sinks
 from ..sources import projections as P
-from .storage import materialise
+from .storage import materialise, shared_path
 
 POWER = 6.0
 LEAST_COUNT = 40.0
@@ -167,7 +167,7 @@ def tom_pairs(spark, d):
 
 def _within(spark, d) -> DataFrame:
     e = P.vectors(spark, d)
-    return network.intramodular(similarity.adjacency(similarity.correlations(e), POWER), e.select("gene_id", "module"))
+    return network.intramodular(e, e.select("gene_id", "module"), POWER)
 
 
 def intramodular_connectivity(spark, d):
@@ -197,10 +197,63 @@ def _module_k(spark, d) -> DataFrame:
     return _within(spark, d).join(e.select("gene_id", "module"), "gene_id").select("gene_id", "module", F.col("kWithin").alias("k"))
 
 
+def _heatmap_genes(spark, d) -> DataFrame:
+    name = F.when(F.col("gene_id") % 3 != 0, F.concat(F.lit("g"), F.col("gene_id").cast("string")))
+    return P.vector_genes(P.vectors(spark, d)).join(_module_k(spark, d), "gene_id").withColumn("gene_name", name).withColumn("submodules", F.array((F.col("gene_id") % 3 + 1).cast("int")))
+
+
 def heatmap_topk(spark, d):
-    e = P.vectors(spark, d)
-    genes = P.vector_genes(e).join(_module_k(spark, d), "gene_id")
-    return _rounded(report.heatmap(network.topological_overlap(e, POWER), genes, 1, 5), tom=8)
+    return _rounded(report.heatmap(network.topological_overlap(P.vectors(spark, d), POWER), _heatmap_genes(spark, d), 1, 5), tom=8)
+
+
+def heatmap_deg_only(spark, d):
+    return _rounded(report.heatmap(network.topological_overlap(P.vectors(spark, d), POWER), _heatmap_genes(spark, d), 1, 8, remove_non_deg=True), tom=8)
+
+
+def heatmap_submodule(spark, d):
+    return _rounded(report.heatmap(network.topological_overlap(P.vectors(spark, d), POWER), _heatmap_genes(spark, d), 1, 5, submodule=2), tom=8)
+
+
+def heatmap_gene_table(spark, d):
+    genes = _heatmap_genes(spark, d)
+    shown = report.heatmap(network.topological_overlap(P.vectors(spark, d), POWER), genes, 1, 5).select("nc_gene", "coding_gene")
+    terms = genes.select("gene_id", F.concat(F.lit("T"), (F.col("gene_id") % 4).cast("string")).alias("term_id")).where("gene_id % 7 <> 0")
+    return _rounded(report.heatmap_table(genes, shown, True, terms).select("gene_id", "is_nc", "k", "terms", "place"), k=8)
+
+
+def sole_nc_partners(spark, d):
+    genes = _heatmap_genes(spark, d)
+    best = F.row_number().over(report.Window.partitionBy("module").orderBy(F.desc("k"), "gene_id")) == 1
+    return _rounded(report.sole_partners(network.topological_overlap(P.vectors(spark, d), POWER), genes.withColumn("is_nc", best), 1), tom=8)
+
+
+def overlap_cells(spark, d):
+    tom = _rounded(network.topological_overlap(P.vectors(spark, d), POWER), tom=8)
+    return report.cell_colours(tom.where("i % 4 = 0"), 16)
+
+
+def module_bars(spark, d):
+    e, m = P.vectors(spark, d), _mean_profile(spark, d)
+    corr = _rounded(cluster.trait_correlation(m, _vector_trait(m)), corr=8).withColumn("p", F.col("module") * 0.012)
+    out = report.module_bars(P.vector_genes(e).join(e.select("gene_id", "module"), "gene_id"), corr)
+    return _rounded(out, corr=6, corr_pos=6, corr_neg=6)
+
+
+def module_list(spark, d):
+    return report.modules_of(P.vectors(spark, d))
+
+
+def term_treemap(spark, d):
+    tests = enrich.enrichment(P.part_modules(spark, d), P.gene_sets(spark, d))
+    reduced = tests.select("module", "term_id", (F.length("term_id") % 3 + 1).alias("cluster"), F.col("term_id").alias("parent"), F.round(-F.col("log10_p"), 6).alias("score"))
+    nc = reduced.select("module", "cluster").distinct().where("cluster <> 2").select("module", "cluster", (F.col("module") + F.col("cluster")).cast("long").alias("n_nc"), F.lit("a, b").alias("nc_ids"), F.col("module").cast("long").alias("n_nc_de"))
+    corr = reduced.select("module").distinct().select("module", (F.col("module") * 0.25 - 0.5).alias("corr"), (F.col("module") * 0.001).alias("p"))
+    return report.treemap(report.cluster_labels(reduced, nc), corr)
+
+
+def top_terms(spark, d):
+    tests = enrich.enrichment(P.part_modules(spark, d), P.gene_sets(spark, d)).withColumn("log10_p", F.round("log10_p", 7))
+    return report.top_terms(tests, 15).select("module", "term_id", "log10_p")
 
 
 def connectivity_bucket(spark, d):
@@ -225,7 +278,23 @@ def _nodes(near: DataFrame) -> DataFrame:
 
 def subnetwork_edges(spark, d):
     tom, near = _near(spark, d)
-    return _rounded(report.subnetwork(tom, _nodes(near)), weight=8)
+    return _rounded(report.subnetwork(tom, _nodes(near), P.vectors(spark, d).count()), weight=8)
+
+
+def _node_terms(nodes: DataFrame) -> DataFrame:
+    """Terms of two thirds of the nodes, some in two."""
+    name = lambda x: F.concat(F.lit("T"), x.cast("string"))
+    return nodes.where("gene_id % 3 <> 0").select("gene_id", F.explode(F.array(name(F.col("gene_id") % 4), name(F.col("gene_id") % 5 + 4))).alias("term_id"))
+
+
+def node_membership(spark, d):
+    nodes = _nodes(_near(spark, d)[1])
+    return report.membership(nodes, _node_terms(nodes)).withColumn("terms", F.array_join("terms", ","))
+
+
+def node_term_totals(spark, d):
+    nodes = _nodes(_near(spark, d)[1])
+    return report.term_totals(nodes, _node_terms(nodes))
 
 
 def subnetwork_layout(spark, d):
@@ -279,6 +348,11 @@ def enrichment_bh(spark, d):
     return _rounded(enrich.benjamini_hochberg(tests).select("module", "term_id", "q"), q=8)
 
 
+def enrichment_bonferroni(spark, d):
+    tests = enrich.enrichment(P.part_modules(spark, d), P.gene_sets(spark, d))
+    return _rounded(enrich.significant(enrich.bonferroni(tests), 0.9).select("module", "term_id", "q"), q=8)
+
+
 def enrichment_manhattan(spark, d):
     tests = enrich.enrichment(P.part_modules(spark, d), P.gene_sets(spark, d)).withColumn("log10_p", F.round("log10_p", 7))
     return report.manhattan(tests).select("module", "term_id", "log10_p", "place", "highlighted", report.term_label(F.col("term_id"), F.col("k"), F.col("query_size")).alias("label"))
@@ -290,9 +364,14 @@ def submodule_genes(spark, d):
     return enrich.submodule_genes(clusters, sets, modules)
 
 
+def submodule_membership(spark, d):
+    lists = enrich.submodule_lists(P.part_modules(spark, d), submodule_genes(spark, d))
+    return lists.select("module", "gene_id", F.array_join(F.col("submodules").cast("array<string>"), ",").alias("submodules"))
+
+
 def submodule_nc(spark, d):
     e = P.vectors(spark, d)
-    modules, genes = e.select("gene_id", "module"), P.vector_genes(e)
+    modules, genes = e.select("gene_id", "module"), _heatmap_genes(spark, d).drop("module")
     sub = modules.where("module <> 0 and gene_id % 5 <> 0").withColumn("cluster", (F.col("gene_id") % 3 + 1).cast("int"))
     pairs = network.both_ways(similarity.adjacency(similarity.correlations(e), POWER))
     return _rounded(enrich.connected_nc(sub, pairs, genes, modules), median_kwithin=8)
@@ -328,7 +407,83 @@ def upgma_tree(spark, d):
 
 
 def static_cut(spark, d):
-    return cluster.keep_samples(prep.sample_distance(prep.log_cpm(P.counts(spark, d))), 1e9)
+    distances = materialise(prep.sample_distance(prep.log_cpm(P.counts(spark, d))), "distances")
+    height = cluster.sample_tree(distances).agg(F.median("height")).first()[0]  # below half of the merges
+    return cluster.keep_samples(distances, height, 2)
+
+
+def sample_leaves(spark, d):
+    c = P.counts(spark, d)
+    return cluster.sample_order(prep.sample_distance(prep.log_cpm(c)), P.traits(c))
+
+
+def cluster_sizes(spark, d):
+    return cluster.label_sizes(P.iteration_labels(spark, d).where("iter = 0"), "module")
+
+
+def suggested_power(spark, d):
+    return network.suggest_power(soft_threshold_scan(spark, d), 0.0).select("power", "signed_r2")
+
+
+def symbol_ids(spark, d):
+    p = P.table(spark, d, "part")
+    symbols = p.where("p_size % 2 = 0").select(F.col("p_name").alias("symbol"), F.col("p_size").alias("entrez_id"))
+    return annotate.map_symbols(p.select(F.col("p_partkey").alias("gene_id"), F.col("p_name").alias("gene_name")), symbols)
+
+
+def validation_columns(spark, d):
+    c, a = P.counts(spark, d), P.annotation(spark, d)
+    traits = P.traits(c).select(F.col("trait").cast("string").alias("trait"), "sample_ord")
+    return annotate.violations(c, a, traits, P.differential(c).drop("pval"), nc=a.select("gene_name"))
+
+
+def _lines(spark, d, column) -> str:
+    path = shared_path(spark, "lines")
+    P.table(spark, d, "part").select(column.alias("value")).write.text(path)
+    return path
+
+
+def gtf_annotation(spark, d):
+    key = F.col("p_partkey").cast("string")
+    line = F.concat(F.lit('chr1\tx\tgene\t1\t2\t.\t+\t.\tgene_id "ENSG'), key, F.lit('.3";'), F.when(F.col("p_partkey") % 9 != 0, F.concat(F.lit(' gene_name "'), "p_name", F.lit('.2"; level 2;'))).otherwise(F.lit(" level 1;")))
+    return gtf.read_gtf(spark, _lines(spark, d, line))
+
+
+def gene_set_file(spark, d):
+    key = F.col("p_partkey").cast("string")
+    return gtf.read_gmt(spark, _lines(spark, d, F.concat_ws("\t", F.concat(F.lit("S"), key), "p_name", "p_brand", "p_type")), "P")
+
+
+def tsv_round_trip(spark, d):
+    path, p = shared_path(spark, "tsv"), P.table(spark, d, "part")
+    sinks.write_tsv(p.select("p_partkey", "p_name", F.array("p_brand", "p_type").alias("kinds")), path)
+    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+
+
+def csv_round_trip(spark, d):
+    path, p = shared_path(spark, "csv"), P.table(spark, d, "part")
+    sinks.write_csv(p.select("p_partkey", "p_name", (F.col("p_size") > 9).alias("large")), path)
+    return spark.read.option("header", True).csv(path)
+
+
+def _ontology(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(child, parent) over the terms of the gene sets, and the sets."""
+    sets = P.gene_sets(spark, d)
+    terms = sets.select(F.col("term_id").alias("term")).distinct()
+    kind = F.substring("term", 1, 2)
+    fine = F.concat(kind, F.lit("/"), (F.length("term") % 3).cast("string"))
+    return terms.select(F.col("term").alias("child"), fine.alias("parent")).union(terms.select(fine, kind)).union(terms.select(kind, F.lit("root"))).distinct(), sets
+
+
+def information_content(spark, d):
+    parents, sets = _ontology(spark, d)
+    return _rounded(enrich.information_content(sets, enrich.ancestors(parents)).withColumn("ic", F.abs("ic")), ic=8)
+
+
+def term_similarity(spark, d):
+    parents, sets = _ontology(spark, d)
+    closure = enrich.ancestors(parents)
+    return _rounded(enrich.relevance(parents, enrich.information_content(sets, closure), sets.select(F.col("term_id").alias("term")).distinct(), closure), sim=8)
 
 
 def dynamic_modules(spark, d):
@@ -359,6 +514,16 @@ ins as (select own.* from own join e1 using (gene_id) where e1.module = (select
 near as (select * from ins where connectivity > (select quantile_cont(connectivity, 0.5) from ins) order by connectivity desc, gene_id limit 12),
 nodes as (select gene_id, row_number() over (order by connectivity desc, gene_id) - 1 as rank from near)"""
 
+_IC = """cl as (select distinct term_id term, unnest([term_id, left(term_id, 2) || '/' || (length(term_id) % 3)::varchar, left(term_id, 2), 'root']) ancestor from t1),
+ic as (select ancestor, -ln(count(distinct gene_id) / (select count(distinct gene_id) from t1)) ic from cl join t1 on t1.term_id = cl.term group by 1)"""
+
+_HM = """own as (select g1.gene_id, is_nc, ww.k, pval, {_CLASS} cl from g1 join ww using (gene_id) where g1.module = 1),
+nc as (select *, row_number() over (order by k desc nulls last, gene_id) rk from own where is_nc and k > (select quantile_cont(k, 0.5) from own)),
+co as (select *, row_number() over (order by k desc nulls last, gene_id) rk from own where not is_nc),
+b as (select i, j, tom from tom union all select j, i, tom from tom),
+hm as (select nc.gene_id nc_gene, co.gene_id coding_gene, case when nc.gene_id % 3 <> 0 then 'g' else '' end || nc.gene_id::varchar nc_name, case when co.gene_id % 3 <> 0 then 'g' else '' end || co.gene_id::varchar coding_name,
+nc.rk::integer nc_rank, co.rk::integer coding_rank, round(tom, 8) tom, nc.cl nc_class, co.cl coding_class from nc cross join co join b on b.i = nc.gene_id and b.j = co.gene_id)""".replace("{_CLASS}", _CLASS)
+
 _SQL = {
     "counts_long": f"with {_C1} select gene_id, sample_ord, cnt from c1",
     "filter_low_expression": f"with {_C1}, {_KEPT} select gene_id, sample_ord, cnt from kept",
@@ -406,27 +571,70 @@ pt as (select sp.power, mean_k, median_k, hi, log10(coalesce(bn.kb, lo + (hi - l
   from sp cross join (select unnest(range(1, 11)) bin) g left join bn on bn.power = sp.power and bn.bin = g.bin),
 ft as (select power, regr_slope(y, x) slope, regr_r2(y, x) r2, max(mean_k) mean_k, max(median_k) median_k, max(hi) max_k from pt group by 1)
 select power, round(slope, 5) slope, round(r2, 6) r2, round(-sign(slope) * r2, 6) signed_r2, round(mean_k, 8) mean_k, round(median_k, 8) median_k, round(max_k, 8) max_k from ft""",
+    "suggested_power": f"""with {_E1}, {_R}, pw as (select unnest(range(1, 21))::double as power), s2 as (select i, j, abs(r) r from rr union all select j, i, abs(r) from rr),
+kp as (select power, i, sum(pow(r, power)) k from s2, pw group by 1, 2),
+sp as (select power, min(k) lo, max(k) hi, avg(k) mean_k, quantile_cont(k, 0.5) median_k, count(*) n from kp group by 1),
+bn as (select kp.power, greatest(1, least(10, ceil((k - lo) / ((hi - lo) / 10)))) bin, avg(k) kb, count(*) c from kp join sp on sp.power = kp.power group by 1, 2),
+pt as (select sp.power, mean_k, median_k, hi, log10(coalesce(bn.kb, lo + (hi - lo) / 10 * (g.bin - 0.5))) x, log10(coalesce(bn.c / sp.n, 0) + 1e-9) y
+  from sp cross join (select unnest(range(1, 11)) bin) g left join bn on bn.power = sp.power and bn.bin = g.bin),
+ft as (select power, regr_slope(y, x) slope, regr_r2(y, x) r2, max(mean_k) mean_k, max(median_k) median_k, max(hi) max_k from pt group by 1)
+select power, round(-sign(slope) * r2, 6) signed_r2 from ft where round(-sign(slope) * r2, 6) >= 0.0 order by power limit 1""",
     "tom_pairs": f"with {_E1}, {_R}, {_A}, {_TOM} select i, j, round(tom, 8) tom from tom",
     "intramodular_connectivity": f'with {_E1}, {_R}, {_A}, {_W} select gene_id, round(kt, 8) "kTotal", round(k, 8) "kWithin", round(kt - k, 8) "kOut", round(k - (kt - k), 8) "kDiff" from ww',
     "gene_summary": f"""with {_E1}, {_R}, {_A}, {_W}, {_G1} select g1.gene_id, 'g' || g1.gene_id::varchar gene_name, is_nc, g1.module,
 (g1.gene_id % 10) / 10.0::double > 0.3 stable, round(kt, 8) "kTotal", round(k, 8) "kWithin", round(kt - k, 8) "kOut", round(k - (kt - k), 8) "kDiff", log2fc, pval from g1 join ww using (gene_id)""",
     "module_composition": f"with {_E1}, {_G1} select module, count(*) filter (where is_nc) n_nc, count(*) filter (where not is_nc) n_coding from g1 where module <> 0 group by 1",
     "de_classes": f"with {_E1}, {_G1} select gene_id, {_CLASS} de_class from g1",
-    "heatmap_topk": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_W}, {_G1}, own as (select g1.gene_id, is_nc, ww.k, {_CLASS} cl from g1 join ww using (gene_id) where g1.module = 1),
-nc as (select *, row_number() over (order by k desc nulls last, gene_id) rk from own where is_nc and k > (select quantile_cont(k, 0.5) from own where is_nc)),
-co as (select *, row_number() over (order by k desc nulls last, gene_id) rk from own where not is_nc),
-b as (select i, j, tom from tom union all select j, i, tom from tom)
-select nc.gene_id nc_gene, co.gene_id coding_gene, nc.rk::integer nc_rank, co.rk::integer coding_rank, round(tom, 8) tom, nc.cl nc_class, co.cl coding_class
-from nc join co on nc.rk <= 5 and co.rk <= 5 join b on b.i = nc.gene_id and b.j = co.gene_id""",
+    "heatmap_topk": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_W}, {_G1}, {_HM},
+select * from hm where nc_rank <= 5 and coding_rank <= 5""",
+    "heatmap_deg_only": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_W}, {_G1}, {_HM} select * from hm where nc_rank <= 8 and coding_rank <= 8 and nc_class <> 'none' and coding_class <> 'none'""",
+    "heatmap_submodule": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_W}, {_G1}, {_HM.replace("where not is_nc", "where not is_nc and gene_id % 3 + 1 = 2")} select * from hm where nc_rank <= 5 and coding_rank <= 5""",
+    "heatmap_gene_table": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_W}, {_G1}, {_HM}, sh as (select nc_gene g from hm where nc_rank <= 5 and coding_rank <= 5 union select coding_gene from hm where nc_rank <= 5 and coding_rank <= 5)
+select gene_id, is_nc, round(k, 8) k, case when gene_id % 7 <> 0 then 'T' || (gene_id % 4)::varchar else '' end terms,
+row_number() over (order by is_nc desc, k desc nulls last, gene_id)::integer place from own join sh on g = gene_id where pval is not null""",
+    "sole_nc_partners": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_W}, top as (select gene_id from ww where module = 1 order by k desc, gene_id limit 1), b as (select i, j, tom from tom union all select j, i, tom from tom)
+select top.gene_id nc_gene, j coding_gene, round(tom, 8) tom from top join b on b.i = top.gene_id join ww on ww.gene_id = j and ww.module = 1 order by b.tom desc, j limit 10""",
+    "overlap_cells": f"""with {_E1}, {_R}, {_A}, {_TOM}, t as (select i, j, round(tom, 8) tom from tom where i % 4 = 0), s as (select min(tom) lo, max(tom) hi from t)
+select i, j, tom, (floor((tom - lo) / (hi - lo) * 15) + 1)::bigint cell from t, s""",
+    "module_bars": f"""with {_E1}, {_G1}, ex as (select module, unnest(v) x, generate_subscripts(v, 1) - 1 s from e1 where module <> 0), me as (select module, s, avg(x) me from ex group by 1, 2),
+co as (select module, case when module * 0.012::double > 0.05 then 0.0 else round(corr(me, (s % 2)::double), 8) end corr from me group by module),
+c as (select module, count(*) filter (where is_nc) n_nc, count(*) filter (where not is_nc) n_coding from g1 where module <> 0 group by 1),
+x as (select c.*, co.corr, row_number() over (order by co.corr nulls last, module)::integer sort_key, max(greatest(n_nc, n_coding)) over () top from c left join co using (module)),
+b as (select *, 'nc' kind, n_nc n from x union all select *, 'coding', n_coding from x)
+select module, kind, n, round(corr, 6) corr, round(case when corr > 0 then abs(corr) * top end, 6) corr_pos, round(case when corr < 0 then abs(corr) * top end, 6) corr_neg, sort_key from b""",
+    "module_list": "select distinct label as module from embeddings where label <> 0",
+    "term_treemap": f"""with {_T1}, {_HYPER} select module, 'module ' || module::varchar || ': r = ' || printf('%.2f', module * 0.25 - 0.5) || ', p = ' || printf('%.1e', module * 0.001::double) title,
+c::varchar || ' - ' || term_id || ' (' || (case when c <> 2 then module else 0 end)::varchar || '/' || (case when c <> 2 then module + c else 0 end)::varchar || ')' as label, term_id, round(-log10_p, 6) score
+from (select *, length(term_id) % 3 + 1 c from pv)""",
+    "top_terms": f"""with {_T1}, {_HYPER} select module, term_id, round(log10_p, 7) log10_p from pv order by round(pv.log10_p, 7), module, term_id limit 15""",
     "connectivity_bucket": f"""with {_E1}, {_R}, {_A}, {_W}, q as (select module, quantile_cont(k, 0.1) lo, quantile_cont(k, 0.9) hi from ww where module <> 0 group by 1)
 select gene_id, ww.module, round(least(greatest(k, lo), hi), 8) k_clipped, (floor((least(greatest(k, lo), hi) - lo) / (hi - lo) * 127) + 1)::bigint bucket from ww join q on q.module = ww.module""",
     "gene_neighbourhood_topk": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_G1}, {_N} select near.gene_id, round(connectivity, 8) connectivity, is_nc, log2fc, pval, abs(log2fc) >= 1 and pval <= 0.05 is_deg from near join g1 using (gene_id)""",
     "subnetwork_edges": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_N}, ed as (select tom.i, tom.j, tom, a.rank ri, b.rank rj from tom join nodes a on a.gene_id = tom.i join nodes b on b.gene_id = tom.j),
-md as (select quantile_cont(t, 0.5) m from (select tom t from ed union all select tom from ed union all select 1.0 from nodes)),
+md as (select quantile_cont(t, 0.5) m from (select tom t from tom union all select tom from tom union all select 1.0 from e1)),
 wt as (select i, j, ri, rj, case when tom < m then 0.0 else tom end weight from ed, md), qq as (select quantile_cont(weight, 0.9) q from wt where weight > 0)
 select i, j, round(weight, 8) weight, ri = 0 or rj = 0 or weight >= q visible from wt, qq""",
     "subnetwork_layout": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_N} select gene_id, rank::integer as rank, round(case when rank = 0 then 0 else cos(2 * pi() * rank / ((select count(*) from nodes) - 1)) end, 6) x,
 round(case when rank = 0 then 0 else sin(2 * pi() * rank / ((select count(*) from nodes) - 1)) end, 6) y from nodes""",
+    "node_membership": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_N} select gene_id, case when gene_id % 3 <> 0 then 'T' || (gene_id % 4)::varchar || ',' || 'T' || (gene_id % 5 + 4)::varchar else '' end terms, gene_id % 3 = 0 unenriched from nodes""",
+    "node_term_totals": f"""with {_E1}, {_R}, {_A}, {_TOM}, {_N} select term_id, count(*) n from (select case when gene_id % 3 <> 0 then 'T' || (gene_id % 4)::varchar end term_id from nodes
+union all select 'T' || (gene_id % 5 + 4)::varchar from nodes where gene_id % 3 <> 0) group by 1""",
+    "enrichment_bonferroni": f"""with {_T1}, {_HYPER}, q as (select module, term_id, least(1.0, pow(10.0, log10_p) * count(*) over (partition by module)) q from pv) select module, term_id, round(q, 8) q from q where q <= 0.9""",
+    "submodule_membership": f"""with {_T1}, cl as (select distinct module, term_id, length(term_id) % 3 + 1 as cluster from t1 join m1 using (gene_id) where module <> 0 and term_id not like 'T:%'),
+sg as (select distinct cl.module, cl.cluster::integer as cluster, gene_id from cl join t1 using (term_id) join m1 using (gene_id) where m1.module = cl.module)
+select m1.module, m1.gene_id, coalesce(string_agg(cluster::varchar, ',' order by cluster), '') submodules from m1 left join sg on sg.module = m1.module and sg.gene_id = m1.gene_id group by 1, 2""",
+    "cluster_sizes": f"with {_L1} select module::integer as module, count(*) n from l1 where iter = 0 group by 1",
+    "symbol_ids": "with s as (select distinct p_name, p_size entrez_id from part where p_size % 2 = 0) select p_partkey gene_id, part.p_name gene_name, entrez_id from part left join s using (p_name)",
+    "validation_columns": """select 'traits column order' as rule, 'trait, sample_ord' detail, 2 n union all select 'trait is no number', 'string', 1 union all select 'dge columns', 'pval', 1
+union all select 'nc columns', 'gene_id', 1""",
+    "gtf_annotation": "select 'ENSG' || p_partkey::varchar gene_id, case when p_partkey % 9 <> 0 then split_part(p_name, '.', 1) end gene_name from part",
+    "gene_set_file": "select 'P' source, 'S' || p_partkey::varchar term_id, p_name term_name, p_brand gene_id from part union all select 'P', 'S' || p_partkey::varchar, p_name, p_type from part",
+    "tsv_round_trip": "select p_partkey::varchar p_partkey, p_name, p_brand || ', ' || p_type kinds from part",
+    "csv_round_trip": "select p_partkey::varchar p_partkey, p_name, (p_size > 9)::varchar large from part",
+    "information_content": f"""with {_T1}, {_IC} select ancestor as term, round(abs(ic), 8) ic from ic""",
+    "term_similarity": f"""with {_T1}, {_IC}, up as (select cl.term, cl.ancestor, ic from cl join ic using (ancestor) where ic > 0),
+mx as (select x.term a, y.term b, max(x.ic) m from up x join up y on x.ancestor = y.ancestor and x.term < y.term group by 1, 2)
+select a, b, round(2 * m / (p.ic + q.ic) * (1 - exp(-m)), 8) sim from mx join ic p on p.ancestor = a join ic q on q.ancestor = b""",
     "holdout_assignment": "select p_partkey gene_id, ((row_number() over (order by (p_partkey * 7919) % 1000, p_partkey) - 1) % 20 + 1)::integer iter from part",
     "module_matching": f"with {_L1}, {_MATCH} select module::integer as module, iter::integer iter, matched::integer matched from mt",
     "module_stability": f"with {_L1}, {_MATCH} select module::integer as module, iter::integer iter, round(sum(hit) / count(*), 8) ratio from hh where module <> 0 group by module, iter",
@@ -453,7 +661,7 @@ kin as (select s.module, s.cluster, s.gene_id, sum(sy.a) k from sub s join sub t
 md as (select s.module, s.cluster, quantile_cont(coalesce(kin.k, 0), 0.5) m from sub s left join kin using (module, cluster, gene_id) group by 1, 2),
 nk as (select s.module, s.cluster, g.gene_id, any_value(g.log2fc) log2fc, any_value(g.pval) pval, sum(sy.a) k from g1 g join sub s on s.module = g.module join sy on sy.i = g.gene_id and sy.j = s.gene_id where g.is_nc group by 1, 2, 3),
 ov as (select nk.* from nk join md using (module, cluster) where k > m)
-select md.module, md.cluster::integer as cluster, round(m, 8) median_kwithin, count(ov.gene_id) n_nc, coalesce(string_agg(ov.gene_id::varchar, ', ' order by ov.gene_id), '') nc_ids,
+select md.module, md.cluster::integer as cluster, round(m, 8) median_kwithin, count(ov.gene_id) n_nc, coalesce(string_agg(ov.gene_id::varchar, ', ' order by ov.gene_id), '') nc_ids, coalesce(string_agg(case when ov.gene_id % 3 <> 0 then 'g' else '' end || ov.gene_id::varchar, ', ' order by ov.gene_id), '') nc_names,
 count(*) filter (where abs(log2fc) > 1 and pval < 0.05) n_nc_de from md left join ov using (module, cluster) group by md.module, md.cluster, m""",
     "trait_correlation": f"""with {_E1}, ex as (select module, unnest(v) x, generate_subscripts(v, 1) - 1 s from e1 where module <> 0), me as (select module, s, avg(x) me from ex group by 1, 2)
 select module, round(corr(me, (s % 2)::double), 8) corr, count(*) n from me group by 1""",
@@ -465,7 +673,9 @@ _ALL = [
     tom_pairs, intramodular_connectivity, gene_summary, module_composition, de_classes, heatmap_topk, connectivity_bucket, gene_neighbourhood_topk, subnetwork_edges,
     subnetwork_layout, holdout_assignment, module_matching, module_stability, gene_stability, stability_cumulative, stability_box, enrichment_hypergeom,
     enrichment_ordered, enrichment_bh, enrichment_manhattan, submodule_genes, submodule_nc, trait_correlation, student_p_values, eigengene, upgma_tree, static_cut, dynamic_modules,
-    jackknife, term_reduction,
+    jackknife, term_reduction, heatmap_deg_only, heatmap_submodule, heatmap_gene_table, sole_nc_partners, overlap_cells, module_bars, module_list, term_treemap, top_terms, node_membership,
+    node_term_totals, enrichment_bonferroni, submodule_membership, sample_leaves, cluster_sizes, suggested_power, symbol_ids, validation_columns, gtf_annotation, gene_set_file,
+    tsv_round_trip, csv_round_trip, information_content, term_similarity,
 ]
 
 

@@ -5,18 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """df written to spark.checkpoint.dir as Parquet and read again; the table goes when the application ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # as in tests; a cluster names a folder that its machines share
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lociweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/lociweave/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """df written to spark.checkpoint.dir as Parquet and read again; the table goes when the application ends."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

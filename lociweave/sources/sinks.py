@@ -14,7 +14,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 def write_tsv(df: DataFrame, path: str, quote: bool = False) -> None:
     """A header and tab-separated rows, one file for each partition."""
-    flat(df).write.mode("overwrite").option("sep", "\t").option("quote", '"' if quote else "").option("header", True).csv(path)
+    flat(df).write.mode("overwrite").option("sep", "\t").option("quote", '"' if quote else "").option("quoteAll", quote).option("header", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lociweave.functions.expressions import incomplete_beta
-from lociweave.operators import cluster, similarity
+from lociweave.operators import cluster, enrich, similarity
 
 
 def planted(seed=3, modules=4, size=60, noise=60, samples=40):
@@ -100,3 +100,31 @@ def test_student_p(r, n, p):
 
 def test_module_labels_fall_with_size():
     assert cluster.by_size([[0, 1], [2, 3, 4], [5]], 6, 2).tolist() == [2, 2, 1, 1, 1, 0]
+
+
+def test_complete_linkage_against_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 12, 30):
+        d = rng.random((n, n))
+        d = np.maximum(d, d.T)
+        np.fill_diagonal(d, 0)
+        groups = [[i] for i in range(n)]
+        while len(groups) > 1:
+            h, a, b = min((d[np.ix_(a, b)].max(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if h > 0.6:
+                break
+            groups[a] += groups.pop(b)
+        want = np.zeros(n, int)
+        for k, g in enumerate(sorted(groups, key=min), 1):
+            want[g] = k
+        assert enrich.complete_linkage_groups(d, 0.6).tolist() == want.tolist()
+
+
+def test_hypergeometric_tail_against_sums():
+    from math import comb, log10
+
+    cases = [(k, n, m, 40) for k in (0, 1, 3, 12) for n in (0, 5, 40) for m in (0, 7, 40)]
+    got = enrich.hypergeometric_tail.func(*(pd.Series(c) for c in zip(*cases)))
+    for (k, n, m, t), g in zip(cases, got):
+        p = sum(comb(m, j) * comb(t - m, n - j) for j in range(max(k, 0), min(m, n) + 1)) / comb(t, n)
+        assert g == (-np.inf if p == 0 else pytest.approx(log10(p), abs=1e-9))

@@ -1,11 +1,12 @@
 """Sources, sinks, joins with their quirks, the fluent study and the streaming extra."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_kernels import adjusted_rand, planted
 
-from lociweave.operators import annotate, enrich, network, prep, report, resample, similarity
+from lociweave.operators import annotate, cluster, enrich, network, prep, report, resample, similarity
 from lociweave.plans.study import Study
 from lociweave.sources import gtf, sinks
 from lociweave.streaming import moments
@@ -90,10 +91,10 @@ def test_relevance_on_a_small_graph(spark):
     ic = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("m", 1.0), ("r", 0.0), ("c", 2.0)], "term string, ic double")
     terms = spark.createDataFrame([("a",), ("b",), ("c",)], "term string")
     sim = {(r["a"], r["b"]): r["sim"] for r in enrich.relevance(parents, ic, terms).collect()}
-    assert sim[("a", "b")] == pytest.approx(2 / 5 * (1 - np.exp(-1))) and sim[("a", "c")] == 0
+    assert sim[("a", "b")] == pytest.approx(2 / 5 * (1 - np.exp(-1))) and ("a", "c") not in sim
 
 
-def test_study_from_counts_to_modules(spark):
+def test_study_from_counts_to_modules(spark, tmp_path):
     x, truth = planted(modules=3, size=40, noise=30, samples=24)
     expr = spark.createDataFrame([(int(g), int(s), float(v)) for g, row in enumerate(x) for s, v in enumerate(row)], "gene_id long, sample_ord long, value double")
     genes = spark.range(len(x)).withColumnRenamed("id", "gene_id")
@@ -108,7 +109,18 @@ def test_study_from_counts_to_modules(spark):
     near = study.neighbours("n5", 7).toPandas()
     assert len(near) == 7 and near["gene_id"].iloc[0] == 5 and near["connectivity"].is_monotonic_decreasing
     assert study.scan_powers([2, 4]).count() == 2 and study.bars().count() > 0
-    for bad in (lambda: study.set_cut(2), lambda: study.select_power("x"), lambda: study.neighbours("n1")):
+    sets = genes.select(F.concat(F.lit("T"), (F.col("gene_id") / 40).cast("int")).alias("term_id"), "gene_id")
+    terms = study.enrich(sets).toPandas()
+    assert {(r.module, r.term_id) for r in terms.itertuples() if r.q < 1e-6} == {(int(m), f"T{k}") for k, m in enumerate(pd.Series(got["module"].to_numpy()[: 120]).groupby(np.arange(120) // 40).agg(lambda x: x.mode()[0]))}
+    found, enriched, nodes, edges = (x.toPandas() for x in study.associate("n5", sets, 30, 10, path=str(tmp_path / "near"), terms_path=str(tmp_path / "terms")))
+    assert enriched["term_id"].tolist() == ["T0"] and len(nodes) == 10 and len(edges) == 45 and len(found) == 20  # above the median of the 40 genes of the module
+    assert spark.read.option("header", True).csv(str(tmp_path / "near")).count() == 20
+    reduced = spark.createDataFrame([(int(m), t, 1) for m, t in {(r.module, r.term_id) for r in terms.itertuples() if r.q < 1e-6}], "module int, term_id string, cluster int")
+    whole, sub = study.submodules(reduced, sets, str(tmp_path / "summary"))
+    assert whole.summary.where("size(submodules) = 1").count() > 100 and sub.count() == 3 and sub.where("n_nc > 0").count() > 0
+    module = int(got.set_index("gene_id").loc[5, "module"])
+    assert whole.heatmap(module, 3, submodule=1, path=str(tmp_path / "map")).count() > 0
+    for bad in (lambda: whole.heatmap(99, 3), lambda: whole.heatmap(module, 3, submodule=7), lambda: whole.heatmap(module, 0), lambda: study.associate("n5", sets, nodes=0), lambda: study.associate("n5", sets, most=2), lambda: study.set_cut(2), lambda: study.select_power("x"), lambda: study.neighbours("n1")):
         with pytest.raises(ValueError):
             bad()
 
@@ -152,3 +164,43 @@ def test_term_reports(spark):
     assert report.top_terms(tests, 99).count() == 2 and report.top_terms(tests, 1).first()["term_id"] == "t1"
     cells = report.cell_colours(spark.createDataFrame([(1, 2, 0.1), (1, 3, 0.9)], "i long, j long, tom double"), 16)
     assert {r["cell"] for r in cells.collect()} == {1, 16}
+
+
+def test_absent_samples_are_no_leaves(spark):
+    ids = [0, 1, 2, 4]
+    d = spark.createDataFrame([(s, t, 10.0) for s in ids for t in ids if s < t], "s long, t long, distance double")
+    assert [r["height"] for r in cluster.sample_tree(d).orderBy("step").collect()] == [10.0] * 3
+    assert sorted(r["sample_ord"] for r in cluster.keep_samples(d).where("keep").collect()) == ids
+    far = spark.createDataFrame([(7, 9, 1.0), (7, 30, 50.0), (9, 30, 50.0)], "s long, t long, distance double")
+    assert sorted(r["sample_ord"] for r in cluster.keep_samples(far, 5.0, 2).where("keep").collect()) == [7, 9]
+    one = spark.createDataFrame([(6,)], "sample_ord long")
+    assert [(r["sample_ord"], r["keep"]) for r in cluster.keep_samples(far.limit(0), None, samples=one).collect()] == [(6, True)]
+
+
+def test_overlap_median_is_that_of_the_whole_matrix(spark):
+    rng = np.random.default_rng(2)
+    for n, values in ((9, rng.random(36)), (8, np.repeat([0.25, 0.5], 14)), (7, rng.random(21) * 1e-7)):
+        m = np.eye(n)
+        m[np.triu_indices(n, 1)] = values
+        m = np.maximum(m, m.T)
+        tom = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(n) for j in range(i + 1, n)], "i long, j long, tom double")
+        assert report.overlap_median(tom, n, bins=4) == pytest.approx(np.median(m), abs=0)
+
+
+def test_modules_of_blocks_become_one(spark):
+    x, truth = planted(modules=3, size=80, noise=20, samples=30)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "gene_id long, v array<double>")
+    whole = cluster.detect_modules(e, 6.0, least=20).toPandas().sort_values("gene_id")["module"].to_numpy()
+    parts = cluster.detect_modules(e, 6.0, least=20, block=150).toPandas().sort_values("gene_id")["module"].to_numpy()
+    assert whole.max() == parts.max() == 3 and adjusted_rand(parts, truth) > 0.7
+
+
+def test_violations_of_missing_tables(spark):
+    counts = spark.createDataFrame([(1, 0, 5.0)], "gene_id long, sample_ord long, cnt double")
+    assert sorted(r["rule"] for r in annotate.violations(counts, None, None, None).collect()) == ["annotation missing", "dge missing", "traits missing"]
+
+
+def test_ambiguous_names_warn(spark):
+    s = spark.createDataFrame([(2, "a", True), (1, "a", True)], "gene_id long, gene_name string, is_nc boolean")
+    with pytest.warns(UserWarning):
+        assert report.resolve_name(s, "a") == 1
