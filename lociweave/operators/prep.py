@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
+
 #: What makes a median absolute deviation consistent with a standard deviation of normal data.
 MAD_SCALE = 1.4826
 
@@ -74,7 +76,7 @@ def log_cpm(counts: DataFrame, library_axis: str = "gene") -> DataFrame:
 
 def prepare(counts: DataFrame, dge: DataFrame, method: str = "DEG", p: float = 0.01, fc: float = 1.0, top: int = 5000, least: float = 1.0, n_samples: int | None = None) -> DataFrame:
     """Filtered, log-transformed expression (gene_id, sample_ord, value)."""
-    kept = filter_low_expression(counts, least, n_samples)
+    kept = materialise(filter_low_expression(counts, least, n_samples), "kept")  # read several times below
     if method == "DEG":
         genes = sd_gate(kept, differential_genes(dge.join(kept.select("gene_id").distinct(), "gene_id", "left_semi"), p, fc)).select("gene_id")
     elif method == "var":

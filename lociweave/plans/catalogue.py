@@ -197,9 +197,13 @@ def _module_k(spark, d) -> DataFrame:
     return _within(spark, d).join(e.select("gene_id", "module"), "gene_id").select("gene_id", "module", F.col("kWithin").alias("k"))
 
 
+def _named(genes: DataFrame) -> DataFrame:
+    """genes with names for two thirds of them."""
+    return genes.withColumn("gene_name", F.when(F.col("gene_id") % 3 != 0, F.concat(F.lit("g"), F.col("gene_id").cast("string"))))
+
+
 def _heatmap_genes(spark, d) -> DataFrame:
-    name = F.when(F.col("gene_id") % 3 != 0, F.concat(F.lit("g"), F.col("gene_id").cast("string")))
-    return P.vector_genes(P.vectors(spark, d)).join(_module_k(spark, d), "gene_id").withColumn("gene_name", name).withColumn("submodules", F.array((F.col("gene_id") % 3 + 1).cast("int")))
+    return _named(P.vector_genes(P.vectors(spark, d)).join(_module_k(spark, d), "gene_id")).withColumn("submodules", F.array((F.col("gene_id") % 3 + 1).cast("int")))
 
 
 def heatmap_topk(spark, d):
@@ -371,7 +375,7 @@ def submodule_membership(spark, d):
 
 def submodule_nc(spark, d):
     e = P.vectors(spark, d)
-    modules, genes = e.select("gene_id", "module"), _heatmap_genes(spark, d).drop("module")
+    modules, genes = e.select("gene_id", "module"), _named(P.vector_genes(e))
     sub = modules.where("module <> 0 and gene_id % 5 <> 0").withColumn("cluster", (F.col("gene_id") % 3 + 1).cast("int"))
     pairs = network.both_ways(similarity.adjacency(similarity.correlations(e), POWER))
     return _rounded(enrich.connected_nc(sub, pairs, genes, modules), median_kwithin=8)
