@@ -183,7 +183,9 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, digest=digest_of("text"))
     done = two_batches(rows.select("rid", F.col("row.doc_id").alias("doc_id"), "digest"))
     winners = done.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("rid").alias("rid")).select("rid")
-    return rows.join(winners, "rid", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    # a table of known size: documents are shuffled only where it is too large to broadcast
+    losers = materialise(rows.select("rid").join(winners, "rid", "left_anti"), "copies")
+    return rows.join(losers, "rid", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

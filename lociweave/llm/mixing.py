@@ -93,7 +93,8 @@ def taken(to: DataFrame, rows: DataFrame, weights, share, most) -> DataFrame:
     for level in range(1, LEVELS + 1):
         edge = materialise(_refine(rows, edge, DIGITS * level), f"edge-{level}")
     extra = F.when(F.col("budget") <= 0, 0).when(F.col("edge").isNull() | (F.col("hash") < F.col("edge")), 1).when(F.col("hash") == F.col("edge"), (F.col("words") <= 2 * F.col("rest")).cast("int")).otherwise(0)
-    return to.join(plan.join(edge, "key"), "key").withColumn("copies", F.col("copies") + extra).drop("budget")
+    ends = materialise(plan.join(edge, "key"), "thresholds")  # a row per source, of known size
+    return to.join(ends, "key").withColumn("copies", F.col("copies") + extra).drop("budget")
 
 
 def _refine(rows: DataFrame, edge: DataFrame, digits: int) -> DataFrame:

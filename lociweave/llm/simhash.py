@@ -376,11 +376,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
                 x, y = family_links(ints, marks, sketches, bucket["band"][0].as_py(), similarity)
                 yield ints[x, 0], ints[y, 0]
 
-        unsettled = held.join(apart, "bucket", "left_semi").join(rows.select("rid", "marks", "sketch"), "rid")
-        unsettled = unsettled.select("rid", "fp", "n", "root", "band", "marks", "sketch", "bucket").repartition("bucket").sortWithinPartitions("bucket", "rid")
+        unsettled = materialise(held.join(apart, "bucket", "left_semi"), "unsettled")
+        marked = unsettled.join(rows.select("rid", "marks", "sketch"), "rid")
+        marked = marked.select("rid", "fp", "n", "root", "band", "marks", "sketch", "bucket").repartition("bucket").sortWithinPartitions("bucket", "rid")
         with small_batches(docs.sparkSession, 2048):
-            near = _candidates(unsettled.mapInArrow(_dealt(compare), "a bigint, b bigint"))
+            near = _candidates(marked.mapInArrow(_dealt(compare), "a bigint, b bigint"))
         roots = components(links.union(_alike(near, rows, docs, shingle, similarity)))
+        discard(unsettled)
     discard(rows, keys, met, held, apart)
     return roots.withColumnRenamed("node", "rid")
 
@@ -409,7 +411,8 @@ def _candidates(met: DataFrame) -> DataFrame:
 
 def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The candidate pairs whose sets of shingles have the similarity: sketches settle clear cases, whole sets the others."""
-    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    # ends in tables of known size: what they are joined with is shuffled only where they are too large to broadcast
+    ends = materialise(_ids_of(pairs), "ends")
     sketches = materialise(rows.join(ends, "rid").select("rid", "sketch"), "sketches")
 
     @F.arrow_udf("int")
@@ -419,7 +422,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, sim
 
     settled = materialise(_ends_of(pairs, sketches.withColumnRenamed("sketch", "of")).select("a", "b", clear("x", "y").alias("verdict")), "settled")
     close = settled.where("verdict = 0").select("a", "b")
-    ends = close.select(F.col("a").alias("rid")).union(close.select("b")).distinct()
+    close_ends = materialise(_ids_of(close), "ends")
 
     @F.arrow_udf("binary")
     def whole(text: pa.Array) -> pa.Array:
@@ -435,13 +438,17 @@ def _alike(pairs: DataFrame, rows: DataFrame, docs: DataFrame, shingle: int, sim
         return pa.array(found, pa.bool_())
 
     with small_batches(docs.sparkSession):
-        sets = materialise(docs.join(ends, "rid", "left_semi").select("rid", whole("text").alias("of")), "whole-sets")
+        sets = materialise(docs.join(close_ends, "rid", "left_semi").select("rid", whole("text").alias("of")), "whole-sets")
         checked = materialise(_ends_of(close, sets).where(alike("x", "y")).select("a", "b"), "checked")
     found = materialise(settled.where("verdict > 0").select("a", "b").union(checked), "links")
-    discard(pairs, sketches, settled, sets, checked)
+    discard(pairs, ends, sketches, settled, close_ends, sets, checked)
     return found
 
 
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+
+
 def _ends_of(pairs: DataFrame, values: DataFrame) -> DataFrame:
     """pairs (a, b) with x and y, what values (rid, of) has of the two."""
     x, y = (values.withColumnsRenamed({"rid": end, "of": name}) for end, name in (("a", "x"), ("b", "y")))
@@ -472,7 +479,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     groups = materialise(near_groups(rows.select("rid", "row.text"), shingle, similarity), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid"))
     winners = groups.join(rows.select("rid", "row.doc_id"), "rid").groupBy("root").agg(first.alias("first")).select(F.col("first.rid").alias("rid"))
-    losers = groups.select("rid").join(winners, "rid", "left_anti")
+    losers = materialise(groups.select("rid").join(winners, "rid", "left_anti"), "losers")
     return rows.join(losers, "rid", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
