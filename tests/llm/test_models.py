@@ -112,10 +112,79 @@ def test_lm_counts_and_scores(frame, edge_rows, monkeypatch):
     assert language_model.score(frame([])).count() == 0
 
 
-def test_lm_class_probabilities_sum_to_one():
-    w = np.random.default_rng(2).normal(size=(language_model.ROWS, language_model.CLASSES)).astype(np.float32)
-    p = np.exp(language_model.log_probabilities(w, np.arange(500)))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+def test_lm_layers_are_distributions():
+    rng = np.random.default_rng(2)
+    for layer in language_model.layers_of(1000):
+        w = rng.normal(size=(layer.rows, layer.outputs)).astype(np.float32)
+        norm = layer.normalisers(w)
+        context = rng.integers(0, layer.contexts, 50)
+        p = sum(np.exp(layer.log_probability(w, norm, context, np.full(50, k))) for k in range(layer.outputs))
+        assert np.allclose(p, 1, atol=1e-4)
+        n = rng.integers(1, 9, 50)
+        want = np.zeros(w.shape)
+        for c, m in zip(context, n):
+            rows = [int(r[0]) for r in layer.active(np.array([c]))]
+            e = np.exp(w[rows].sum(0).astype(float))
+            for r in rows:
+                want[r] += m * e / e.sum()
+        assert np.allclose(language_model.expected(layer, w, context, n), want, atol=1e-3)
+
+
+def test_lm_shares_use_rows_of_their_own():
+    for layer in language_model.layers_of(1 << 30):
+        context = np.random.default_rng(3).integers(0, layer.contexts, 20_000)
+        share = context >> layer.two & (1 << language_model.SHARE_BITS) - 1
+        _, before, _, both = layer.active(context)
+        for rows in (before, both):
+            assert len(set(zip(rows.tolist(), share.tolist()))) == len(set(rows.tolist()))
+    assert sum(4 * x.size for x in language_model.layers_of(1 << 60)) < 93e6
+
+
+def test_lm_score_against_plain_python(frame, edge_rows, monkeypatch):
+    """The score column, recomputed word by word from the weights; and a word after a rare word is learned."""
+    monkeypatch.setattr(language_model, "HEAD", 70)
+    rng, held = random.Random(8), {}
+    train = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda counts, words: held.setdefault("weights", train(held.setdefault("counts", counts), held.setdefault("words", words))))
+    vocab = [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{i}" for i in range(150)]
+    follows = dict(zip(vocab, rng.sample(vocab, len(vocab))))
+    rows = [(100 + i, " ".join(f"{w} {follows[w]}" for w in rng.choices(vocab, k=rng.randrange(1, 60)))) for i in range(150)] + edge_rows[:8]
+    got = language_model.score(frame(rows)).collect()
+    words, weights = held["words"], held["weights"]
+    layers, count = language_model.layers_of(words.tokens), Counter()
+    for d, t, *_ in rows:
+        if crc(d) % 5 != 1:
+            count.update((t or "").encode().lower().split() + [b"\n"])
+    single = words.head[: language_model.SINGLE]
+
+    def soft(layer, w, own, before, skipped, k):
+        context = layer.context(own, np.array([before]), np.array([skipped]))
+        z = sum(w[int(r[0])].astype(float) for r in layer.active(context))
+        return z[k] - math.log(np.exp(z).sum())
+
+    leaf_words = {}
+    for w in count:
+        leaf_words.setdefault(single.index(w) if w in single else language_model.leaf_of(w), []).append(w)
+
+    def plain(text):
+        total, past = 0.0, [b"\n", b"\n"]
+        for w in text.encode().lower().split() + [b"\n"]:
+            skipped, before = (language_model.numbered_as(x, 0) >> 32 for x in past[-2:])
+            leaf = single.index(w) if w in single else language_model.leaf_of(w)
+            kind, sub = divmod(leaf - language_model.SINGLE, language_model.SUBCLASSES)
+            total += soft(layers[0], weights[0], 0, before, skipped, leaf if w in single else language_model.SINGLE + kind)
+            if w not in single:
+                total += soft(layers[1], weights[1], kind, before, skipped, sub)
+            mates = leaf_words.get(leaf, [])
+            total += math.log((count[w] + 0.5) / (sum(count[x] for x in mates) + 0.5 * (len(mates) + 1)))
+            past.append(w)
+        return total / math.log(10)
+
+    texts = dict((d, t or "") for d, t, *_ in rows)
+    for r in got[:60]:
+        assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), abs=1e-3 * r["n_tokens"] ** 0.5)
+    out = [r for r in got if r["held_out"] and r["doc_id"] >= 100]
+    assert sum(r["score"] - r["base_score"] for r in out) / sum(r["n_tokens"] for r in out) > 0.2
 
 
 # tokens
