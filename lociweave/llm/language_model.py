@@ -3,7 +3,7 @@
 A token's probability is that of its class in context, times that of its subclass in the class and
 context, times that of the token in its subclass. Classes are the most frequent tokens, one each,
 and hashes of the last two bytes for all others; subclasses are hashes of whole tokens. Both
-softmaxes (Layer) have hashed features of the words themselves, frequent or rare: the word before
+softmaxes (Layer) have hashed features of the words themselves, frequent or rare, with their classes as the first bits: the word before
 (n-gram), the word before that (skip) and the two together (n-gram), beside a bias; those of the
 second are told apart by class. Within a subclass a token's probability is its count plus a half over the subclass's, with
 one place for unseen words.
@@ -12,7 +12,7 @@ Feature counts cover all learning documents. The expected counts come from the c
 the two words before) that occur: each gradient step is one Spark job, whose tasks hold a share of
 the contexts and the weight rows that only these contexts use, so the parts hardly overlap.
 The hashes have more bits the more tokens there are, up to GROW bits more: the weights and
-normalisers that tasks get are bounded (Layer.size) at 93 MB.
+normalisers that tasks get are bounded (Layer.size) at 77 MB.
 
 Token counts cover all learning documents. The most frequent HEAD tokens travel to the executors;
 the counts of all others meet the documents in a shuffle join.
@@ -36,11 +36,11 @@ from .common import bucket_of, materialise, mix64, table, text_bytes
 HEAD, SINGLE, HASHED, SUBCLASSES = 1 << 18, 64, 64, 64
 LEAVES = SINGLE + HASHED * SUBCLASSES
 STEPS, RATE, PRIOR = 8, 0.4, 2.0
-#: Hash bits grow from so many tokens on, one with each doubling, by at most GROW.
-GROW_FROM, GROW = 1 << 26, 3
+#: Hashes of words have one bit more for each eightfold of so many tokens, up to GROW bits more.
+GROW_FROM, GROW = 1 << 17, 6
 #: Contexts are dealt by so many low bits of the word before.
 SHARE_BITS, SHARES = 4, 8
-#: The low half of a token's number is its code, the high half a hash of the word.
+#: The low half of a token's number is its code, the high half its class and, in higher bits, a hash of the word.
 CODE = (1 << 32) - 1
 #: No word holds a line break, so it can stand for the end.
 END = b"\n"
@@ -84,19 +84,24 @@ def leaf_of(word: bytes) -> int:
     return SINGLE + crc32(word[-2:]) % HASHED * SUBCLASSES + crc32(word) % SUBCLASSES
 
 
-def numbered_as(word: bytes, code: int) -> int:
-    return xxhash.xxh64_intdigest(word) >> 33 << 32 | code
+def class_of(leaf: int) -> int:
+    return leaf if leaf < SINGLE else SINGLE + (leaf - SINGLE) // SUBCLASSES
+
+
+def numbered_as(word: bytes, code: int, leaf: int) -> int:
+    return (xxhash.xxh64_intdigest(word) >> 40 << 7 | class_of(leaf)) << 32 | code
 
 
 class Codes(dict):
     """A token's number: its hash, and as code its place in the head, or the head's size plus its leaf less SINGLE."""
 
     def __init__(self, head: list[bytes]):
-        super().__init__((w, numbered_as(w, i)) for i, w in enumerate(head))
+        super().__init__((w, numbered_as(w, i, i if i < SINGLE else leaf_of(w))) for i, w in enumerate(head))
         self.head, self.most = len(head), len(head) + MOST_WORDS_HELD
 
     def __missing__(self, word: bytes) -> int:
-        number = numbered_as(word, self.head + leaf_of(word) - SINGLE)
+        leaf = leaf_of(word)
+        number = numbered_as(word, self.head + leaf - SINGLE, leaf)
         if len(self) < self.most:
             self[word] = number
         return number
@@ -179,8 +184,8 @@ class Layer:
 
 def layers_of(tokens: int) -> tuple[Layer, Layer]:
     """The layers of classes and of subclasses, for so many learning tokens."""
-    more = min(GROW, max(0, tokens // GROW_FROM).bit_length())
-    return Layer(0, 12 + more, 6, 12 + more, SINGLE + HASHED), Layer(6, 8 + more, 4, 12 + more, SUBCLASSES)
+    more = min(GROW, (tokens // GROW_FROM).bit_length() // 3)
+    return Layer(0, 8 + more, 7, 10 + more, SINGLE + HASHED), Layer(6, 4 + more, 4, 8 + more, SUBCLASSES)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:

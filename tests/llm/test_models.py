@@ -137,7 +137,7 @@ def test_lm_shares_use_rows_of_their_own():
         _, before, _, both = layer.active(context)
         for rows in (before, both):
             assert len(set(zip(rows.tolist(), share.tolist()))) == len(set(rows.tolist()))
-    assert sum(4 * x.size for x in language_model.layers_of(1 << 60)) < 93e6
+    assert sum(4 * x.size for x in language_model.layers_of(1 << 60)) < 77e6
 
 
 def test_lm_score_against_plain_python(frame, edge_rows, monkeypatch):
@@ -169,8 +169,8 @@ def test_lm_score_against_plain_python(frame, edge_rows, monkeypatch):
     def plain(text):
         total, past = 0.0, [b"\n", b"\n"]
         for w in text.encode().lower().split() + [b"\n"]:
-            skipped, before = (language_model.numbered_as(x, 0) >> 32 for x in past[-2:])
-            leaf = single.index(w) if w in single else language_model.leaf_of(w)
+            leaf, before, skipped = (single.index(x) if x in single else language_model.leaf_of(x) for x in (w, past[-1], past[-2]))
+            before, skipped = (language_model.numbered_as(x, 0, k) >> 32 for x, k in ((past[-1], before), (past[-2], skipped)))
             kind, sub = divmod(leaf - language_model.SINGLE, language_model.SUBCLASSES)
             total += soft(layers[0], weights[0], 0, before, skipped, leaf if w in single else language_model.SINGLE + kind)
             if w not in single:
