@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialise, mix64, table, text_bytes
+from .common import bucket_of, materialise, mix64, small_batches, table, text_bytes
 
 HEAD, SINGLE, HASHED, SUBCLASSES = 1 << 18, 64, 64, 64
 LEAVES = SINGLE + HASHED * SUBCLASSES
@@ -45,7 +45,9 @@ CODE = (1 << 32) - 1
 #: No word holds a line break, so it can stand for the end.
 END = b"\n"
 MOST_WORDS_HELD = 400_000
-BLOCK_BYTES = 2_000_000
+MOST_CODES_HELD = 150_000
+BLOCK_BYTES = 500_000
+BATCH_ROWS = 1024
 
 
 def blocks(column: pa.Array) -> Iterator[list[list[bytes]]]:
@@ -97,7 +99,7 @@ class Codes(dict):
 
     def __init__(self, head: list[bytes]):
         super().__init__((w, numbered_as(w, i, i if i < SINGLE else leaf_of(w))) for i, w in enumerate(head))
-        self.head, self.most = len(head), len(head) + MOST_WORDS_HELD
+        self.head, self.most = len(head), len(head) + MOST_CODES_HELD
 
     def __missing__(self, word: bytes) -> int:
         leaf = leaf_of(word)
@@ -333,9 +335,10 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     """
     fold = F.coalesce(bucket_of("doc_id", folds), F.lit(-1))
     texts = docs.where((fold != held) & (fold >= 0)).select("text")
-    counts = materialise(token_counts(texts), "token-counts")
-    words = vocabulary(counts)
-    return _scored(docs, fold == held, words, train(statistics(texts, words), words), counts)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        counts = materialise(token_counts(texts), "token-counts")
+        words = vocabulary(counts)
+        return _scored(docs, fold == held, words, train(statistics(texts, words), words), counts)
 
 
 def _scored(docs: DataFrame, held_out, words: Vocabulary, weights: list[np.ndarray], counts: DataFrame) -> DataFrame:
