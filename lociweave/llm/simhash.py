@@ -333,10 +333,13 @@ def buckets_of(batches) -> Iterator[pa.Table]:
         yield from (rows.slice(lo, hi - lo) for lo, hi in zip(cuts, cuts[1:]))
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, blocks: int = 6, radius: int = 3) -> DataFrame:
     """(rid, root) of the rows of docs (rid, text) that have near-duplicates: root is the smallest rid of the group.
 
-    Candidates share a band key of their sets of `shingle`-word shingles: at a similarity of 0.8 a
+    SimHash comes first: rows whose fingerprints differ in at most `radius` bits, found by choices of
+    blocks, are checked by their sets of shingles and grouped. Fingerprints of an edited copy often lie
+    further apart, so pairs of different groups that share a band key are checked the same way. These
+    share a band key of their sets of `shingle`-word shingles: at a similarity of 0.8 a
     pair is missed with probability 4e-7, wherever the texts differ, and less above. They are linked if the
     sets have at least the given similarity, by their sketches or, near the threshold, in whole.
 
@@ -347,6 +350,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     memory of n sketches, but rows only for links. Texts without words are alike.
     """
     rows = materialise(signatures(docs, shingle), "signatures")
+    settled = _alike(_candidates(print_links(rows, blocks, radius)), rows, docs, shingle, similarity)
+    groups = components(settled)
     dealt = rows.select("rid", "fp", "n", F.posexplode("keys").alias("band", "key"))
     keys = materialise(dealt.groupBy("key").agg(F.count("*").alias("members"), F.min("rid").alias("pivot")).where("members > 1"), "keys")
     met = materialise(dealt.join(keys, "key"), "buckets")
@@ -360,7 +365,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
 
     pairs = small.repartition("key").sortWithinPartitions("key", "rid", "n").mapInArrow(_dealt(compare_all), "a bigint, b bigint")
     pairs = pairs.union(large.select(F.col("pivot").alias("a"), F.col("rid").alias("b")))
-    links = _alike(_candidates(pairs), rows, docs, shingle, similarity)
+    links = settled.union(_alike(_across(_candidates(pairs), groups), rows, docs, shingle, similarity))
     roots = components(links)
     held = large.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     held = materialise(held.select("rid", "fp", "n", "root", "band", "bucket"), "grouped")
@@ -387,6 +392,22 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     return roots.withColumnRenamed("node", "rid")
 
 
+def print_links(rows: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """Pairs (a, b) of rids of (rid, fp) whose fingerprints lie within radius bits, enough to connect all that do."""
+    first = materialise(rows.groupBy("fp").agg(F.min("rid").alias("first"), F.count("*").alias("n")), "first-prints")
+    a, b = (first.select(F.col("fp").alias(end), F.col("first").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    near = near_links(first.select("fp"), blocks, radius).join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return near.union(rows.select("rid", "fp").join(first.where("n > 1"), "fp").select(F.col("first").alias("a"), F.col("rid").alias("b")))
+
+
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) that (node, root) does not hold in one group."""
+    x, y = (groups.select(F.col("node").alias(end), F.col("root").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    met = materialise(pairs.join(x, "a", "left").join(y, "b", "left").where("not (x <=> y) or x is null").select("a", "b"), "across")
+    discard(pairs)
+    return met
+
+
 def _dealt(parts):
     """For mapInArrow: the (a, b) that parts yields, in record batches."""
 

@@ -398,3 +398,16 @@ def test_line_runs(frame):
     rows = [(d, "\n".join(rng.choice("abcde") for _ in range(rng.randrange(12)))) for d in range(50)]
     assert rows_of(line_dedup.line_dedup(frame(rows))) == brute_lines(rows)
     assert Counter(r["n_removed"] > 0 for r in line_dedup.line_dedup(frame(rows)).collect())[True] > 5
+
+
+def test_near_duplicates_meet_by_their_fingerprints(frame, monkeypatch):
+    signatures = simhash.signatures
+    monkeypatch.setattr(simhash, "signatures", lambda *a: signatures(*a).withColumn("keys", F.array("rid")))  # no two rows share a band
+    rng = np.random.default_rng(11)
+    texts = [[f"w{v}" for v in rng.integers(0, 400, 300)] for _ in range(3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(10 + i, "  ".join(t)) for i, t in enumerate(texts)] + [(20 + i, " ".join(t + ["end"])) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["root"] for r in simhash.near_duplicates(frame(rows)).collect()}
+    hashes = [simhash.shingle_hashes(t.encode().split(), 5) for _, t in rows]
+    prints = [simhash.fingerprint(np.unique(h)) for h in hashes]
+    near = {i for i in range(3) if (prints[i] ^ prints[6 + i]).bit_count() <= 3}
+    assert near and got == {d: d % 10 for i in range(3) for d in ((i, 10 + i, 20 + i) if i in near else (i, 10 + i))}
