@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
-from .similarity import ROWS
+from .similarity import ROWS, STRIP, adjacent
 
 #: Dynamic cut, medium sensitivity: how scattered a branch's core may be, and how short its gap, as shares of the usable height.
 MOST_SCATTER, LEAST_GAP = 0.82, 0.135
 
 
-def average_linkage(distance: np.ndarray, complete: bool = False) -> np.ndarray:
+def average_linkage(distance: np.ndarray, complete: bool = False, keep: bool = True) -> np.ndarray:
     """Merges (left, right, height, size) of a dense distance matrix in order of height, by nearest-neighbour chains;
     of complete linkage where asked.
 
-    Leaves are 0 to n - 1, the merge in row m makes node n + m.
+    Leaves are 0 to n - 1, the merge in row m makes node n + m. Without keep the distances are used up.
     """
     n = len(distance)
-    d = distance.astype(float).copy()
+    d = distance.astype(float) if keep else distance
     np.fill_diagonal(d, np.inf)
     size, alive, chain, found = np.ones(n), np.ones(n, bool), [], []
     for _ in range(n - 1):
@@ -98,7 +98,6 @@ def dynamic_cut(tree: np.ndarray, distance: np.ndarray, least: int = 30, pam: bo
     ref = float(np.quantile(heights, 0.05))
     cut = ref + 0.99 * (float(heights.max()) - ref)
     scatter_limit, gap_limit = ref + MOST_SCATTER * (cut - ref), LEAST_GAP * (cut - ref)
-    below = leaves(tree, n)
     closed: dict[int, list[list[int]]] = {i: [] for i in range(n)}  # modules already found below a node
     open_: dict[int, list[int] | None] = {i: [i] for i in range(n)}  # the branch that still grows
 
@@ -115,8 +114,8 @@ def dynamic_cut(tree: np.ndarray, distance: np.ndarray, least: int = 30, pam: bo
             closed[node] = closed[a] + closed[b] + [x for x in (open_[a], open_[b]) if x and good(x, cut)]
             open_[node] = None
             continue
-        x, y = open_[a], open_[b]
-        closed[node] = closed[a] + closed[b]
+        x, y = open_.pop(a), open_.pop(b)
+        closed[node] = closed.pop(a) + closed.pop(b)
         if x and y and good(x, h) and good(y, h):
             closed[node] += [x, y]
             open_[node] = None
@@ -136,10 +135,9 @@ def dynamic_cut(tree: np.ndarray, distance: np.ndarray, least: int = 30, pam: bo
         medoids, reach = [], []
         for k in ks:
             g = np.nonzero(labels == k)[0]
-            own = distance[np.ix_(g, g)]
-            c = int(own.mean(1).argmin())
+            c = int(np.concatenate([distance[np.ix_(g[lo : lo + STRIP], g)].mean(1) for lo in range(0, len(g), STRIP)]).argmin())
             medoids.append(g[c])
-            reach.append(own[c].max())
+            reach.append(distance[g[c], g].max())
         rest = np.nonzero(labels == 0)[0]
         to = distance[np.ix_(rest, medoids)]
         near = to.argmin(1)
@@ -187,7 +185,28 @@ def overlap(adjacent: np.ndarray) -> np.ndarray:
 def modules_of(x: np.ndarray, tom: np.ndarray, least: int = 30, merge: float = 0.3, kme: float = 0.3) -> np.ndarray:
     """Labels of genes (rows of x): tree of 1 - tom, hybrid cut, removal of genes far from their eigengene, merging."""
     d = 1 - tom
-    labels = dynamic_cut(average_linkage(d), d, least)
+    return _pruned(x, dynamic_cut(average_linkage(d), d, least), least, merge, kme)
+
+
+def distances(z: np.ndarray, power: float, out: np.ndarray) -> np.ndarray:
+    """1 - overlap of unit vectors, written to out by strips; 0 on the diagonal. No other matrix of this size is made."""
+    n, ids = len(z), np.arange(len(z))
+    parts = [slice(lo, min(lo + 2 * STRIP, n)) for lo in range(0, n, 2 * STRIP)]
+    k = np.concatenate([adjacent(z[p], z, power, ids[p], ids).sum(1) for p in parts])
+    for p in parts:
+        rows = adjacent(z[p], z, power, ids[p], ids)
+        for q in (q for q in parts if q.start >= p.start):
+            shared, w = np.zeros((p.stop - p.start, q.stop - q.start)), rows[:, q]
+            for u in parts:
+                shared += rows[:, u] @ adjacent(z[u], z[q], power, ids[u], ids[q])
+            out[p, q] = 1 - (shared + w) / (np.minimum(k[p][:, None], k[q][None, :]) + 1 - w)
+            out[q, p] = out[p, q].T
+    np.fill_diagonal(out, 0)
+    return out
+
+
+def _pruned(x: np.ndarray, labels: np.ndarray, least: int, merge: float, kme: float = 0.3) -> np.ndarray:
+    """Labels without genes far from their eigengene, close modules merged."""
     for k in range(1, labels.max() + 1):
         g = np.nonzero(labels == k)[0]
         e = eigenvector(x[g])[0]
@@ -257,12 +276,26 @@ def label_sizes(labelled: DataFrame, label: str = "label") -> DataFrame:
     return labelled.groupBy(label).agg(F.count("*").alias("n"))
 
 
+def modules_in_block(rows: pd.DataFrame, unit, power: float, least: int, merge: float) -> pd.DataFrame:
+    """(iter, gene_id, b, module) of the genes (gene_id, v, b, out, iter) of one block and iteration."""
+    rows = rows.sort_values("gene_id").reset_index(drop=True)
+    it = int(rows["iter"].iloc[0])
+    raw = np.stack(rows["v"].to_numpy()).astype(float)
+    z = unit(raw)
+    keep = np.ones(len(rows), bool) if it == 0 else (rows["out"].fillna(0) != it).to_numpy()
+    labels = np.zeros(len(rows), int)
+    d = np.empty((keep.sum(), keep.sum()))
+    tree = average_linkage(distances(z[keep], power, d), keep=False)
+    labels[keep] = _pruned(raw[keep], dynamic_cut(tree, distances(z[keep], power, d), least), least, merge)  # d anew, as the tree has used it up
+    return pd.DataFrame({"iter": it, "gene_id": rows["gene_id"], "b": rows["b"], "module": pd.array(np.where(keep, labels, -1), "Int64").astype("Int64")}).assign(module=lambda f: f["module"].where(f["module"] >= 0))
+
+
 def detect_modules(expr: DataFrame, power: float, kind: str = "bicor", least: int = 30, merge: float = 0.3, block: int = 20_000, held_out: DataFrame | None = None, iterations: int = 0) -> DataFrame:
     """(iter, gene_id, module) of (gene_id, v): labels by falling size, 0 for none; iter 0 is the full network.
 
     Blocks of about `block` genes, dealt by a hash, are clustered apart; modules of different blocks whose
-    eigengenes are closer than `merge` become one. A block is dense in one task: five matrices of block
-    squared numbers. With held_out (gene_id, iter) and iterations, each iteration is one task more, in
+    eigengenes are closer than `merge` become one. A block is dense in one task: one matrix of block
+    squared numbers, made twice. With held_out (gene_id, iter) and iterations, each iteration is one task more, in
     which the genes held out have module null.
     """
     unit = ROWS[kind]
@@ -271,19 +304,7 @@ def detect_modules(expr: DataFrame, power: float, kind: str = "bicor", least: in
     x = x.join(held_out.select("gene_id", F.col("iter").alias("out")), "gene_id", "left") if held_out is not None else x.withColumn("out", F.lit(0))
     x = x.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations))))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("gene_id").reset_index(drop=True)
-        it = int(rows["iter"].iloc[0])
-        raw = np.stack(rows["v"].to_numpy()).astype(float)
-        z = unit(raw)
-        a = np.abs(np.clip(z @ z.T, -1, 1)) ** power
-        np.fill_diagonal(a, 0)
-        keep = np.ones(len(rows), bool) if it == 0 else (rows["out"].fillna(0) != it).to_numpy()
-        labels = np.zeros(len(rows), int)
-        labels[keep] = modules_of(raw[keep], overlap(a[np.ix_(keep, keep)]), least, merge)
-        return pd.DataFrame({"iter": it, "gene_id": rows["gene_id"], "b": rows["b"], "module": pd.array(np.where(keep, labels, -1), "Int64").astype("Int64")}).assign(module=lambda f: f["module"].where(f["module"] >= 0))
-
-    found = x.groupBy("b", "iter").applyInPandas(run, "iter int, gene_id bigint, b int, module bigint")
+    found = x.groupBy("b", "iter").applyInPandas(lambda rows: modules_in_block(rows, unit, power, least, merge), "iter int, gene_id bigint, b int, module bigint")
     if n == 1:
         return found.select("iter", "gene_id", F.col("module").cast("int").alias("module"))
     wide = F.when(F.col("module") > 0, F.col("module") * n + F.col("b")).otherwise(F.col("module"))
