@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise
 from .similarity import ROWS, STRIP, adjacent
 
+#: Double strips of distances made at once.
+WIDE = 4
 #: Dynamic cut, medium sensitivity: how scattered a branch's core may be, and how short its gap, as shares of the usable height.
 MOST_SCATTER, LEAST_GAP = 0.82, 0.135
 
@@ -18,17 +20,22 @@ def average_linkage(distance: np.ndarray, complete: bool = False, keep: bool = T
     """Merges (left, right, height, size) of a dense distance matrix in order of height, by nearest-neighbour chains;
     of complete linkage where asked.
 
-    Leaves are 0 to n - 1, the merge in row m makes node n + m. Without keep the distances are used up.
+    Leaves are 0 to n - 1, the merge in row m makes node n + m. Without keep no second matrix is made: the
+    distances below the diagonal and on it are used up, those above it stay.
     """
     n = len(distance)
     d = distance.astype(float) if keep else distance
     np.fill_diagonal(d, np.inf)
+
+    def of(i: int) -> np.ndarray:
+        return d[i] if keep else np.concatenate([d[i, :i], d[i:, i]])
+
     size, alive, chain, found = np.ones(n), np.ones(n, bool), [], []
     for _ in range(n - 1):
         if not chain:
             chain = [int(np.argmax(alive))]
         while True:
-            row = np.where(alive, d[chain[-1]], np.inf)
+            row = np.where(alive, of(chain[-1]), np.inf)
             row[chain[-1]] = np.inf
             near = int(np.argmin(row))
             if len(chain) > 1 and row[chain[-2]] <= row[near]:
@@ -38,9 +45,13 @@ def average_linkage(distance: np.ndarray, complete: bool = False, keep: bool = T
             chain.append(near)
         b, a = chain.pop(), chain.pop()
         a, b = min(a, b), max(a, b)
-        found.append((a, b, d[a, b]))
-        merged = np.maximum(d[a], d[b]) if complete else (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        d[a], d[:, a] = merged, merged
+        found.append((a, b, d[b, a]))
+        x, y = of(a), of(b)
+        merged = np.maximum(x, y) if complete else (size[a] * x + size[b] * y) / (size[a] + size[b])
+        if keep:
+            d[a], d[:, a] = merged, merged
+        else:
+            d[a, :a], d[a:, a] = merged[:a], merged[a:]
         d[a, a] = np.inf
         size[a] += size[b]
         alive[b] = False
@@ -192,19 +203,28 @@ def distances(z: np.ndarray, power: float, out: np.ndarray) -> np.ndarray:
     """1 - overlap of unit vectors, written to out by strips; 0 on the diagonal. No other matrix of this size is made."""
     n, ids = len(z), np.arange(len(z))
     parts = [slice(lo, min(lo + 2 * STRIP, n)) for lo in range(0, n, 2 * STRIP)]
-    k = np.concatenate([adjacent(z[p], z, power, ids[p], ids).sum(1) for p in parts])
-    for p in parts:
+    k, room = np.concatenate([adjacent(z[p], z, power, ids[p], ids).sum(1) for p in parts]), np.empty(4 * STRIP * STRIP)
+    for at in range(0, len(parts), WIDE):  # some strips at once, as each makes the adjacencies of all pairs of others anew
+        p = slice(parts[at].start, parts[min(at + WIDE, len(parts)) - 1].stop)
         rows = adjacent(z[p], z, power, ids[p], ids)
-        for q in (q for q in parts if q.start >= p.start):
+        for q in parts[at:]:
             shared, w = np.zeros((p.stop - p.start, q.stop - q.start)), rows[:, q]
             for u in parts:
-                shared += rows[:, u] @ adjacent(z[u], z[q], power, ids[u], ids[q])
+                shared += rows[:, u] @ adjacent(z[u], z[q], power, ids[u], ids[q], room[: (u.stop - u.start) * (q.stop - q.start)].reshape(u.stop - u.start, -1))
             out[p, q] = 1 - (shared + w) / (np.minimum(k[p][:, None], k[q][None, :]) + 1 - w)
-            out[q, p] = out[p, q].T
-    np.fill_diagonal(out, 0)
+    mirror(out)
     return out
 
 
+def mirror(d: np.ndarray) -> None:
+    """What stands above the diagonal is written below it, 0 on it; by strips."""
+    for lo in range(0, len(d), STRIP):
+        hi = min(lo + STRIP, len(d))
+        d[hi:, lo:hi] = d[lo:hi, hi:].T
+        own = np.triu(d[lo:hi, lo:hi], 1)
+        d[lo:hi, lo:hi] = own + own.T
+
+
 def _pruned(x: np.ndarray, labels: np.ndarray, least: int, merge: float, kme: float = 0.3) -> np.ndarray:
     """Labels without genes far from their eigengene, close modules merged."""
     for k in range(1, labels.max() + 1):
@@ -286,7 +306,8 @@ def modules_in_block(rows: pd.DataFrame, unit, power: float, least: int, merge:
     labels = np.zeros(len(rows), int)
     d = np.empty((keep.sum(), keep.sum()))
     tree = average_linkage(distances(z[keep], power, d), keep=False)
-    labels[keep] = _pruned(raw[keep], dynamic_cut(tree, distances(z[keep], power, d), least), least, merge)  # d anew, as the tree has used it up
+    mirror(d)  # what the tree has used up
+    labels[keep] = _pruned(raw[keep], dynamic_cut(tree, d, least), least, merge)
     return pd.DataFrame({"iter": it, "gene_id": rows["gene_id"], "b": rows["b"], "module": pd.array(np.where(keep, labels, -1), "Int64").astype("Int64")}).assign(module=lambda f: f["module"].where(f["module"] >= 0))
 
 
