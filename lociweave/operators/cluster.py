@@ -316,7 +316,7 @@ def detect_modules(expr: DataFrame, power: float, kind: str = "bicor", least: in
 
     Blocks of about `block` genes, dealt by a hash, are clustered apart; modules of different blocks whose
     eigengenes are closer than `merge` become one. A block is dense in one task: one matrix of block
-    squared numbers, made twice. With held_out (gene_id, iter) and iterations, each iteration is one task more, in
+    squared numbers, made once. With held_out (gene_id, iter) and iterations, each iteration is one task more, in
     which the genes held out have module null.
     """
     unit = ROWS[kind]
