@@ -189,6 +189,25 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_short_edge_lists_take_no_rounds(spark, monkeypatch):
+    """Each round's plans cost the driver memory; a short list takes the same few jobs however long its paths are, with the roots that rounds find."""
+    rng = np.random.default_rng(3)
+    edges = [(i + 1, i) for i in range(0, 60)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (150, 2))] + [(-5, 2**62), (7, 7), (None, 3)]
+    given = spark.createDataFrame(edges, "a long, b long")
+
+    def jobs_of(name):
+        spark.sparkContext.setJobGroup(name, name)
+        got = sorted(components.components(given).collect())
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return got, jobs
+
+    got, jobs = jobs_of("one-task")
+    assert jobs <= 8
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert jobs_of("rounds")[0] == got
+
+
 def test_verified_near_duplicates(frame):
     rng = random.Random(4)
     rows, close = [], []
